@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from swathe.llm import exact_dedup, mixing
+from swathe.llm import exact_dedup, matroska, mixing, packing, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_simhash": simhash.op5_simhash,
+        "op6_packing": packing.op6_packing,
+        "op10_media": matroska.op10_media,
     }
 
 
