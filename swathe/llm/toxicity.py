@@ -264,32 +264,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     return fit([(r[0], bytes(r[1]), r[2], r[3]) for r in rows], float(share)) if chosen else None
 
 
-def score_toxicity(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and score of each row: whole texts, null as empty; 0 for all without a model. No shuffle."""
-    cols = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-    schema = cols.select(*keep).schema
-    names = list(keep)
+def score_toxicity(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:
+    """``keep`` columns and ``score`` of each row: whole texts, null as empty; 0 for all without a model. No shuffle."""
+    text = "text" if "text" in keep else "__text"
+    cols = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else [F.col("text").alias("__text")]))
+    fields = [f for f in cols.schema if f.name in keep]
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value is not None else None
         for batch in batches:
             scores = [np.empty(0)]
-            for (texts,) in slices(iter([batch]), "__text"):
+            for (texts,) in slices(iter([batch]), text):
                 scores.append(scorer.scores(texts) if scorer else np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(np.concatenate(scores))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(np.concatenate(scores))], [*names, score])
 
-    return cols.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema], "score double"]))
+    return cols.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], f"`{score}` double"]))
 
 
-def flag_toxic(scored: DataFrame, model: Model | None, lang: str = "lang") -> Column:
+def flag_toxic(model: Model | None, lang: str = "lang", score: str = "score") -> Column:
     """Whether ``score`` reaches the threshold of the row's language (the default one for others and null)."""
     if model is None:
         return F.lit(False)
     limit = F.lit(model.default_threshold)
     for name, value in sorted(model.thresholds.items()):
         limit = F.when(F.col(lang) == name, F.lit(value)).otherwise(limit)
-    return F.col("score") >= limit
+    return F.col(score) >= limit
 
 
 def remainder(column: str) -> Column:
@@ -311,7 +312,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (remainder("doc_id") == 0).alias("held_out"),
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"),
-        flag_toxic(scored, model).alias("flagged"),
+        flag_toxic(model).alias("flagged"),
     )
 
 
