@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -19,17 +21,32 @@ TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 #: Tokens that are packed together inside a task, and tokens of one balanced step group.
 CHUNK_TOKENS, STEP_TOKENS = 1 << 20, 1 << 17
-#: Words that the task remembers the ids of.
-MEMO_WORDS = 400_000
+#: Words as they stand, and lower-case words of letters (two generations), that a worker remembers the ids of.
+MEMO_WORDS, MEMO_LETTERS = 400_000, 500_000
 #: Punctuation that the tokenizer splits off the end of a word of letters, whatever follows.
 TAIL = ".,;:!?*%&$#()[]{}/\\-_+=~"
 
 
+def _byte_forms() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a visible character: itself, or the next free one from U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+BYTE_FORMS = _byte_forms()
+
+
+def _simple(core: str, low: str) -> bool:
+    """Latin letters whose lower case is one letter each and that normalisation leaves alone."""
+    return core.isalpha() and len(core) == len(low) and max(core) < "\u0250" and max(low) < "\u0250" and unicodedata.is_normalized("NFC", core)
+
+
 class WordTokenizer:
     """Ids of whole texts as little-endian uint32 bytes, by a BPE with word ends, remembering the words.
 
     The tokenizer drops white space and never merges across it, so a text's ids are the ids of its words in order.
-    Words of letters are one pre-token each and are encoded many at a time: each ends at a token with the word-end mark.
+    Words of letters, with or without punctuation after them, go straight to its BPE model; any other word (digits,
+    apostrophes, special tokens, scripts past Latin) goes through the whole tokenizer.
     """
 
     def __init__(self, file: str | None = None):
@@ -37,45 +54,45 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file or public_tokenizers.path("word_bpe_49k.json"))
-        ends = [i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]
-        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
-        self.ends[ends] = True
+        self.model = self.tok.model
         self.known: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _alone(self, word: str) -> bytes:
         return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _letters(self, core: str) -> bytes:
+        """Ids of one lower-case word of letters: one pre-token, so the BPE model is asked without the steps around it."""
+        if (found := self.letters.get(core)) is None:
+            if (found := self.older.pop(core, None)) is None:
+                form = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_FORMS)
+                ids = [t.id for t in self.model.tokenize(form)]
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.letters) >= MEMO_LETTERS:
+                self.letters, self.older = {}, self.letters
+            self.letters[core] = found
+        return found
+
     def _learn(self, words: set[bytes]) -> None:
-        split: list[tuple[bytes, str, str]] = []
+        known, tails = self.known, self.tails
         for w in words:
             text = w.decode("utf-8", "replace")
             core = text.rstrip(TAIL)
             low = core.lower()
-            plain = low.isalpha() and (low.isascii() or (core.isalpha() and len(low) == len(core) and self.tok.normalizer.normalize_str(core) == low))
-            if plain:
-                split.append((w, low, text[len(core) :]))
-            else:
-                self.known[w] = self._alone(text)
-        letters = self.letters
-        if len(letters) > MEMO_WORDS:
-            letters.clear()
-        new = list({c for _, c, _ in split if c not in letters} | {t for _, _, t in split if t and t not in letters})
-        alpha = [c for c in new if c.isalpha()]
-        for s in range(0, len(alpha), 20_000):
-            part = alpha[s : s + 20_000]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) == len(part):
-                raw, a = ids.tobytes(), 0
-                for c, b in zip(part, (stop * 4).tolist()):
-                    letters[c] = raw[a:b]
-                    a = b
+            if low.isalpha() and (low.isascii() and core.isascii() or _simple(core, low)):
+                ids = self._letters(low)
+                if len(core) < len(text):
+                    tail = text[len(core) :]
+                    if tail not in tails:
+                        if len(tails) > 10_000:
+                            tails.clear()
+                        tails[tail] = self._alone(tail)
+                    ids += tails[tail]
+                known[w] = ids
             else:
-                letters.update((c, self._alone(c)) for c in part)
-        letters.update((t, self._alone(t)) for t in new if not t.isalpha())
-        for w, core, tail in split:
-            self.known[w] = letters[core] + letters[tail] if tail else letters[core]
+                known[w] = self._alone(text)
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         docs, known = [t.split() for t in texts], self.known
