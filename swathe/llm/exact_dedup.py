@@ -25,7 +25,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     normalised text. Without ``full_digest`` the contents are read again for those rows alone; with it the digest of
     every row is asked for anyway, so one scan yields all three levels and the texts are never read twice.
 
-    Of equal texts the row with most code points in its original text stays, then the smallest id.
+    Of equal texts the row with most code points in its original text stays, then the smallest id, a null id last.
     Null text counts as empty and equals every text of white space only. Rows that repeat an id are rows of their own:
     each is counted, and with equal texts they share ``kept``. An empty table gives an empty result. Further columns of
     any name are ignored. Hot groups: counts are combined in the map tasks, and ``join_facts`` spreads a hot group's rows.
@@ -44,14 +44,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if full_digest:
         survivors = seen.where("__n is not null").select("__id", "__points", "__sha")
     else:
-        ids = seen.where("__n is not null").select("__id").distinct()
-        text = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-        survivors = durable(
-            text.join(ids, text["__id"].eqNullSafe(ids["__id"]), "left_semi").select(
-                "__id", F.length(F.coalesce("__text", F.lit(""))).alias("__points"), F.sha2(normalised(F.col("__text")), 256).alias("__sha")
-            )
-        )
-    best = F.max_by("__id", F.struct("__points", -F.coalesce(F.col("__id"), F.lit(0))))
+        ids = seen.where("__n is not null").select("__id", "__bytes", "__prefix").distinct()
+        text = docs.select(*cols, F.col(f"`{text_col}`").alias("__text"))
+        same = [text["__id"].eqNullSafe(ids["__id"]), text["__bytes"] == ids["__bytes"], text["__prefix"] == ids["__prefix"]]
+        survivors = durable(text.join(ids, same, "left_semi").select("__id", "__points", F.sha2(normalised(F.col("__text")), 256).alias("__sha")))
+    best = F.max_by("__id", F.struct("__points", F.col("__id").isNotNull(), F.bitwise_not("__id")))
     groups = durable(survivors.groupBy("__sha").agg(F.count("*").alias("group_size"), best.alias("keep_id")).where("group_size > 1"))
     if full_digest:
         out = join_facts(sketch, groups, ["__sha"], ["keep_id", "group_size"], "group_size", F.col("__id"), total)
@@ -64,7 +61,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("__id").alias(id_col),
         F.when(grouped, F.col("keep_id")).otherwise(F.col("__id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce(F.col("keep_id") == F.col("__id"), F.lit(True)).alias("kept"),
+        (~grouped | F.col("keep_id").eqNullSafe(F.col("__id"))).alias("kept"),
         *([F.col("__sha").alias("text_sha256")] if full_digest else []),
     )
 

@@ -40,6 +40,7 @@ class Totals:
     hot_tables: np.ndarray
     root_tables: float
     ones: np.ndarray  # pairs with 1 and 2 customers, words with 1 and 2 tables
+    theta: float = THETA
 
     @property
     def discount(self) -> float:
@@ -55,6 +56,24 @@ def _discount(one: float, two: float) -> float:
     return float(np.clip(one / max(one + 2 * two, 1.0), 0.05, 0.95))
 
 
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function for x > 0: Stirling's series after shifting by seven."""
+    y = x + 7
+    shift = sum(np.log(x + k) for k in range(7))
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+def strength(tokens: np.ndarray, tables: np.ndarray, d: float) -> float:
+    """The concentration that all restaurants share, by greatest likelihood of their numbers of customers and tables."""
+    used = tokens > 0
+    c, t = tokens[used], np.maximum(tables[used], 1)
+    grid = np.logspace(-1, 5, 61)
+    if not len(c):
+        return THETA
+    fit = [float((_lgamma(x / d + t) - _lgamma(x / d + np.ones(1)) - _lgamma(x + c) + _lgamma(x + np.ones(1))).sum()) for x in grid]
+    return float(grid[int(np.argmax(fit))])
+
+
 def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables after seating each dish's customers one by one; a new table has odds ``strength`` against n - d * t.
 
@@ -170,7 +189,7 @@ class Bucket:
         """
         parent, root = self.parent(t, tables, rng)
         d = t.discount
-        strength = (THETA + d * t.class_tables[self.context]) * parent[self.word]
+        strength = (t.theta + d * t.class_tables[self.context]) * parent[self.word]
         return parent, seat(self.count, strength, d, rng), root
 
     def parent(self, t: Totals, tables: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -289,8 +308,8 @@ def _scoring(t: Totals, hot: np.ndarray, burn: int, samples: int, seed: int):
                 for s in range(burn + samples):
                     parent, tables, _ = b.sweep(t, tables, rng)
                     if s >= burn:
-                        lower = (THETA + d * t.class_tables[b.context]) * parent[b.word]
-                        total += np.where(c > 0, (np.maximum(b.count - d * tables, 0) + lower) / (THETA + c), parent[b.word])
+                        lower = (t.theta + d * t.class_tables[b.context]) * parent[b.word]
+                        total += np.where(c > 0, (np.maximum(b.count - d * tables, 0) + lower) / (t.theta + c), parent[b.word])
                 score = np.log10(total / samples)
                 count = b.word_count.copy()
                 shared = b.hot >= 0
@@ -346,14 +365,15 @@ def hot_words(cols: DataFrame, docs: int = ROUTING_DOCS) -> np.ndarray:
     return np.unique(np.array([END, *(xxh3_64_intdigest(r[0].encode().lower()) for r in found)], np.uint64))
 
 
-def score_documents(docs: DataFrame, syncs: int = 1, sweeps: int = 2, samples: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, syncs: int = 2, sweeps: int = 2, samples: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     A token's context is the word before it, hashed to CLASSES restaurants that share the unigram restaurant as their
     parent; its base gives half to the one unseen word and the rest evenly to the known words. Documents with
     crc32(doc_id) mod 5 other than 1 are the customers. Sampling: inside a bucket of words each dish is taken out and
     seated again given its parent and the totals of all restaurants; between passes the totals of the buckets are added
-    up (as in distributed Gibbs samplers, the totals are of the last pass). Probabilities are averaged over samples.
+    up (as in distributed Gibbs samplers, the totals are of the last pass) and the restaurants' common concentration is
+    estimated from them. Probabilities are averaged over samples.
 
     The corpus is shuffled once, as packed blobs by word, and kept durably; counting, sampling and scoring read them in
     place. Only vectors of fixed size reach the driver. Words that are common in a sample are dealt by context as well.
@@ -376,6 +396,7 @@ def score_documents(docs: DataFrame, syncs: int = 1, sweeps: int = 2, samples: i
         d, rng = t.root_discount, np.random.default_rng(seed + k)
         hot_root = seat(s.hot_tables, np.full(len(hot), (THETA_ROOT + d * t.root_tables) * (1 - UNSEEN) / max(t.words, 1)), d, rng)
         t = Totals(t.tokens, t.words, t.class_tokens, s.class_tables, t.hot_tokens, s.hot_tables, s.root_tables + float(hot_root.sum()), np.concatenate((t.ones[:2], s.ones[2:])))
+        t.theta = strength(t.class_tokens, t.class_tables, t.discount)
     replies = packed.mapInArrow(_scoring(t, hot, 1, samples, seed + syncs), REPLY)
     rows = replies.repartition(max(parts, least), "chunk").sortWithinPartitions("chunk", "kind").select("kind", "a", "b", "c", "d")
     out = rows.mapInArrow(_finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
