@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from swathe.llm.words import mix, slices, split, word_hashes
 from swathe.plans.durable import durable, partitions_for
@@ -42,22 +43,35 @@ def _starts(n: np.ndarray, length: int) -> np.ndarray:
     return where[where + length <= np.repeat(np.cumsum(n), n)]
 
 
+def _home(ids: np.ndarray, parts: int) -> np.ndarray:
+    """Where a document's flags and its text meet."""
+    x = ids.view(np.uint64)
+    return (mix(x, x) % np.uint64(parts)).astype(np.int32)
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes, np.ndarray]]:
-    """(id, text, sorted flagged hashes) of each text row in a stream sorted by id and kind."""
-    now: int | None = None
-    blobs: list[bytes] = []
-    flags = np.empty(0, np.uint64)
+    """(id, text, sorted flagged hashes) of each text row in a stream with all flags first."""
+    blobs: tuple[list[bytes], ...] = ([], [], [])
+    index: tuple[np.ndarray, ...] | None = None
     plain = zstandard.ZstdDecompressor()
     for batch in batches:
-        for doc_id, kind, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "kind", "body"))):
-            if doc_id is None or doc_id != now:
-                now, blobs, flags = doc_id, [], np.empty(0, np.uint64)
+        for kind, doc_id, *row in zip(*(batch.column(c).to_pylist() for c in ("kind", "doc_id", "docs", "counts", "body"))):
             if kind == FLAGS:
-                blobs.append(body)
-            else:
-                if blobs:
-                    flags, blobs = np.unique(np.frombuffer(b"".join(blobs), np.uint64)), []
-                yield doc_id, plain.decompress(body) if body else b"", flags
+                for held, x in zip(blobs, row):
+                    held.append(x)
+                continue
+            if index is None:
+                ids, counts, h = (np.frombuffer(b"".join(held), t) for held, t in zip(blobs, (np.int64, np.uint32, np.uint64)))
+                ids = np.repeat(ids, counts)
+                order = np.lexsort((h, ids))
+                ids, h = ids[order], h[order]
+                known, starts = np.unique(ids, return_index=True)
+                index, blobs = (known, np.append(starts, len(ids)), h), ([], [], [])
+            known, starts, h = index
+            flags = h[:0]
+            if doc_id is not None and (k := int(np.searchsorted(known, doc_id))) < len(known) and known[k] == doc_id:
+                flags = h[starts[k] : starts[k + 1]]
+            yield doc_id, plain.decompress(row[2]) if row[2] else b"", flags
 
 
 def _member(values: np.ndarray, flags: np.ndarray) -> np.ndarray:
@@ -77,23 +91,9 @@ def _emitter(length: int, buckets: int, extend: bool):
     def chunk(ids: list[int], h: list[np.ndarray], b: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
         bucket = np.concatenate(b) % np.uint64(buckets)
         order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
-        hashes, bucket = np.concatenate(h)[order], bucket[order]
-        doc = np.repeat(np.arange(len(ids), dtype=np.int64), np.concatenate(n))[order]
-        new = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1]))))
-        runs = np.diff(np.append(new, len(doc))).astype(np.uint32)
-        run_docs, run_bucket = np.array(ids, np.int64)[doc[new]], bucket[new]
-        cut = np.flatnonzero(np.concatenate(([True], run_bucket[1:] != run_bucket[:-1])))
-        stop = np.append(cut[1:], len(new))
-        ends = np.append(new, len(doc))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(run_bucket[cut].astype(np.int32)),
-                pa.array([run_docs[a:z].tobytes() for a, z in zip(cut, stop)], pa.binary()),
-                pa.array([runs[a:z].tobytes() for a, z in zip(cut, stop)], pa.binary()),
-                pa.array([hashes[ends[a] : ends[z]].tobytes() for a, z in zip(cut, stop)], pa.binary()),
-            ],
-            names,
-        )
+        doc = np.repeat(np.array(ids, np.int64), np.concatenate(n))[order]
+        rows = _packed(bucket[order], doc, np.concatenate(h)[order])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 3])], names)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
         if not extend:
@@ -139,9 +139,26 @@ def _emitter(length: int, buckets: int, extend: bool):
     return run
 
 
-def _matches(later_only: bool):
+def _packed(bucket: np.ndarray, doc: np.ndarray, hashes: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
+    """(bucket, docs, counts, hashes) of entries sorted by bucket, and by document inside."""
+    new = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1]))))
+    ends = np.append(new, len(doc))
+    runs, run_doc, run_bucket = np.diff(ends).astype(np.uint32), doc[new], bucket[new]
+    cut = np.flatnonzero(np.concatenate(([True], run_bucket[1:] != run_bucket[:-1])))
+    return [(int(run_bucket[a]), run_doc[a:z].tobytes(), runs[a:z].tobytes(), hashes[ends[a] : ends[z]].tobytes()) for a, z in zip(cut, np.append(cut[1:], len(new)))]
+
+
+ROWS = "dest int, kind int, doc_id long, docs binary, counts binary, body binary"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["dest", "kind", "doc_id", "docs", "counts", "body"])
+
+
+def _matches(later_only: bool, parts: int):
     """For each bucket the flagged hashes of each document: those that another document (``later_only``: one with a
-    smaller id) has too."""
+    smaller id) has too. One row for each place that the documents' texts go to, so the rows don't grow with them."""
 
     def close(docs: list[bytes], counts: list[bytes], hashes: list[bytes]) -> pa.RecordBatch | None:
         h = np.frombuffer(b"".join(hashes), np.uint64)
@@ -158,18 +175,13 @@ def _matches(later_only: bool):
         low = np.repeat(np.minimum.reduceat(d, starts), n)
         hit = d > low if later_only else np.repeat(np.maximum.reduceat(d, starts), n) > low
         h, d = h[hit], d[hit]
-        order = np.lexsort((h, d))
-        h, d = h[order], d[order]
         if not len(h):
             return None
+        dest = _home(d, parts)
+        order = np.lexsort((h, d, dest))
+        h, d, dest = h[order], d[order], dest[order]
         once = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
-        h, d = h[once], d[once]
-        starts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-        ends = np.append(starts[1:], len(d))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(d[starts]), pa.array(np.full(len(starts), FLAGS, np.int32)), pa.array([h[a:z].tobytes() for a, z in zip(starts, ends)], pa.binary())],
-            ["doc_id", "kind", "body"],
-        )
+        return _batch([(k, FLAGS, None, *blobs) for k, *blobs in _packed(dest[once], d[once], h[once])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [], [])
@@ -188,33 +200,38 @@ def _matches(later_only: bool):
     return run
 
 
-def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tool = zstandard.ZstdCompressor(level=1)
-    for texts, ids in slices(batches, "text", "doc_id"):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([TEXT] * len(ids), pa.int32()), pa.array([tool.compress(t) if t else b"" for t in texts], pa.binary())],
-            ["doc_id", "kind", "body"],
-        )
+def _compressed(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=1)
+        for texts, ids in slices(batches, "text", "doc_id"):
+            dest = _home(np.array([xxh3_64_intdigest(t) >> 1 if i is None else i for i, t in zip(ids, texts)], np.int64), parts)
+            yield _batch([(int(k), TEXT, i, b"", b"", tool.compress(t) if t else b"") for k, i, t in zip(dest, ids, texts)])
+
+    return run
 
 
 def _together(docs: DataFrame, flags: DataFrame, parts: int) -> DataFrame:
-    """One stream per partition with each document's flags before its text; one shuffle, texts compressed."""
-    rows = docs.mapInArrow(_compressed, "doc_id long, kind int, body binary").unionByName(flags)
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("body"))
-    return rows.repartition(parts, key).sortWithinPartitions("doc_id", "kind")
+    """A stream per partition with the flags of its documents before their texts; one shuffle, texts compressed."""
+    rows = docs.mapInArrow(_compressed(parts), ROWS).unionByName(flags)
+    return rows.repartition(parts, "dest").sortWithinPartitions("kind")
 
 
-def repeated_windows(docs: DataFrame, length: int, later_only: bool, prior: DataFrame | None = None) -> DataFrame:
-    """(doc_id, kind, body): the hashes of a document's windows that repeat; several rows a document.
+def repeated_windows(docs: DataFrame, length: int, later_only: bool, parts: int, prior: DataFrame | None = None) -> DataFrame:
+    """Rows of kind FLAGS: for places of documents (``dest``) the hashes of their windows that repeat.
 
     The windows are shuffled as packed blobs of 8 bytes each, by a bucket from a second hash; a passage that every
     document has is spread over as many buckets as it has windows.
     """
-    parts = partitions_for(docs, BUCKET_BYTES)
     schema = "bucket int, docs binary, counts binary, hashes binary"
     source = docs if prior is None else _together(docs, prior, parts)
     packed = source.mapInArrow(_emitter(length, parts, prior is not None), schema)
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(later_only), "doc_id long, kind int, body binary")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(later_only, parts), ROWS)
+
+
+def _flagged_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for docs in batch.column("docs").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, np.int64))], ["doc_id"])
 
 
 def _remover(window: int):
@@ -264,8 +281,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     as one document and each returned. An empty table gives an empty result; other columns are ignored.
     """
     cols = _columns(docs, id_col, text_col)
-    flags = repeated_windows(cols, window, True)
-    both = _together(cols, flags, partitions_for(cols, BUCKET_BYTES))
+    parts = partitions_for(cols, BUCKET_BYTES)
+    both = _together(cols, repeated_windows(cols, window, True, parts), parts)
     return both.mapInArrow(_remover(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
@@ -276,15 +293,15 @@ def repeat_levels(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     Each level reads the survivors alone; documents without repeats are absent.
     """
     cols = _columns(docs, id_col, text_col)
-    length, found, prior = window, None, None
+    length, found, prior, parts = window, None, None, partitions_for(cols, BUCKET_BYTES)
     while True:
-        flags = durable(repeated_windows(cols, length, False, prior))
-        hit = flags.select("doc_id").distinct().withColumn("longest", F.lit(length).cast("long"))
+        flags = durable(repeated_windows(cols, length, False, parts, prior))
+        hit = durable(flags.select("docs").mapInArrow(_flagged_ids, "doc_id long").distinct()).withColumn("longest", F.lit(length).cast("long"))
         found = hit if found is None else found.unionAll(hit)
         if flags.isEmpty():
             return found.groupBy("doc_id").agg(F.max("longest").alias("longest"))
         prior = flags
-        cols = cols.join(durable(hit.select("doc_id")), "doc_id", "left_semi")
+        cols = cols.join(hit.select("doc_id"), "doc_id", "left_semi")
         length *= 2
 
 
