@@ -76,6 +76,35 @@ class SpatialDataset:
         attrs = json.loads(spark.read.text(f"{path}/attrs", wholetext=True).first()[0])
         return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("vectors", "rasters", "edges")], attrs=attrs)
 
+    def export(self, path: str) -> None:
+        """The interchange form: GeoJSON lines of both tables, adjacency lines and attributes, written by the tasks."""
+        from swathe.sources.geojson import adjacency_lines, write_geojson
+
+        write_geojson(self.vectors, f"{path}/vectors.geojson", "vector_name")
+        write_geojson(self.rasters, f"{path}/rasters.geojson", "raster_name")
+        adjacency_lines(self.vectors, self.rasters, self.edges).select(F.to_json(F.struct("side", "name", "value")).alias("value")).write.mode("overwrite").text(f"{path}/graph.json")
+        self.vectors.sparkSession.createDataFrame([(json.dumps(self.attrs),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/attrs.json")
+
+    @classmethod
+    def from_data_dir(cls, spark: SparkSession, path: str) -> SpatialDataset:
+        """Reads the interchange form, or single files of the same names: feature collections and one adjacency object."""
+        from swathe.sources.geojson import read_adjacency, read_geojson
+
+        def table(name: str, key: str) -> DataFrame:
+            first = spark.read.text(f"{path}/{name}.geojson").where("trim(value) <> ''").limit(1).collect()
+            lines = not first or '"Feature"' in first[0][0] and '"FeatureCollection"' not in first[0][0]
+            return read_geojson(spark, f"{path}/{name}.geojson", key, lines=lines)
+
+        text = spark.read.text(f"{path}/graph.json").where("trim(value) <> ''")
+        if text.where("value like '{\"side\":%'").limit(1).count():
+            rows = text.select(F.from_json("value", "struct<side:string,name:string,value:string>").alias("g")).where("g.side = 'vectors'")
+            edges = rows.select(F.col("g.name").alias("vector_name"), F.explode(F.from_json("g.value", "map<string,string>")).alias("raster_name", "relation"))
+        else:
+            edges = read_adjacency(spark, f"{path}/graph.json")
+        attrs = json.loads(spark.read.text(f"{path}/attrs.json", wholetext=True).first()[0])
+        vectors = count_containing(table("vectors", "vector_name"), edges)
+        return cls(vectors, table("rasters", "raster_name"), edges, attrs=attrs)
+
     # -- checks ---------------------------------------------------------------------------------------------------
 
     def _checked(self, new: DataFrame, old: DataFrame, key: str) -> DataFrame:

@@ -32,7 +32,7 @@ def not_covered_by_union(vectors: DataFrame, rasters: DataFrame, edges: DataFram
     easy = edges.where("relation = 'contains'").select("vector_name").distinct()
     hard = vectors.select("vector_name", *[F.col(c).cast("double").alias(f"v_{c}") for c in BOX]).join(easy, "vector_name", "left_anti")
     r = rasters.select("raster_name", *[F.col(c).cast("double").alias(c) for c in BOX])
-    near = edges.join(r, "raster_name").groupBy("vector_name").agg(F.collect_set(F.struct(*BOX)).alias("boxes"))
+    near = edges.join(hard.select("vector_name"), "vector_name", "left_semi").join(r, "raster_name").groupBy("vector_name").agg(F.collect_set(F.struct(*BOX)).alias("boxes"))
     df = hard.join(near, "vector_name", "left").withColumn("boxes", F.coalesce("boxes", F.array().cast("array<struct<minx:double,miny:double,maxx:double,maxy:double>>")))
 
     def cuts(axis: str) -> Column:
@@ -134,23 +134,26 @@ def plan_downloads(vectors: DataFrame, edges: DataFrame, catalog: DataFrame, tar
     return grouped.groupBy("component").applyInPandas(greedy, "raster_name string, for_vector string")
 
 
-def cut_around_vectors(vectors: DataFrame, rasters: DataFrame, edges: DataFrame, target: int = 1, rows: int = 8, cols: int = 8, seed: int = 10) -> DataFrame:
+def cut_around_vectors(vectors: DataFrame, rasters: DataFrame, edges: DataFrame, target: int = 1, rows: int = 8, cols: int = 8, seed: int = 10, have: DataFrame | None = None) -> DataFrame:
     """(new_name, vector_name, raster_name, col_off, row_off, minx, miny, maxx, maxy): greedy cutting, centred windows.
 
     In order of vector_name, each vector that fewer than ``target`` cutouts contain takes containing rasters, in a seeded
     order, that weren't cut for it. A new cutout counts for every vector it contains, and its source counts as cut for
-    those. Rasters are north-up with pixels of one unit and columns width, height. Components as in plan_downloads.
+    those. ``have`` (vector_name, raster_count): what vectors have to begin with, none otherwise. Rasters are north-up with
+    pixels of one unit. Components as in plan_downloads.
     """
     v = vectors.select("vector_name", *[F.col(c).cast("double").alias(f"v_{c}") for c in BOX])
     r = rasters.select("raster_name", F.col("minx").cast("double").alias("r_minx"), F.col("maxy").cast("double").alias("r_maxy"))
     found = edges.join(v, "vector_name").join(r, "raster_name").withColumn("draw", seeded(seed, F.col("vector_name"), F.col("raster_name")))
-    grouped = _by_component(found, ["relation", "draw", *[f"v_{c}" for c in BOX], "r_minx", "r_maxy"])
+    start = vectors.select("vector_name", F.lit(0).alias("raster_count")) if have is None else have.select("vector_name", "raster_count")
+    found = found.join(start.withColumnRenamed("raster_count", "have"), "vector_name")
+    grouped = _by_component(found, ["relation", "draw", "have", *[f"v_{c}" for c in BOX], "r_minx", "r_maxy"])
     schema = "new_name string, vector_name string, raster_name string, col_off long, row_off long, minx double, miny double, maxx double, maxy double"
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         boxes = {t.vector_name: (t.v_minx, t.v_miny, t.v_maxx, t.v_maxy) for t in pdf.itertuples()}
         near = pdf.groupby("raster_name").vector_name.apply(list).to_dict()
-        have, cut, out = dict.fromkeys(boxes, 0), set(), []
+        have, cut, out = dict(zip(pdf.vector_name, pdf.have)), set(), []
         pdf = pdf[pdf.relation == "contains"].sort_values(["vector_name", "draw", "raster_name"], kind="stable")
         for vector, own in pdf.groupby("vector_name", sort=True):
             x0, y0, x1, y1 = boxes[vector]
