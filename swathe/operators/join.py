@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def box_pairs(left: DataFrame, right: DataFrame, base: float = 32.0) -> DataFram
     equi-join of two plain shuffles, whose crowded cells the adaptive planner splits. Rows with a null box match nothing.
     """
     left, right = (df.where(" and ".join(f"{c} is not null" for c in BOX)) for df in (left, right))
-    found = left.select(own_level(base).alias("n")).distinct().unionAll(right.select(own_level(base).alias("n")).distinct()).distinct()
+    found = left.select(own_level(base).alias("n")).unionAll(right.select(own_level(base).alias("n"))).distinct()
     levels = sorted(r[0] for r in found.collect())  # at most the exponents of a double
     if not levels:
         levels = [0]
@@ -49,12 +51,13 @@ def box_pairs(left: DataFrame, right: DataFrame, base: float = 32.0) -> DataFram
     return pairs.drop(*[f"{p}{c}" for p in ("l_", "r_") for c in ("own", "level", "cx", "cy")])
 
 
-def _exact(df: DataFrame, test, box_test: Column) -> Column:
-    """The exact test where either object is no box; the box test alone where both are."""
+def _exact(df: DataFrame, test: Callable[[], Column], box_test: Column) -> Column:
+    """The exact test where either object is no box; the box test alone where both are. ``test`` is a large expression,
+    so it is built only if there are shapes."""
     if "l_geom" not in df.columns or "r_geom" not in df.columns:
         return box_test
     boxes = F.coalesce(F.col("l_is_box") & F.col("r_is_box"), F.lit(False))
-    return box_test & F.when(boxes, F.lit(True)).otherwise(test)
+    return box_test & F.when(boxes, F.lit(True)).otherwise(test())
 
 
 def spatial_edges(vectors: DataFrame, rasters: DataFrame, base: float = 32.0) -> DataFrame:
@@ -64,8 +67,8 @@ def spatial_edges(vectors: DataFrame, rasters: DataFrame, base: float = 32.0) ->
     """
     keep = [*BOX, *(["geom", "is_box"] if "geom" in vectors.columns and "geom" in rasters.columns else [])]
     pairs = box_pairs(vectors.select("vector_name", *keep), rasters.select("raster_name", *keep), base)
-    hit = pairs.where(_exact(pairs, intersects(F.col("l_geom"), F.col("r_geom")), F.lit(True)))
-    inside = _exact(pairs, contains(F.col("r_geom"), F.col("l_geom")), box_contains("r_", "l_"))
+    hit = pairs.where(_exact(pairs, lambda: intersects(F.col("l_geom"), F.col("r_geom")), F.lit(True)))
+    inside = _exact(pairs, lambda: contains(F.col("r_geom"), F.col("l_geom")), box_contains("r_", "l_"))
     return hit.select(F.col("l_vector_name").alias("vector_name"), F.col("r_raster_name").alias("raster_name"), F.when(inside, "contains").otherwise("intersects").alias("relation"))
 
 
@@ -73,5 +76,5 @@ def overlap_pairs(rasters: DataFrame, base: float = 32.0) -> DataFrame:
     """(raster_a, raster_b), a before b by name: rasters whose footprints meet."""
     keep = ["raster_name", *BOX, *(["geom", "is_box"] if "geom" in rasters.columns else [])]
     pairs = box_pairs(rasters.select(*keep), rasters.select(*keep), base).where("l_raster_name < r_raster_name")
-    hit = pairs.where(_exact(pairs, intersects(F.col("l_geom"), F.col("r_geom")), F.lit(True)))
+    hit = pairs.where(_exact(pairs, lambda: intersects(F.col("l_geom"), F.col("r_geom")), F.lit(True)))
     return hit.select(F.col("l_raster_name").alias("raster_a"), F.col("r_raster_name").alias("raster_b"))
