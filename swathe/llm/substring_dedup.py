@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
 from swathe.llm.words import mix, slices, split, word_hashes
 from swathe.plans.durable import durable, partitions_for
 
 WINDOW = 13
-#: Windows that a task sorts into buckets at a time, and file bytes of input for each bucket.
-CHUNK, BUCKET_BYTES = 1_200_000, 16 << 20
+#: Bytes of text in a chunk (a longer single text is one), and file bytes of input for each bucket.
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 FLAGS, TEXT = 0, 1
+Chunk = tuple[int, list, list[bytes], np.ndarray]
 
 
 def window_hashes(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -31,47 +34,45 @@ def window_hashes(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(a, b), mix(b, a ^ np.uint64(0x5851F42D4C957F2D))
 
 
-def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    docs = [split(t) for t in texts]
-    n = np.array([len(d) for d in docs], np.int64)
-    return (np.concatenate([word_hashes(d) for d in docs]) if docs else np.empty(0, np.uint64)), n
-
-
-def _starts(n: np.ndarray, length: int) -> np.ndarray:
-    """Places in the concatenated words where a window lies inside one document."""
-    where = np.arange(int(n.sum()))
-    return where[where + length <= np.repeat(np.cumsum(n), n)]
+class Windows:
+    """The windows of a chunk's documents: ``at`` in the concatenated words, ``doc`` (rank of the id in ``ids``), hashes
+    ``a`` and ``b``. Rows with a null id have none."""
+
+    def __init__(self, ids: list, docs: list[list[bytes]], length: int):
+        self.n = np.array([len(d) for d in docs], np.int64)
+        known = np.array([i is not None for i in ids], bool)
+        self.ids, rank = np.unique(np.array([0 if i is None else i for i in ids], np.int64), return_inverse=True)
+        h = word_hashes([w for d in docs for w in d])
+        where = np.arange(len(h))
+        self.at = where[(where + length <= np.repeat(np.cumsum(self.n), self.n)) & np.repeat(known, self.n)]
+        self.doc = np.repeat(rank, self.n)[self.at]
+        if len(self.at):
+            a, b = window_hashes(h, length)
+            self.a, self.b = a[self.at], b[self.at]
+        else:
+            self.a = self.b = np.empty(0, np.uint64)
 
+    def only(self, places: np.ndarray) -> None:
+        """Keeps the windows at which ``places`` (by word) is true."""
+        keep = places[self.at]
+        self.at, self.doc, self.a, self.b = (x[keep] for x in (self.at, self.doc, self.a, self.b))
 
-def _home(ids: np.ndarray, parts: int) -> np.ndarray:
-    """Where a document's flags and its text meet."""
-    x = ids.view(np.uint64)
-    return (mix(x, x) % np.uint64(parts)).astype(np.int32)
-
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Order by hash, where each hash starts in it, and the least and the greatest document that have it."""
+        order = np.argsort(self.a)
+        h, d = self.a[order], self.doc[order]
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        return order, starts, np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes, np.ndarray]]:
-    """(id, text, sorted flagged hashes) of each text row in a stream with all flags first."""
-    blobs: tuple[list[bytes], ...] = ([], [], [])
-    index: tuple[np.ndarray, ...] | None = None
-    plain = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for kind, doc_id, *row in zip(*(batch.column(c).to_pylist() for c in ("kind", "doc_id", "docs", "counts", "body"))):
-            if kind == FLAGS:
-                for held, x in zip(blobs, row):
-                    held.append(x)
-                continue
-            if index is None:
-                ids, counts, h = (np.frombuffer(b"".join(held), t) for held, t in zip(blobs, (np.int64, np.uint32, np.uint64)))
-                ids = np.repeat(ids, counts)
-                order = np.lexsort((h, ids))
-                ids, h = ids[order], h[order]
-                known, starts = np.unique(ids, return_index=True)
-                index, blobs = (known, np.append(starts, len(ids)), h), ([], [], [])
-            known, starts, h = index
-            flags = h[:0]
-            if doc_id is not None and (k := int(np.searchsorted(known, doc_id))) < len(known) and known[k] == doc_id:
-                flags = h[starts[k] : starts[k + 1]]
-            yield doc_id, plain.decompress(row[2]) if row[2] else b"", flags
+    def repeated(self, flags: np.ndarray, later_only: bool) -> np.ndarray:
+        """The windows that another document has too (``later_only``: one with a smaller id), here or as ``flags`` tell."""
+        if not len(self.at):
+            return np.zeros(0, bool)
+        order, starts, low, high = self.runs()
+        n = np.diff(np.append(starts, len(order)))
+        out = np.empty(len(order), bool)
+        out[order] = self.doc[order] > np.repeat(low, n) if later_only else np.repeat(low < high, n)
+        return out | _member(self.a, flags)
 
 
 def _member(values: np.ndarray, flags: np.ndarray) -> np.ndarray:
@@ -81,64 +82,61 @@ def _member(values: np.ndarray, flags: np.ndarray) -> np.ndarray:
     return flags[np.minimum(at, len(flags) - 1)] == values
 
 
-def _emitter(length: int, buckets: int, extend: bool):
-    """Rows (bucket, docs, counts, hashes): a chunk's windows by bucket, in order of document inside.
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """(chunk, ids, texts, no flags): rows in order, cut by bytes alone, so that reading again gives the same chunks."""
+    first = TaskContext.get().partitionId() << 32
+    for k, (texts, ids) in enumerate(slices(batches, "text", "doc_id", size=CHUNK_BYTES)):
+        yield first | k, ids, texts, np.empty(0, np.uint64)
+
+
+#: A chunk's flagged hashes (``body``, kind FLAGS), or its documents: ids, sizes, which ids are null, texts (kind TEXT).
+ROWS = "dest int, chunk long, kind int, ids binary, sizes binary, nulls binary, body binary"
 
-    With ``extend`` the input is a grouped stream, and only windows both of whose halves were flagged are emitted.
-    """
-    names = ["bucket", "docs", "counts", "hashes"]
-
-    def chunk(ids: list[int], h: list[np.ndarray], b: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
-        bucket = np.concatenate(b) % np.uint64(buckets)
-        order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
-        doc = np.repeat(np.array(ids, np.int64), np.concatenate(n))[order]
-        rows = _packed(bucket[order], doc, np.concatenate(h)[order])
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 3])], names)
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-        if not extend:
-            for texts, ids in slices(batches, "text", "doc_id"):
-                known = [i for i, d in enumerate(ids) if d is not None]
-                h, n = _flat([texts[i] for i in known])
-                if len(h) < length:
-                    continue
-                at = _starts(n, length)
-                a, b = window_hashes(h, length)
-                yield [ids[i] for i in known], a[at], b[at], np.maximum(n - length + 1, 0)
-        else:
-            for doc_id, text, flags in _grouped(batches):
-                h = word_hashes(split(text))
-                if doc_id is None or not len(flags) or len(h) < length:
-                    continue
-                half = length // 2
-                seen = _member(window_hashes(h, half)[0], flags)
-                at = np.flatnonzero(seen[: len(h) - length + 1] & seen[half : half + len(h) - length + 1])
-                a, b = window_hashes(h, length)
-                yield [doc_id], a[at], b[at], np.array([len(at)])
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["dest", "chunk", "kind", "ids", "sizes", "nulls", "body"])
+
+
+def _home(chunks: np.ndarray, parts: int) -> np.ndarray:
+    """Where a chunk's flags and its texts meet."""
+    x = chunks.view(np.uint64)
+    return (mix(x, x) % np.uint64(parts)).astype(np.int32)
+
+
+def _compressed(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        h: list[np.ndarray] = []
-        b: list[np.ndarray] = []
-        n: list[np.ndarray] = []
-        size = 0
-        for doc_ids, first, second, counts in parts(batches):
-            if not len(first):
-                continue
-            ids += doc_ids
-            h.append(first)
-            b.append(second)
-            n.append(counts)
-            size += len(first)
-            if size >= CHUNK:
-                yield chunk(ids, h, b, n)
-                ids, h, b, n, size = [], [], [], [], 0
-        if size:
-            yield chunk(ids, h, b, n)
+        tool = zstandard.ZstdCompressor(level=1)
+        for chunk, ids, texts, _ in _chunks(batches):
+            known = np.array([0 if i is None else i for i in ids], np.int64).tobytes()
+            sizes = np.array([len(t) for t in texts], np.uint32).tobytes()
+            nulls = np.array([i is None for i in ids], np.uint8).tobytes()
+            yield _batch([(int(_home(np.array([chunk]), parts)[0]), chunk, TEXT, known, sizes, nulls, tool.compress(b"".join(texts)))])
 
     return run
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """(chunk, ids, texts, sorted flagged hashes) of a stream in order of chunk, flags first."""
+    held: list[bytes] = []
+    plain = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for chunk, kind, *row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "ids", "sizes", "nulls", "body"))):
+            if kind == FLAGS:
+                held.append(row[3])
+                continue
+            ids, sizes, nulls = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.uint32, np.uint8)))
+            ends, data = np.cumsum(sizes, dtype=np.int64), plain.decompress(row[3])
+            texts = [data[z - s : z] for s, z in zip(sizes.tolist(), ends.tolist())]
+            yield chunk, [None if gone else i for i, gone in zip(ids.tolist(), nulls.tolist())], texts, np.sort(np.frombuffer(b"".join(held), np.uint64))
+            held = []
+
+
+def _together(texts: DataFrame, flags: DataFrame, parts: int) -> DataFrame:
+    """A stream per partition with the flags of each chunk before its texts; one shuffle, texts compressed."""
+    return texts.unionByName(flags).repartition(parts, "dest").sortWithinPartitions("chunk", "kind")
+
+
 def _packed(bucket: np.ndarray, doc: np.ndarray, hashes: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
     """(bucket, docs, counts, hashes) of entries sorted by bucket, and by document inside."""
     new = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1]))))
@@ -148,120 +146,123 @@ def _packed(bucket: np.ndarray, doc: np.ndarray, hashes: np.ndarray) -> list[tup
     return [(int(run_bucket[a]), run_doc[a:z].tobytes(), runs[a:z].tobytes(), hashes[ends[a] : ends[z]].tobytes()) for a, z in zip(cut, np.append(cut[1:], len(new)))]
 
 
-ROWS = "dest int, kind int, doc_id long, docs binary, counts binary, body binary"
+def _emitter(length: int, buckets: int, later_only: bool, extend: bool):
+    """Rows (bucket, chunk, docs, counts, hashes): of each of a chunk's windows one entry for the least document that has
+    it (and one for the greatest unless ``later_only``), however many have it: that is all that other chunks need to know.
 
+    With ``extend`` the input is a grouped stream, and only windows both of whose halves repeat are emitted.
+    """
+    names = ["bucket", "chunk", "docs", "counts", "hashes"]
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["dest", "kind", "doc_id", "docs", "counts", "body"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, ids, texts, flags in (_grouped if extend else _chunks)(batches):
+            docs = [split(t) for t in texts]
+            w = Windows(ids, docs, length)
+            if extend and len(w.at):
+                short, seen = Windows(ids, docs, length // 2), np.zeros(int(w.n.sum()) + length, bool)
+                seen[short.at[short.repeated(flags, later_only)]] = True
+                w.only(seen & np.append(seen[length // 2 :], np.zeros(length // 2, bool)))
+            if not len(w.at):
+                continue
+            order, starts, low, high = w.runs()
+            first = order[starts]
+            h, bucket, doc = w.a[first], (w.b[first] % np.uint64(buckets)).astype(np.int64), low
+            if not later_only:
+                more = high > low
+                h, bucket, doc = np.append(h, h[more]), np.append(bucket, bucket[more]), np.append(low, high[more])
+            order = np.argsort(bucket * len(w.ids) + doc, kind="stable")
+            rows = [(b, chunk, *x) for b, *x in _packed(bucket[order], w.ids[doc[order]], h[order])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), pa.int64(), *[pa.binary()] * 3])], names)
+
+    return run
 
 
 def _matches(later_only: bool, parts: int):
-    """For each bucket the flagged hashes of each document: those that another document (``later_only``: one with a
-    smaller id) has too. One row for each place that the documents' texts go to, so the rows don't grow with them."""
+    """For each bucket and chunk the hashes that a document of another chunk has too (``later_only``: one with a smaller
+    id than the chunk's least). One row for each bucket and chunk at most."""
 
-    def close(docs: list[bytes], counts: list[bytes], hashes: list[bytes]) -> pa.RecordBatch | None:
+    def close(chunks: list[int], docs: list[bytes], counts: list[bytes], hashes: list[bytes]) -> pa.RecordBatch | None:
         h = np.frombuffer(b"".join(hashes), np.uint64)
         d = np.repeat(np.frombuffer(b"".join(docs), np.int64), np.frombuffer(b"".join(counts), np.uint32))
+        c = np.repeat(np.array(chunks, np.int64), [len(x) // 8 for x in hashes])
         order = np.argsort(h)
         h = h[order]
         same = h[1:] == h[:-1]
         twice = np.append(same, False) | np.append(False, same)
-        h, d = h[twice], d[order[twice]]
+        h, order = h[twice], order[twice]
         if not len(h):
             return None
+        d, c = d[order], c[order]
         starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         n = np.diff(np.append(starts, len(h)))
         low = np.repeat(np.minimum.reduceat(d, starts), n)
         hit = d > low if later_only else np.repeat(np.maximum.reduceat(d, starts), n) > low
-        h, d = h[hit], d[hit]
+        h, c = h[hit], c[hit]
         if not len(h):
             return None
-        dest = _home(d, parts)
-        order = np.lexsort((h, d, dest))
-        h, d, dest = h[order], d[order], dest[order]
-        once = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
-        return _batch([(k, FLAGS, None, *blobs) for k, *blobs in _packed(dest[once], d[once], h[once])])
+        order = np.argsort(c, kind="stable")
+        h, c = h[order], c[order]
+        cut = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+        dest = _home(c[cut], parts)
+        return _batch([(int(k), int(c[a]), FLAGS, b"", b"", b"", h[a:z].tobytes()) for k, a, z in zip(dest, cut, np.append(cut[1:], len(c)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [])
+        now, held = None, ([], [], [], [])
         for batch in batches:
-            for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "docs", "counts", "hashes"))):
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "docs", "counts", "hashes"))):
                 if bucket != now and now is not None:
                     if (out := close(*held)) is not None:
                         yield out
-                    held = ([], [], [])
+                    held = ([], [], [], [])
                 now = bucket
-                for h, b in zip(held, blobs):
-                    h.append(b)
+                for h, x in zip(held, row):
+                    h.append(x)
         if now is not None and (out := close(*held)) is not None:
             yield out
 
     return run
 
 
-def _compressed(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = zstandard.ZstdCompressor(level=1)
-        for texts, ids in slices(batches, "text", "doc_id"):
-            dest = _home(np.array([xxh3_64_intdigest(t) >> 1 if i is None else i for i, t in zip(ids, texts)], np.int64), parts)
-            yield _batch([(int(k), TEXT, i, b"", b"", tool.compress(t) if t else b"") for k, i, t in zip(dest, ids, texts)])
-
-    return run
+def repeated_windows(source: DataFrame, length: int, later_only: bool, parts: int, extend: bool = False) -> DataFrame:
+    """Rows of kind FLAGS: for chunks the hashes of their windows that repeat in other chunks.
 
-
-def _together(docs: DataFrame, flags: DataFrame, parts: int) -> DataFrame:
-    """A stream per partition with the flags of its documents before their texts; one shuffle, texts compressed."""
-    rows = docs.mapInArrow(_compressed(parts), ROWS).unionByName(flags)
-    return rows.repartition(parts, "dest").sortWithinPartitions("kind")
-
-
-def repeated_windows(docs: DataFrame, length: int, later_only: bool, parts: int, prior: DataFrame | None = None) -> DataFrame:
-    """Rows of kind FLAGS: for places of documents (``dest``) the hashes of their windows that repeat.
-
-    The windows are shuffled as packed blobs of 8 bytes each, by a bucket from a second hash; a passage that every
-    document has is spread over as many buckets as it has windows.
+    The windows are shuffled as packed blobs of 8 bytes each, by a bucket from a second hash. A passage that a third of
+    the documents have is one entry a chunk for each of its windows, and these lie in as many buckets.
     """
-    schema = "bucket int, docs binary, counts binary, hashes binary"
-    source = docs if prior is None else _together(docs, prior, parts)
-    packed = source.mapInArrow(_emitter(length, parts, prior is not None), schema)
+    schema = "bucket int, chunk long, docs binary, counts binary, hashes binary"
+    packed = source.mapInArrow(_emitter(length, parts, later_only, extend), schema)
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(later_only, parts), ROWS)
 
 
-def _flagged_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for docs in batch.column("docs").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, np.int64))], ["doc_id"])
+def _hits(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, ids, texts, flags in _grouped(batches):
+            w = Windows(ids, [split(t) for t in texts], length)
+            found = w.ids[np.unique(w.doc[w.repeated(flags, False)])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk)), pa.array(found)], ["chunk", "doc_id"])
+
+    return run
 
 
 def _remover(window: int):
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size = 0
-
-        def close() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-        for doc_id, text, flags in _grouped(batches):
-            words = split(text)
-            gone = np.zeros(len(words), bool)
-            if len(flags) and len(words) >= window:
-                starts = np.flatnonzero(_member(window_hashes(word_hashes(words), window)[0], flags))
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + window, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
-            rows.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-            size += len(kept)
-            if size > 4_000_000 or len(rows) >= 2000:
-                yield close()
-                rows, size = [], 0
-        if rows:
-            yield close()
+        for _, ids, texts, flags in _grouped(batches):
+            docs = [split(t) for t in texts]
+            w = Windows(ids, docs, window)
+            edge = np.zeros(int(w.n.sum()) + 1, np.int64)
+            starts = w.at[w.repeated(flags, True)]
+            edge[starts] += 1
+            edge[starts + window] -= 1
+            stay = np.cumsum(edge[:-1]) == 0
+            rows = []
+            for doc_id, words, end in zip(ids, docs, np.cumsum(w.n).tolist()):
+                own = stay[end - len(words) : end]
+                kept = b" ".join(words if own.all() else compress(words, own.tolist()))
+                rows.append((doc_id, len(words), int(len(words) - own.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return run
 
@@ -270,19 +271,28 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
+def _replayable(df: DataFrame) -> DataFrame:
+    """``df`` if it only reads files, which gives the same rows in the same partitions each time; else a copy that does."""
+    nodes = str(df._jdf.queryExecution().optimizedPlan()).strip().splitlines()
+    return df if all(re.match(r"[\s:+-]*(Project|Filter|Relation)\b", x) for x in nodes) else durable(df)
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     Removes each word covered by a window of ``window`` words that also starts in a document with a smaller id. Windows
     are judged on the input. Words are runs of characters other than U+0020 and U+0009 to U+000D.
 
-    Windows agree when a 64-bit hash and the bucket of a second one do. Null and empty texts have no words. Texts shorter
-    than the window lose nothing. Rows with a null id lose nothing and are no source; rows that repeat an id are judged
-    as one document and each returned. An empty table gives an empty result; other columns are ignored.
+    The texts are read twice, in the same chunks. Inside a chunk all but the least document with a window are known to
+    repeat it; only of that one the other chunks are asked. So copies are combined before the shuffle.
+
+    Windows agree when a 64-bit hash does. Null and empty texts have no words. Texts shorter than the window lose nothing.
+    Rows with a null id lose nothing and are no source; rows that repeat an id are judged as one document and each
+    returned. An empty table gives an empty result; other columns are ignored.
     """
-    cols = _columns(docs, id_col, text_col)
+    cols = _replayable(_columns(docs, id_col, text_col))
     parts = partitions_for(cols, BUCKET_BYTES)
-    both = _together(cols, repeated_windows(cols, window, True, parts), parts)
+    both = _together(cols.mapInArrow(_compressed(parts), ROWS), repeated_windows(cols, window, True, parts), parts)
     return both.mapInArrow(_remover(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
@@ -290,18 +300,21 @@ def repeat_levels(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     """(doc_id, longest): the longest level, window * 2^k words, at which the document shares a window with another.
 
     Level-wise doubling: only windows whose two halves both repeated are hashed at twice the length, until none survives.
-    Each level reads the survivors alone; documents without repeats are absent.
+    Each level reads the chunks with survivors alone; documents without repeats are absent.
     """
     cols = _columns(docs, id_col, text_col)
-    length, found, prior, parts = window, None, None, partitions_for(cols, BUCKET_BYTES)
+    parts = partitions_for(cols, BUCKET_BYTES)
+    source, length, found = _replayable(cols), window, None
+    texts = durable(source.mapInArrow(_compressed(parts), ROWS))
     while True:
-        flags = durable(repeated_windows(cols, length, False, parts, prior))
-        hit = durable(flags.select("docs").mapInArrow(_flagged_ids, "doc_id long").distinct()).withColumn("longest", F.lit(length).cast("long"))
-        found = hit if found is None else found.unionAll(hit)
-        if flags.isEmpty():
+        flags = durable(repeated_windows(source, length, False, parts, found is not None))
+        hit = durable(_together(texts, flags, parts).mapInArrow(_hits(length), "chunk long, doc_id long"))
+        level = hit.select("doc_id", F.lit(length).cast("long").alias("longest"))
+        found = level if found is None else found.unionAll(level)
+        if hit.isEmpty():
             return found.groupBy("doc_id").agg(F.max("longest").alias("longest"))
-        prior = flags
-        cols = cols.join(hit.select("doc_id"), "doc_id", "left_semi")
+        texts = texts.join(hit.select("chunk").distinct(), "chunk", "left_semi")
+        source = _together(texts, flags, parts)
         length *= 2
 
 
