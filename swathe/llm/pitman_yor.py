@@ -247,7 +247,7 @@ def _gather(packed: DataFrame, make, width: int) -> np.ndarray:
                 yield np.frombuffer(x)
 
     parts = packed.mapInArrow(_summing(make, width), "v binary").withColumn("p", F.spark_partition_id() % 16)
-    rows = parts.repartition(16, "p").select("v").mapInArrow(_summing(again, width), "v binary").collect()
+    rows = parts.repartitionById(16, "p").select("v").mapInArrow(_summing(again, width), "v binary").collect()
     return sum((np.frombuffer(bytes(r[0])) for r in rows), np.zeros(width))
 
 
@@ -386,7 +386,7 @@ def score_documents(docs: DataFrame, syncs: int = 2, sweeps: int = 2, samples: i
     size = plan_bytes(cols)
     parts = max(min(least, 64), size // BUCKET_BYTES + 1 if size < 1 << 50 else 0)
     schema = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary, e binary"
-    packed = durable(cols.mapInArrow(_packer(parts, hot), schema).repartition(parts, "bucket").sortWithinPartitions("bucket"))
+    packed = durable(cols.mapInArrow(_packer(parts, hot), schema).repartitionById(parts, "bucket").sortWithinPartitions("bucket"))
     width = 7 + 2 * (CLASSES + 1) + 2 * len(hot)
     t = _totals(_gather(packed, _counting(hot), width), len(hot))
     t.words += float((t.hot_tokens > 0).sum())

@@ -99,9 +99,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _home(chunks: np.ndarray, parts: int) -> np.ndarray:
-    """Where a chunk's flags and its texts meet."""
-    x = chunks.view(np.uint64)
-    return (mix(x, x) % np.uint64(parts)).astype(np.int32)
+    """Where a chunk's flags and its texts meet: the chunks of an input partition go to places in a row."""
+    x = (chunks >> 32).view(np.uint64)
+    return ((mix(x, x) % np.uint64(parts)).astype(np.int64) + (chunks & 0xFFFFFFFF)) % parts
 
 
 def _compressed(parts: int):
@@ -134,7 +134,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
 
 def _together(texts: DataFrame, flags: DataFrame, parts: int) -> DataFrame:
     """A stream per partition with the flags of each chunk before its texts; one shuffle, texts compressed."""
-    return texts.unionByName(flags).repartition(parts, "dest").sortWithinPartitions("chunk", "kind")
+    return texts.unionByName(flags).repartitionById(parts, "dest").sortWithinPartitions("chunk", "kind")
 
 
 def _packed(bucket: np.ndarray, doc: np.ndarray, hashes: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
@@ -231,7 +231,7 @@ def repeated_windows(source: DataFrame, length: int, later_only: bool, parts: in
     """
     schema = "bucket int, chunk long, docs binary, counts binary, hashes binary"
     packed = source.mapInArrow(_emitter(length, parts, later_only, extend), schema)
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(later_only, parts), ROWS)
+    return packed.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(later_only, parts), ROWS)
 
 
 def _hits(length: int):
