@@ -32,6 +32,70 @@ def brute(rows):
     return sorted((k, f"{prints[i]:016x}", least[root(i)]) for i, (k, _) in enumerate(rows))
 
 
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def similar_groups(rows, least=0.8):
+    """Lists of ids that links of at least this similarity connect."""
+    sets = [shingle_set(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and similarity(sets[i], sets[j]) >= least:
+                group = [group[j] if g == group[i] else g for g in group]
+    out = {}
+    for g, (k, _) in zip(group, rows):
+        out.setdefault(g, []).append(k)
+    return list(out.values())
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(3000)]
+    base = [list(rng.choice(words, int(rng.integers(40, 400)))) for _ in range(60)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(base)]
+    for k, w in enumerate(base[:40]):
+        w = list(w)
+        w[-1 - k % 3 :] = ["new"] * (1 + k % 3)  # a few words at the end: similarity over 0.9
+        rows.append((100 + k, "\n".join(w).upper()))
+    for k, w in enumerate(base[40:]):
+        rows.append((200 + k, " ".join([*w[: len(w) // 2], *rng.choice(words, len(w) // 2)])))  # half is shared: 0.33
+    rows += [(300, None), (301, ""), (302, "short text"), (303, "Short  text"), (304, "text short"), (305, "one " * 40_000), (306, "one " * 50_000), (306, "one two")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("text", "body").selectExpr("doc_id", "body", "1 AS fp", "'x' AS keys")
+    got = {}
+    for r in simhash.near_duplicates(docs, text_col="body").collect():
+        got.setdefault(r["component_id"], []).append(r["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, similar_groups(rows)))
+    assert simhash.near_duplicates(docs.limit(0), text_col="body").count() == 0
+
+
+def test_fingerprints_tell_similarities_apart():
+    rng = np.random.default_rng(4)
+    far = close = 0
+    for _ in range(200):
+        words = [f"v{x}" for x in rng.integers(0, 1000, 300)]
+        for share, kind in ((0.9, "close"), (0.6, "far")):
+            k = round(300 * share)
+            other = words[:k] + [f"u{x}" for x in rng.integers(0, 1000, round(k / share * (1 - share) / 2))]
+            a, b = [" ".join(w).encode() for w in (words, other)]
+            s = similarity(shingle_set(a.decode()), shingle_set(b.decode()))
+            fp, keys = simhash.signatures([a, b], 5, 8, 8, 3)
+            linked = int(np.bitwise_count(fp[0] ^ fp[1]).sum()) <= simhash.near_radius(0.8, 512) and bool((keys[0] == keys[1]).any())
+            if kind == "close":
+                assert s > 0.8
+                close += linked
+            else:
+                assert s < 0.7
+                far += linked
+    assert close >= 190 and far <= 10
+
+
 def run(spark, rows):
     out = simhash.simhash_dedup(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "fingerprint", "component_id")
     return sorted(tuple(r) for r in out.collect())
