@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from swathe.llm.exact_dedup import exact_dedup
 from swathe.llm.mixing import mix_sources
 from swathe.llm.packing import pack_documents
-from swathe.llm.simhash import simhash_dedup
+from swathe.llm.simhash import near_duplicates
 from swathe.llm.toxicity import fit_toxicity, flag_toxic, score_toxicity
 from swathe.plans.durable import ensure_checkpoint_dir
 
@@ -34,8 +34,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return _only(docs, simhash_dedup(docs.select("doc_id", "text")).where("doc_id <=> component_id"))
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    return _only(docs, near_duplicates(docs.select("doc_id", "text")).where("doc_id <=> component_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
