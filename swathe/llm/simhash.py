@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from swathe.llm.substring_dedup import window_hashes
 from swathe.llm.words import mix, slices, word_hashes
@@ -22,6 +22,10 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 BLOCK = 100_000
 #: Fingerprints of one tile side; a bucket with more is dealt out as pairs of tiles.
 TILE = 2048
+#: Sets of fewer shingles are compared without the fingerprint's estimate, which is rough for them.
+SHORT = 64
+#: Up to so many ids (8 bytes each) go to every executor instead of shuffling the texts; more are joined.
+BROADCAST = 2_000_000
 #: Units up to this size are compared by shifting the sorted array, larger ones tile by tile.
 SMALL = 32
 LANES = [(i, j) for i in range(4) for j in range(i + 1, 4)]
@@ -184,19 +188,22 @@ def _link(prints: DataFrame, radius: int, tile: int) -> DataFrame:
     over many tasks. Of the links found in one batch a spanning forest is returned, so that a dense group costs as many
     links as it has members.
     """
-    keyed = prints.select("fp", "ones", "rep", F.explode(F.array_distinct("keys")).alias("key"))
-    sizes = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    rows = join_facts(keyed, sizes, ["key"], ["n"], "n", F.col("fp"), prints.select(F.sum(F.size("keys"))).first()[0] or 0).where("n is not null")
-    rows = rows.withColumn("s", F.floor((F.col("n") + tile - 1) / tile).cast("int")).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    units = rows.select(
-        "key", F.least("t", "other").alias("lo"), F.greatest("t", "other").alias("hi"), (F.col("t") > F.col("other")).cast("int").alias("side"), "fp", "rep", "ones"
-    )
+    units = _units(prints, "fp", ["fp", "rep", "ones"], tile)
     parts = partitions_for(prints, 32 << 20, 6)
     units = units.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "ones").drop("ones")
     return units.mapInArrow(_linker(radius), "a long, b long")
 
 
+def _units(prints: DataFrame, by: str, columns: list[str], tile: int) -> DataFrame:
+    """(key, lo, hi, side, *columns): rows that share a key; a key with more than ``tile`` is dealt out as pairs of tiles."""
+    keyed = prints.select(*columns, F.explode(F.array_distinct("keys")).alias("key"))
+    sizes = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = join_facts(keyed, sizes, ["key"], ["n"], "n", F.col(by), prints.select(F.sum(F.size("keys"))).first()[0] or 0).where("n is not null")
+    rows = rows.withColumn("s", F.floor((F.col("n") + tile - 1) / tile).cast("int")).withColumn("t", F.pmod(F.xxhash64(by), F.col("s")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    return rows.select("key", F.least("t", "other").alias("lo"), F.greatest("t", "other").alias("hi"), (F.col("t") > F.col("other")).cast("int").alias("side"), *columns)
+
+
 def link_fingerprints(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b): links between the rows (fp long, rep) with distinct fp at Hamming distance ``radius`` (2 at most) or less.
 
@@ -235,12 +242,17 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id",
 
 
 def signatures(texts: list[bytes], shingle: int, words: int, bands: int, each: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints of ``words`` * 64 bits, ``bands`` bucket keys) from a text's distinct shingles of ``shingle`` words,
-    A-Z lower-cased; the whole sequence if it is shorter. A key hashes ``each`` of the text's least hashes."""
+    """(fingerprints of ``words`` * 64 bits, ``bands`` bucket keys) from a text's distinct shingles. A key hashes ``each``
+    of the text's least hashes."""
+    return _signatures(*shingle_sets(texts, shingle), words, bands, each)
+
+
+def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the distinct shingles of all texts, sorted inside each text; how many each text has): shingles of
+    ``shingle`` words, A-Z lower-cased; the whole sequence if it is shorter."""
     docs = [t.lower().split() for t in texts]
     n = np.array([len(d) for d in docs], np.int64)
     h = word_hashes([w for d in docs for w in d])
-    keys = np.zeros((len(texts), bands), np.uint64)
     end = np.repeat(np.cumsum(n), n)
     owner = np.repeat(np.arange(len(texts)), n)
     at = np.flatnonzero(np.arange(len(h)) + shingle <= end)
@@ -256,9 +268,14 @@ def signatures(texts: list[bytes], shingle: int, words: int, bands: int, each: i
     order = np.lexsort((h, of))
     h, of = h[order], of[order]
     once = np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1]))) if len(h) else np.zeros(0, bool)
-    h, of = h[once], of[once]
-    counts, total = np.zeros((len(texts), words * 64), np.int64), np.bincount(of, minlength=len(texts))
-    least = np.full((len(texts), bands * each), np.iinfo(np.uint64).max)
+    return h[once], np.bincount(of[once], minlength=len(texts))
+
+
+def _signatures(h: np.ndarray, total: np.ndarray, words: int, bands: int, each: int) -> tuple[np.ndarray, np.ndarray]:
+    of = np.repeat(np.arange(len(total)), total)
+    keys = np.zeros((len(total), bands), np.uint64)
+    counts = np.zeros((len(total), words * 64), np.int64)
+    least = np.full((len(total), bands * each), np.iinfo(np.uint64).max)
     for s in range(0, len(h), BLOCK):
         x, o = h[s : s + BLOCK], of[s : s + BLOCK]
         starts = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
@@ -268,18 +285,128 @@ def signatures(texts: list[bytes], shingle: int, words: int, bands: int, each: i
             least[o[starts], k] = np.minimum(least[o[starts], k], np.minimum.reduceat(mix(x, np.full(1, 2 * k + 2, np.uint64)), starts))
     fp = np.packbits(counts * 2 > total[:, None], axis=1, bitorder="little").view(np.uint64)
     for b in range(bands):
-        x = np.full(len(texts), b, np.uint64)
+        x = np.full(len(total), b, np.uint64)
         for k in range(each):
             x = mix(x, least[:, b * each + k])
         keys[:, b] = x
     return fp, keys
 
 
-def near_radius(similarity: float, bits: int) -> int:
-    """Differing bits within which texts of this Jaccard similarity stay in five cases of six: a bit differs with a chance
-    of the angle between their sets over pi; one standard deviation is added."""
+def near_radius(similarity: float, bits: int, deviations: float = 1) -> int:
+    """Differing bits within which texts of this Jaccard similarity stay: a bit differs with a chance of the angle between
+    their sets over pi; so many standard deviations are added (one keeps five cases of six, six lose about 1 in 10^9)."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets of hashes is at least ``similarity``; two empty sets are equal."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared)
+
+
+def _candidates(fp: np.ndarray, n: np.ndarray, side: np.ndarray, cross: bool, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, differing bits) of the pairs of a unit that may be similar: set sizes that allow it, and fingerprints within
+    the radius or a set too short for the estimate."""
+    step, out, short = 512, [], n < SHORT
+    for i in range(0, len(fp), step):
+        for j in range(i, len(fp), step):
+            x, y = slice(i, i + step), slice(j, j + step)
+            apart = sum(np.bitwise_count(fp[x, None, w] ^ fp[None, y, w]).astype(np.uint16) for w in range(fp.shape[1]))
+            may = (apart <= radius) | short[x, None] | short[None, y]
+            may &= np.minimum(n[x, None], n[None, y]) >= similarity * np.maximum(n[x, None], n[None, y])
+            if cross:
+                may &= side[x, None] != side[None, y]
+            if i == j:
+                may = np.triu(may, 1)
+            a, b = np.nonzero(may)
+            out.append((a + i, b + j, apart[a, b]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _confirm(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, radius: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Links of a unit: a spanning forest of its similar pairs. Each candidate is tested on the sets themselves unless
+    confirmed links join its ends already; those that look closest come first."""
+    n = np.array([len(x) for x in sets])
+    a, b, apart = _candidates(fp, n, side, cross, radius, similarity)
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    left, right = [], []
+    order = np.argsort(apart, kind="stable")
+    for x, y in zip(a[order].tolist(), b[order].tolist()):
+        r, s = root(x), root(y)
+        if r != s and similar(sets[x], sets[y], similarity):
+            parent[max(r, s)] = min(r, s)
+            left.append(x)
+            right.append(y)
+    return left, right
+
+
+def _confirmer(radius: int, similarity: float):
+    """Links of each unit of a stream that is sorted by unit; one unit is held at a time."""
+    names = ("key", "lo", "hi", "side", "class", "fp", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[int] = []
+        right: list[int] = []
+        now, rows = None, []
+
+        def close() -> None:
+            side, nodes, fp, sets = zip(*rows)
+            prints = np.frombuffer(b"".join(fp), np.uint64).reshape(len(rows), -1)
+            a, b = _confirm(prints, [np.frombuffer(x, np.uint64) for x in sets], np.array(side), now[1] != now[2], radius, similarity)
+            left.extend(nodes[x] for x in a)
+            right.extend(nodes[x] for x in b)
+
+        for batch in batches:
+            for key, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if (key, lo, hi) != now:
+                    if len(rows) > 1:
+                        close()
+                    now, rows = (key, lo, hi), []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            left.clear()
+            right.clear()
+        if len(rows) > 1:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _link_similar(cols: DataFrame, signed: DataFrame, prints: DataFrame, shingle: int, radius: int, similarity: float, tile: int) -> DataFrame:
+    """(a, b): links between the classes of ``prints`` that share a key and whose sets are similar. The sets are not kept
+    with ``signed``: only texts that share a key with another are read again for them."""
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in slices(batches, "text"):
+            classes, sets = _classed(*shingle_sets(texts, shingle))
+            yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(sets, pa.binary())], ["class", "set"])
+
+    units = durable(_units(prints, "class", ["class", "fp"], tile))
+    shared = durable(units.select("class").distinct())
+    ids = durable(signed.select("id", "class").join(shared, "class", "left_semi").select(F.col("id").alias("__id")).distinct())
+    few = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    sets = cols.join(few, cols["id"].eqNullSafe(few["__id"]), "left_semi").select("text").mapInArrow(again, "class long, set binary")
+    sets = durable(sets.groupBy("class").agg(F.first("set").alias("set")))
+    parts = partitions_for(prints, 32 << 20, 6)
+    units = units.join(sets, "class").repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "class")
+    return units.mapInArrow(_confirmer(radius, similarity), "a long, b long")
+
+
+def _classed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(a 64-bit hash of each text's set, the sets as bytes)."""
+    sets = [h[b - k : b].tobytes() for b, k in zip(np.cumsum(n).tolist(), n.tolist())]
+    return np.fromiter(map(xxh3_64_intdigest, sets), np.uint64, len(sets)).view(np.int64), sets
 
 
 def near_duplicates(
@@ -287,9 +414,11 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``docs``: id, component_id (the smallest id reachable over links between similar texts).
 
-    Texts link when their SimHash fingerprints of ``words`` * 64 bits over distinct shingles are within the radius of the
-    Jaccard similarity asked for. Fingerprints are compared by exclusive-or and bit counts inside buckets of texts that
-    share ``each`` least shingle hashes, ``bands`` times over: at similarity 0.8 in 0.997 of all cases, more above.
+    Texts link when the Jaccard similarity of their distinct shingles is at least ``similarity``, by the 64-bit hashes of
+    the shingles. Candidates are texts that share ``each`` least shingle hashes, ``bands`` times over (at similarity 0.8 in
+    0.997 of all cases, more above), and whose SimHash fingerprints of ``words`` * 64 bits are within six deviations of
+    what the similarity gives; sets of under SHORT shingles are candidates by bucket alone. Every link is then confirmed on
+    the sets. Texts with equal sets are one class, told by a 64-bit hash of the set.
 
     Null and empty texts are one class. Texts that are shorter than a shingle are one shingle. Rows that repeat an id are
     rows of their own; an empty table gives an empty result; whole texts are read, however long.
@@ -297,16 +426,23 @@ def near_duplicates(
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, ids in slices(batches, "text", "id"):
-            fp, keys = signatures(texts, shingle, words, bands, each)
-            ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int32)
+            h, n = shingle_sets(texts, shingle)
+            fp, keys = _signatures(h, n, words, bands, each)
+            classes = _classed(h, n)[0]
             lists = pa.ListArray.from_arrays(np.arange(0, len(ids) * bands + 1, bands, dtype=np.int32), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(ones), lists], ["id", "fp", "ones", "keys"])
+            columns = [pa.array(ids, pa.int64()), pa.array(classes), pa.array([x.tobytes() for x in fp], pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "class", "fp", "keys"])
 
     cols = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    signed = durable(cols.mapInArrow(sign, "id long, fp binary, ones int, keys array<long>"))
-    prints = durable(signed.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("ones").alias("ones"), F.min("keys").alias("keys")))
-    links = durable(_link(prints.select("fp", "ones", "rep", "keys"), near_radius(similarity, words * 64), TILE))
-    return _classes(signed, prints, links).select(F.col("id").alias(id_col), "component_id")
+    signed = durable(cols.mapInArrow(sign, "id long, class long, fp binary, keys array<long>"))
+    prints = durable(signed.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    links = durable(_link_similar(cols, signed, prints, shingle, near_radius(similarity, words * 64, 6), similarity, TILE))
+    found = components(links, "a", "b")
+    linked = durable(prints.join(found, prints["class"] == found["node"]).select("class", "component", "rep"))
+    least = linked.join(linked.groupBy("component").agg(F.min("rep").alias("least")), "component").select("class", "least")
+    classes = durable(prints.join(least, "class", "left").select("class", "n", F.coalesce("least", "rep").alias("component_id")))
+    out = join_facts(signed.select("id", "class"), classes, ["class"], ["component_id"], "n", F.col("id"), signed.count())
+    return out.select(F.col("id").alias(id_col), "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

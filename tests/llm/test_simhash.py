@@ -139,3 +139,27 @@ def test_links_of_a_large_bucket_equal_all_pairs(spark):
                         want[int(j)] = i
                         todo.append(int(j))
     assert all(got.get(i, i) == c for i, c in want.items())
+
+
+def near_pairs(lengths=(24, 90, 300)):
+    """Rows of text pairs, each pair with a vocabulary of its own, whose similarities lie on both sides of 0.8."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for p in range(120):
+        n = lengths[p % len(lengths)]
+        words = [f"p{p}x{x}" for x in rng.permutation(n)]
+        other = words[: n - int(rng.integers(0, max(2, n // 4)))]
+        rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join([*other, *[f"q{p}y{k}" for k in range(int(rng.integers(0, max(2, n // 12))))]]))]
+    return rows
+
+
+def test_near_links_are_those_of_the_true_similarity(spark):
+    rows = near_pairs()
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    sets = [shingle_set(t) for _, t in rows]
+    true = [similarity(sets[i], sets[i + 1]) for i in range(0, len(rows), 2)]
+    linked = [got[i + 1] == i for i in range(0, len(rows), 2)]
+    assert 20 < sum(s >= 0.8 for s in true) < 100 and sum(0.6 < s < 0.8 for s in true) > 15
+    assert not [s for s, x in zip(true, linked) if x and s < 0.8]
+    missed = [s for s, x in zip(true, linked) if not x and s >= 0.8]
+    assert len(missed) <= 1 and all(s < 0.85 for s in missed)
