@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,7 @@ from xxhash import xxh3_64_intdigest
 from swathe.llm.words import crc_fold, mix, slices, word_hashes
 from swathe.plans.durable import durable, plan_bytes
 
-#: Restaurants: the word before, hashed to so many classes (one more is the start of a text).
-CLASSES = 8192
+#: The token after each text. As nothing follows it inside a text, it stands for the start as a context too.
 END = xxh3_64_intdigest(b"\n")
 #: Tokens and documents that a task packs at a time; file bytes of input for each bucket of words.
 CHUNK, CHUNK_DOCS, BUCKET_BYTES = 1_200_000, 32_000, 24 << 20
@@ -30,12 +30,11 @@ THETA, THETA_ROOT = 1.0, 1.0
 
 @dataclass
 class Totals:
-    """What all buckets share: fixed in size, whatever the corpus. Per context class and per hot word."""
+    """What all buckets share: fixed in size, whatever the corpus. Per hot word; contexts have a table of their own."""
 
     tokens: float
     words: float
-    class_tokens: np.ndarray
-    class_tables: np.ndarray
+    tables: float  # of all contexts: the root's customers
     hot_tokens: np.ndarray
     hot_tables: np.ndarray
     root_tables: float
@@ -63,15 +62,53 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
-def strength(tokens: np.ndarray, tables: np.ndarray, d: float) -> float:
-    """The concentration that all restaurants share, by greatest likelihood of their numbers of customers and tables."""
+STRENGTHS = np.logspace(-1, 5, 61)
+
+
+def likelihoods(tokens: np.ndarray, tables: np.ndarray, d: float) -> np.ndarray:
+    """The log likelihood of restaurants' numbers of customers and tables for each of STRENGTHS, which all would share."""
     used = tokens > 0
     c, t = tokens[used], np.maximum(tables[used], 1)
-    grid = np.logspace(-1, 5, 61)
-    if not len(c):
-        return THETA
-    fit = [float((_lgamma(x / d + t) - _lgamma(x / d + np.ones(1)) - _lgamma(x + c) + _lgamma(x + np.ones(1))).sum()) for x in grid]
-    return float(grid[int(np.argmax(fit))])
+    return np.array([(_lgamma(x / d + t) - _lgamma(x / d + np.ones(1)) - _lgamma(x + c) + _lgamma(x + np.ones(1))).sum() for x in STRENGTHS])
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the fewest bytes each that hold them all."""
+    top = x.max(initial=0)
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def squeeze(x: np.ndarray, steps: bool = False) -> bytes:
+    """Unsigned numbers as compressed byte planes; of ``steps`` (sorted numbers, or runs of such) the differences."""
+    if steps:
+        x = np.concatenate((x[:1], x[1:] - x[:-1]))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T))
+
+
+def loosen(data: bytes, width: int = 0, n: int = 0, steps: bool = False) -> np.ndarray:
+    """What ``squeeze`` was given, told by the bytes of a number or by how many there are."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    width = width or (len(raw) // n if n else 1)
+    x = np.ascontiguousarray(raw.reshape(width, -1).T).view(f"u{width}").ravel()
+    return np.cumsum(x, dtype=x.dtype) if steps else x
+
+
+def _label(parts: int) -> np.ndarray:
+    """For each partition a number that Spark's hash sends there, so that buckets fill partitions evenly."""
+    found: dict[int, int] = {}
+    x = 0
+    while len(found) < parts:
+        k = x * 0xCC9E2D51 & 0xFFFFFFFF
+        k = (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF
+        h = 42 ^ k
+        h = ((h << 13 | h >> 19) & 0xFFFFFFFF) * 5 + 0xE6546B64 & 0xFFFFFFFF
+        h ^= 4
+        h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+        h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+        h ^= h >> 16
+        found.setdefault((h - (h >> 31 << 32)) % parts, x)
+        x += 1
+    return np.array([found[p] for p in range(parts)], np.int32)
 
 
 def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -96,34 +133,42 @@ def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.r
 
 
 def _packer(buckets: int, hot: np.ndarray):
-    names = ["bucket", "chunk", "kind", "a", "b", "c", "d", "e"]
+    names, labels = ["bucket", "chunk", "kind", *"abcdef"], _label(buckets)
 
-    def close(chunk: int, ids: list, n: list[np.ndarray], w: list[np.ndarray], k: list[np.ndarray]) -> pa.RecordBatch:
+    def close(chunk: int, ids: list, n: list[np.ndarray], w: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.concatenate(n)
         train = np.array([i is not None and crc_fold(i) != 1 for i in ids])
         doc = np.repeat(np.arange(len(ids), dtype=np.int64), lengths)
         uw, at = np.unique(np.concatenate(w), return_inverse=True)
-        key, times = np.unique((at.astype(np.int64) << 29) | (np.concatenate(k).astype(np.int64) << 15) | doc, return_counts=True)
-        wi, ki, di = key >> 29, (key >> 15 & 0x3FFF).astype(np.uint16), (key & 0x7FFF).astype(np.uint16)
-        di |= (train[di].astype(np.uint16)) << np.uint16(15)
+        before = np.concatenate((at[-1:], at[:-1]))  # the word before; at the start of a text the END of another
+        width = len(uw).bit_length()
+        if 2 * width <= 48:
+            key, times = np.unique((at << (width + 15)) | (before << 15) | doc, return_counts=True)
+            wi, ki, di = key >> (width + 15), key >> 15 & ((1 << width) - 1), key & 0x7FFF
+        else:
+            pairs, pair = np.unique((at << 32) | before, return_inverse=True)
+            key, times = np.unique((pair << 15) | doc, return_counts=True)
+            wi, ki, di = pairs[key >> 15] >> 32, pairs[key >> 15] & 0xFFFFFFFF, key & 0x7FFF
+        di = di.astype(np.uint16)
+        di |= train[di].astype(np.uint16) << np.uint16(15)
         route = uw[wi]
         if len(hot):
             is_hot = np.isin(uw, hot)[wi]
-            route = np.where(is_hot, mix(route, ki.astype(np.uint64)), route)
+            route = np.where(is_hot, mix(route, uw[ki]), route)
         bucket = (mix(route, route) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
         bucket, wi, ki, di, times = bucket[order], wi[order], ki[order], di[order], times[order]
         cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        rows = [(chunk % buckets, chunk, HEADER, np.array([0 if i is None else i for i in ids], np.int64).tobytes(), lengths.astype(np.uint32).tobytes(),
-                 np.array([i is None for i in ids], np.uint8).tobytes(), b"", b"")]
+        rows = [(int(labels[chunk % buckets]), chunk, HEADER, np.array([0 if i is None else i for i in ids], np.int64).tobytes(), lengths.astype(np.uint32).tobytes(),
+                 np.array([i is None for i in ids], np.uint8).tobytes(), b"", b"", b"")]
         for s, z in zip(cut, np.append(cut[1:], len(bucket))):
             x = wi[s:z]
             new = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
             runs = np.diff(np.append(new, len(x))).astype(np.uint32)
-            m = times[s:z]
-            m = m.astype(np.uint8 if m.max() < 256 else np.uint32)
-            rows.append((int(bucket[s]), chunk, DATA, uw[x[new]].tobytes(), runs.tobytes(), ki[s:z].tobytes(), di[s:z].tobytes(), m.tobytes()))
-        kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+            contexts, c = np.unique(ki[s:z], return_inverse=True)
+            row = (squeeze(uw[x[new]], True), squeeze(runs), squeeze(small(c), True), squeeze(di[s:z]), squeeze(small(times[s:z])), squeeze(uw[contexts], True))
+            rows.append((int(labels[bucket[s]]), chunk, DATA, *row))
+        kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,48 +176,54 @@ def _packer(buckets: int, hot: np.ndarray):
         ids: list = []
         n: list[np.ndarray] = []
         w: list[np.ndarray] = []
-        k: list[np.ndarray] = []
         size = 0
         for texts, doc_ids in slices(batches, "text", "doc_id"):
             for s in range(0, len(texts), CHUNK_DOCS):
                 docs = [t.lower().split() for t in texts[s : s + CHUNK_DOCS]]
                 lengths = np.array([len(d) + 1 for d in docs], np.int64)
                 if ids and (size + lengths.sum() > CHUNK or len(ids) + len(docs) > CHUNK_DOCS):
-                    yield close(chunk, ids, n, w, k)
-                    chunk, ids, n, w, k, size = chunk + 1, [], [], [], [], 0
+                    yield close(chunk, ids, n, w)
+                    chunk, ids, n, w, size = chunk + 1, [], [], [], 0
                 ends = np.cumsum(lengths)
                 words = np.full(int(ends[-1]), END, np.uint64)
                 inner = np.ones(len(words), bool)
                 inner[ends - 1] = False
                 words[inner] = word_hashes([x for d in docs for x in d])
-                context = np.empty(len(words), np.uint16)
-                context[1:] = (words[:-1] % np.uint64(CLASSES)).astype(np.uint16)
-                context[np.concatenate(([0], ends[:-1]))] = CLASSES
                 ids += doc_ids[s : s + CHUNK_DOCS]
                 n.append(lengths)
                 w.append(words)
-                k.append(context)
                 size += len(words)
         if ids:
-            yield close(chunk, ids, n, w, k)
+            yield close(chunk, ids, n, w)
 
     return run
 
 
 class Bucket:
-    """The (word, context class) pairs of a bucket with their training counts, and the entries of its chunks."""
+    """The (word, context) pairs of a bucket with their training counts, and the entries of its chunks. ``contexts`` are
+    sorted by shard, where the totals of a context meet, then by hash."""
 
-    def __init__(self, rows: list[tuple], hot: np.ndarray):
-        a = [np.frombuffer(r[1], np.uint64) for r in rows]
+    def __init__(self, rows: list[tuple], hot: np.ndarray, shards: int):
+        a = [loosen(r[1], 8, steps=True) for r in rows]
         self.words, inverse = np.unique(np.concatenate(a), return_inverse=True)
-        runs = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
-        key = np.repeat(inverse.astype(np.int64), runs) << 14 | np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows])
-        doc = np.concatenate([np.frombuffer(r[4], np.uint16) for r in rows])
-        counts = [len(r[4]) // 2 for r in rows]
-        self.times = np.concatenate([np.frombuffer(r[5], np.uint8 if len(r[5]) == n else np.uint32).astype(np.uint32) for r, n in zip(rows, counts)])
+        runs = np.concatenate([loosen(r[2], 4) for r in rows])
+        docs = [loosen(r[4], 2) for r in rows]
+        counts = [len(d) for d in docs]
+        lists = [loosen(r[6], 8, steps=True) for r in rows]
+        contexts, at = np.unique(np.concatenate(lists), return_inverse=True)
+        shard = (mix(contexts, contexts) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.contexts, self.cuts = contexts[order], np.searchsorted(shard[order], np.arange(shards + 1))
+        starts = np.cumsum([0, *map(len, lists)])
+        context = np.concatenate([rank[at[s : s + len(x)]][loosen(r[3], n=n, steps=True)] for r, n, s, x in zip(rows, counts, starts, lists)])
+        key = np.repeat(inverse.astype(np.int64), runs) << 32 | context
+        doc = np.concatenate(docs)
+        self.times = np.concatenate([loosen(r[5], n=n).astype(np.int64) for r, n in zip(rows, counts)])
         self.chunks, self.ends = [r[0] for r in rows], np.cumsum(counts)
         pair, self.entry = np.unique(key, return_inverse=True)
-        self.word, self.context = pair >> 14, pair & 0x3FFF
+        self.word, self.context = pair >> 32, pair & 0xFFFFFFFF
         train = self.times * (doc >> 15)
         self.doc = doc & 0x7FFF
         self.count = np.bincount(self.entry, train, len(pair))
@@ -182,14 +233,29 @@ class Bucket:
             at = np.minimum(np.searchsorted(hot, self.words), len(hot) - 1)
             self.hot = np.where(hot[at] == self.words, at, -1)
 
-    def sweep(self, t: Totals, tables: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def read(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """(customers, tables) of each context over all buckets."""
+        rows = sorted(zip(*(replies.column(c).to_pylist() for c in ("shard", "tokens", "tables"))))
+        sizes = np.diff(self.cuts).tolist()
+        return tuple(np.concatenate([loosen(r[k], n=sizes[r[0]]) for r in rows]).astype(np.float64) for k in (1, 2))
+
+    def tell(self, bucket: int, tables: np.ndarray, v: np.ndarray) -> list[tuple]:
+        """Messages: this bucket's customers and tables of each context to the context's shard, and ``v`` to one of 16."""
+        n, t = (np.bincount(self.context, x, len(self.contexts)) for x in (self.count, tables))
+        out: list[tuple] = [(bucket % min(16, len(self.cuts) - 1), bucket, v.tobytes(), b"", b"", b"")]
+        for shard in np.flatnonzero(np.diff(self.cuts)):
+            s = slice(self.cuts[shard], self.cuts[shard + 1])
+            out.append((int(shard), bucket, b"", squeeze(self.contexts[s], True), squeeze(small(n[s])), squeeze(small(t[s]))))
+        return out
+
+    def sweep(self, t: Totals, context_tables: np.ndarray, tables: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(parent probabilities, tables of each pair, root tables of each word) after reseating every dish once.
 
         Each dish's customers leave its restaurant and are seated again, given the parent and the totals of the others.
         """
         parent, root = self.parent(t, tables, rng)
         d = t.discount
-        strength = (t.theta + d * t.class_tables[self.context]) * parent[self.word]
+        strength = (t.theta + d * context_tables[self.context]) * parent[self.word]
         return parent, seat(self.count, strength, d, rng), root
 
     def parent(self, t: Totals, tables: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -199,15 +265,14 @@ class Bucket:
         d, known = t.root_discount, np.where(shared, t.hot_tokens[self.hot] if len(t.hot_tokens) else 0, self.word_count) > 0
         base = np.where(known, (1 - UNSEEN) / max(t.words, 1), UNSEEN)
         root = seat(customers, (THETA_ROOT + d * t.root_tables) * base, d, rng)
-        total = t.class_tables.sum()
-        return (np.maximum(customers - d * root, 0) + (THETA_ROOT + d * t.root_tables) * base) / (THETA_ROOT + total), root
+        return (np.maximum(customers - d * root, 0) + (THETA_ROOT + d * t.root_tables) * base) / (THETA_ROOT + t.tables), root
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple], list[tuple]]]:
     """(bucket, data rows, headers) of a stream sorted by bucket."""
     now, rows, heads = None, [], []
     for batch in batches:
-        for bucket, chunk, kind, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "kind", "a", "b", "c", "d", "e"))):
+        for bucket, chunk, kind, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "kind", *"abcdef"))):
             if bucket != now and now is not None:
                 yield now, rows, heads
                 rows, heads = [], []
@@ -218,112 +283,144 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
 
 
 def _vector(t: Totals) -> np.ndarray:
-    return np.concatenate(([t.tokens, t.words, t.root_tables], t.ones, t.class_tokens, t.class_tables, t.hot_tokens, t.hot_tables))
+    return np.concatenate(([t.tokens, t.words, t.root_tables, t.tables], t.ones, t.hot_tokens, t.hot_tables))
 
 
 def _totals(v: np.ndarray, hot: int) -> Totals:
-    a, k = 7, CLASSES + 1
-    return Totals(v[0], v[1], v[a : a + k], v[a + k : a + 2 * k], v[a + 2 * k : a + 2 * k + hot], v[a + 2 * k + hot :], v[2], v[3:7])
+    return Totals(v[0], v[1], v[3], v[8 : 8 + hot], v[8 + hot :], v[2], v[4:8])
 
 
-def _summing(make, width: int):
-    """Sums the vectors that ``make`` gives for the buckets of a task: one row of fixed size a task."""
+MESSAGE = "shard int, bucket int, v binary, contexts binary, tokens binary, tables binary"
+ANSWER = "bucket int, shard int, v binary, tokens binary, tables binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
-        for v in make(batches):
-            total += v
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    return run
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows)) or [[] for _ in fields]
+    return pa.table({name: pa.array(c, kinds[kind]) for c, (name, kind) in zip(columns, fields)})
 
 
-def _gather(packed: DataFrame, make, width: int) -> np.ndarray:
-    """The sum over all buckets: by task, then over at most 16 tasks, then 16 vectors on the driver."""
+def _merging(d: float | None, width: int):
+    """Adds up the messages of each shard, a stream sorted by shard: every bucket is told the customers and tables of the
+    contexts that it asked for, in its order; row -1 has the sums of the vectors and, given ``d``, the likelihoods."""
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    def close(shard: int, rows: list[tuple]) -> pa.RecordBatch:
+        v = sum((np.frombuffer(r[1]) for r in rows if r[1]), np.zeros(width))
+        rows = [r for r in rows if r[2]]
+        fit, out = np.zeros(len(STRENGTHS)), []
+        if rows:
+            lists = [loosen(r[2], 8, steps=True) for r in rows]
+            contexts, at = np.unique(np.concatenate(lists), return_inverse=True)
+            sizes = [len(x) for x in lists]
+            n, t = (np.bincount(at, np.concatenate([loosen(r[k], n=size) for r, size in zip(rows, sizes)]), len(contexts)) for k in (3, 4))
+            if d is not None:
+                fit = likelihoods(n, t, d)
+            ends = np.cumsum(sizes)
+            out = [(r[0], shard, b"", squeeze(small(n[at[e - size : e]])), squeeze(small(t[at[e - size : e]]))) for r, size, e in zip(rows, sizes, ends)]
+        return _table([*out, (-1, shard, np.concatenate((v, fit)).tobytes(), b"", b"")], ANSWER).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
         for batch in batches:
-            for x in batch.column("v").to_pylist():
-                yield np.frombuffer(x)
+            for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "bucket", "v", "contexts", "tokens", "tables"))):
+                if shard != now and now is not None:
+                    yield close(now, rows)
+                    rows = []
+                now = shard
+                rows.append(tuple(row))
+        if now is not None:
+            yield close(now, rows)
+
+    return run
 
-    parts = packed.mapInArrow(_summing(make, width), "v binary").withColumn("p", F.spark_partition_id() % 16)
-    rows = parts.repartitionById(16, "p").select("v").mapInArrow(_summing(again, width), "v binary").collect()
-    return sum((np.frombuffer(bytes(r[0])) for r in rows), np.zeros(width))
 
+def _meet(messages: DataFrame, shards: int, hot: int, d: float | None) -> tuple[DataFrame, Totals, float]:
+    """(what each bucket is told about its contexts, the sums of the buckets' vectors, the likeliest concentration)."""
+    width = 8 + 2 * hot
+    sorted_ = messages.repartitionById(shards, "shard").sortWithinPartitions("shard", "bucket")
+    answers = durable(sorted_.mapInArrow(_merging(d, width), ANSWER))
+    rows = sorted((r[0], bytes(r[1])) for r in answers.where("bucket = -1").select("shard", "v").collect())
+    v = sum((np.frombuffer(x) for _, x in rows), np.zeros(width + len(STRENGTHS)))
+    theta = float(STRENGTHS[int(np.argmax(v[width:]))]) if v[width:].any() else THETA
+    return answers.where("bucket >= 0").drop("v"), _totals(v[:width], hot), theta
 
-def _counting(hot: np.ndarray):
+
+def _counting(hot: np.ndarray, shards: int):
     """Counts, with one table for each pair to begin with."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, rows, _ in _buckets(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows, _ in _buckets(batches):
             if rows:
-                b = Bucket(rows, hot)
+                b = Bucket(rows, hot, shards)
                 seen, own = b.count > 0, b.hot < 0
                 kinds = np.bincount(b.word[seen], minlength=len(b.words))
                 per_hot = [np.bincount(b.hot[~own], x[~own], len(hot)) if len(hot) else np.empty(0) for x in (b.word_count, kinds)]
-                yield _vector(
-                    Totals(
-                        b.count.sum(), (own & (b.word_count > 0)).sum(), np.bincount(b.context, b.count, CLASSES + 1), np.bincount(b.context[seen], minlength=CLASSES + 1),
-                        *per_hot, 0.0, np.array([(b.count == 1).sum(), (b.count == 2).sum(), (own & (kinds == 1)).sum(), (own & (kinds == 2)).sum()]),
-                    )
-                )
+                ones = np.array([(b.count == 1).sum(), (b.count == 2).sum(), (own & (kinds == 1)).sum(), (own & (kinds == 2)).sum()])
+                v = _vector(Totals(b.count.sum(), (own & (b.word_count > 0)).sum(), seen.sum(), *per_hot, 0.0, ones))
+                yield from _table(b.tell(bucket, seen, v), MESSAGE).to_batches()
+
+    return run
 
-    return make
 
+def _data(packed: pa.Table) -> tuple[int, list[tuple], list[tuple]]:
+    return next(_buckets(iter(packed.to_batches())), (0, [], []))
 
-def _sampling(t: Totals, hot: np.ndarray, sweeps: int, seed: int):
-    """Sweeps inside each bucket given the totals; what the seating adds up to."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for bucket, rows, _ in _buckets(batches):
-            if rows:
-                b, rng = Bucket(rows, hot), np.random.default_rng([seed, bucket])
-                tables, root = np.minimum(b.count, 1), None
-                for _ in range(sweeps):
-                    _, tables, root = b.sweep(t, tables, rng)
-                own = b.hot < 0
-                sums = np.bincount(b.word, tables, len(b.words))
-                hot_tables = np.bincount(b.hot[~own], sums[~own], len(hot)) if len(hot) else np.empty(0)
-                yield _vector(Totals(0, 0, np.zeros(CLASSES + 1), np.bincount(b.context, tables, CLASSES + 1), np.zeros(len(hot)), hot_tables, root[own].sum(),
-                                     np.array([0, 0, (own & (sums == 1)).sum(), (own & (sums == 2)).sum()])))
+def _sampling(t: Totals, hot: np.ndarray, sweeps: int, seed: int, shards: int):
+    """Sweeps inside a bucket given the totals; what the seating adds up to."""
 
-    return make
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        bucket, rows, _ = _data(packed)
+        if not rows:
+            return _table([], MESSAGE)
+        b, rng = Bucket(rows, hot, shards), np.random.default_rng([seed, bucket])
+        context_tables = b.read(answers)[1]
+        tables, root = np.minimum(b.count, 1), None
+        for _ in range(sweeps):
+            _, tables, root = b.sweep(t, context_tables, tables, rng)
+        own = b.hot < 0
+        sums = np.bincount(b.word, tables, len(b.words))
+        hot_tables = np.bincount(b.hot[~own], sums[~own], len(hot)) if len(hot) else np.empty(0)
+        ones = np.array([0, 0, (own & (sums == 1)).sum(), (own & (sums == 2)).sum()])
+        return _table(b.tell(bucket, tables, _vector(Totals(0, 0, tables.sum(), np.zeros(len(hot)), hot_tables, root[own].sum(), ones))), MESSAGE)
+
+    return run
 
 
 REPLY = "chunk long, kind int, a binary, b binary, c binary, d binary"
 
 
-def _scoring(t: Totals, hot: np.ndarray, burn: int, samples: int, seed: int):
+def _scoring(t: Totals, hot: np.ndarray, burn: int, samples: int, seed: int, shards: int):
     """For each chunk the sums over its documents' entries: known tokens, base and log10 of the averaged predictive."""
-    names = ["chunk", "kind", "a", "b", "c", "d"]
-    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows, heads in _buckets(batches):
-            out = [(h[0], HEADER, h[1], h[2], h[3], b"") for h in heads]
-            if rows:
-                b, rng = Bucket(rows, hot), np.random.default_rng([seed, bucket])
-                tables, total = np.minimum(b.count, 1), np.zeros(len(b.count))
-                d, c = t.discount, t.class_tokens[b.context]
-                for s in range(burn + samples):
-                    parent, tables, _ = b.sweep(t, tables, rng)
-                    if s >= burn:
-                        lower = (t.theta + d * t.class_tables[b.context]) * parent[b.word]
-                        total += np.where(c > 0, (np.maximum(b.count - d * tables, 0) + lower) / (t.theta + c), parent[b.word])
-                score = np.log10(total / samples)
-                count = b.word_count.copy()
-                shared = b.hot >= 0
-                count[shared] = t.hot_tokens[b.hot[shared]]
-                base = np.log10((count + 0.5) / (t.tokens + 0.5 * (t.words + 1)))[b.word]
-                known = (count > 0)[b.word]
-                start = 0
-                for chunk, end in zip(b.chunks, b.ends):
-                    e, m = b.entry[start:end], b.times[start:end]
-                    docs, at = np.unique(b.doc[start:end], return_inverse=True)
-                    sums = [np.bincount(at, m * x[e], len(docs)) for x in (known, base, score)]
-                    out.append((chunk, DATA, docs.astype(np.uint16).tobytes(), sums[0].astype(np.uint32).tobytes(), sums[1].tobytes(), sums[2].tobytes()))
-                    start = end
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        bucket, rows, heads = _data(packed)
+        out = [(h[0], HEADER, h[1], h[2], h[3], b"") for h in heads]
+        if rows:
+            b, rng = Bucket(rows, hot, shards), np.random.default_rng([seed, bucket])
+            tables, total = np.minimum(b.count, 1), np.zeros(len(b.count))
+            context_tokens, context_tables = b.read(answers)
+            d, c = t.discount, context_tokens[b.context]
+            for s in range(burn + samples):
+                parent, tables, _ = b.sweep(t, context_tables, tables, rng)
+                if s >= burn:
+                    lower = (t.theta + d * context_tables[b.context]) * parent[b.word]
+                    total += np.where(c > 0, (np.maximum(b.count - d * tables, 0) + lower) / (t.theta + c), parent[b.word])
+            score = np.log10(total / samples)
+            count = b.word_count.copy()
+            shared = b.hot >= 0
+            count[shared] = t.hot_tokens[b.hot[shared]]
+            base = np.log10((count + 0.5) / (t.tokens + 0.5 * (t.words + 1)))[b.word]
+            known = (count > 0)[b.word]
+            start = 0
+            for chunk, end in zip(b.chunks, b.ends):
+                e, m = b.entry[start:end], b.times[start:end]
+                docs, at = np.unique(b.doc[start:end], return_inverse=True)
+                sums = [np.bincount(at, m * x[e], len(docs)) for x in (known, base, score)]
+                out.append((chunk, DATA, docs.astype(np.uint16).tobytes(), sums[0].astype(np.uint32).tobytes(), sums[1].tobytes(), sums[2].tobytes()))
+                start = end
+        return _table(out, REPLY)
 
     return run
 
@@ -365,18 +462,32 @@ def hot_words(cols: DataFrame, docs: int = ROUTING_DOCS) -> np.ndarray:
     return np.unique(np.array([END, *(xxh3_64_intdigest(r[0].encode().lower()) for r in found)], np.uint64))
 
 
+def _in_place(df: DataFrame) -> DataFrame:
+    """``durable`` that remembers how its rows are partitioned, so that a cogroup by the same key moves only the other
+    side. The adaptive planner forgets it; it is off while this is planned."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return durable(df)
+    finally:
+        conf.set(name, before)
+
+
 def score_documents(docs: DataFrame, syncs: int = 2, sweeps: int = 2, samples: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
-    A token's context is the word before it, hashed to CLASSES restaurants that share the unigram restaurant as their
-    parent; its base gives half to the one unseen word and the rest evenly to the known words. Documents with
+    A token's context is the word before it, told by its 64-bit hash: a restaurant for each word of the corpus, all with
+    the unigram restaurant as their parent; its base gives half to the one unseen word and the rest evenly to the known words. Documents with
     crc32(doc_id) mod 5 other than 1 are the customers. Sampling: inside a bucket of words each dish is taken out and
     seated again given its parent and the totals of all restaurants; between passes the totals of the buckets are added
     up (as in distributed Gibbs samplers, the totals are of the last pass) and the restaurants' common concentration is
     estimated from them. Probabilities are averaged over samples.
 
     The corpus is shuffled once, as packed blobs by word, and kept durably; counting, sampling and scoring read them in
-    place. Only vectors of fixed size reach the driver. Words that are common in a sample are dealt by context as well.
+    place. The customers and tables of the contexts are a distributed table: each bucket sends its share of them to shards
+    by context, where they are added up, and is told the sums of its own contexts before the next pass. Only vectors of
+    fixed size reach the driver. Words that are common in a sample are dealt by context as well.
     Null and empty texts are one end token. Rows with a null id are scored and not learnt from; rows that repeat an id
     each count. An empty table gives an empty result; other columns are ignored. Reruns over the same files agree.
     """
@@ -385,19 +496,21 @@ def score_documents(docs: DataFrame, syncs: int = 2, sweeps: int = 2, samples: i
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = plan_bytes(cols)
     parts = max(min(least, 64), size // BUCKET_BYTES + 1 if size < 1 << 50 else 0)
-    schema = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary, e binary"
-    packed = durable(cols.mapInArrow(_packer(parts, hot), schema).repartitionById(parts, "bucket").sortWithinPartitions("bucket"))
-    width = 7 + 2 * (CLASSES + 1) + 2 * len(hot)
-    t = _totals(_gather(packed, _counting(hot), width), len(hot))
+    schema = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
+    packed = _in_place(cols.mapInArrow(_packer(parts, hot), schema).repartition(parts, "bucket").sortWithinPartitions("bucket"))
+
+    def visit(run, answers: DataFrame, schema: str) -> DataFrame:
+        return packed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, schema)
+
+    answers, t, _ = _meet(packed.mapInArrow(_counting(hot, parts), MESSAGE), parts, len(hot), None)
     t.words += float((t.hot_tokens > 0).sum())
     t.root_tables = t.words
     for k in range(syncs):
-        s = _totals(_gather(packed, _sampling(t, hot, sweeps, seed + k), width), len(hot))
+        answers, s, theta = _meet(visit(_sampling(t, hot, sweeps, seed + k, parts), answers, MESSAGE), parts, len(hot), t.discount)
         d, rng = t.root_discount, np.random.default_rng(seed + k)
         hot_root = seat(s.hot_tables, np.full(len(hot), (THETA_ROOT + d * t.root_tables) * (1 - UNSEEN) / max(t.words, 1)), d, rng)
-        t = Totals(t.tokens, t.words, t.class_tokens, s.class_tables, t.hot_tokens, s.hot_tables, s.root_tables + float(hot_root.sum()), np.concatenate((t.ones[:2], s.ones[2:])))
-        t.theta = strength(t.class_tokens, t.class_tables, t.discount)
-    replies = packed.mapInArrow(_scoring(t, hot, 1, samples, seed + syncs), REPLY)
+        t = Totals(t.tokens, t.words, s.tables, t.hot_tokens, s.hot_tables, s.root_tables + float(hot_root.sum()), np.concatenate((t.ones[:2], s.ones[2:])), theta)
+    replies = visit(_scoring(t, hot, 1, samples, seed + syncs, parts), answers, REPLY)
     rows = replies.repartition(max(parts, least), "chunk").sortWithinPartitions("chunk", "kind").select("kind", "a", "b", "c", "d")
     out = rows.mapInArrow(_finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(int(t.tokens)).cast("long"))

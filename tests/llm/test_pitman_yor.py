@@ -58,3 +58,53 @@ def test_seating_has_the_mean_of_one_by_one():
         plain.append(t)
     assert abs(fast - np.mean(plain)) < 0.1 * np.mean(plain)
     assert P.seat(np.array([0, 1]), np.array([1.0, 1.0]), d, rng).tolist() == [0, 1]
+
+
+def test_each_context_word_has_a_restaurant_of_its_own(spark):
+    """Words whose hashes agree in their low 13 bits have followers of their own; so has each of 9,000 further words."""
+    seen, pair = {}, None
+    for k in range(10_000):
+        low = P.xxh3_64_intdigest(f"c{k}".encode()) % 8192
+        if low in seen:
+            pair = seen[low], f"c{k}"
+            break
+        seen[low] = f"c{k}"
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    train = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    follower = dict(zip(pair, ("left", "right")))
+    rows = [(i, f"{pair[i % 2]} {follower[pair[i % 2]]}", 0, "c") for i in train] + [(i, f"{w} {follower[w]}", 0, "c") for i, w in zip(held, pair)]
+    got = {r["doc_id"]: r["score"] for r in P.score_documents(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    # the first word is one of two; the follower and the end are all but certain
+    assert all(abs(got[i] - math.log10(0.5)) < 0.1 for i in held)
+
+
+def test_totals_of_contexts_equal_plain_counts(spark):
+    data = [(i, t) for i, t in corpus() if i is not None]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    hot = P.hot_words(docs)
+    schema = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
+    packed = P._in_place(docs.mapInArrow(P._packer(5, hot), schema).repartition(5, "bucket").sortWithinPartitions("bucket"))
+    answers, t, _ = P._meet(packed.mapInArrow(P._counting(hot, 5), P.MESSAGE), 5, len(hot), None)
+    pairs = Counter()
+    for i, text in data:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            words = tokens(text)
+            pairs.update(zip([b"\n", *words[:-1]], words))
+    assert (t.tokens, t.tables) == (sum(pairs.values()), len(pairs))
+    want = {}
+    for (u, _), n in pairs.items():
+        a, b = want.get(P.xxh3_64_intdigest(u), (0, 0))
+        want[P.xxh3_64_intdigest(u)] = a + n, b + 1
+
+    def read(packed, answers):
+        bucket, rows, _ = P._data(packed)
+        if not rows:
+            return P._table([], "u long, n long, t long")
+        b = P.Bucket(rows, hot, 5)
+        return P._table([(int(u.view("i8")), int(n), int(t)) for u, n, t in zip(b.contexts, *b.read(answers))], "u long, n long, t long")
+
+    visit = packed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(read, "u long, n long, t long")
+    got = {(r["u"] % (1 << 64), r["n"], r["t"]) for r in visit.collect()}
+    assert {x for x in got if x[1]} == {(u, *x) for u, x in want.items()}
+    assert {u for u, n, _ in got if not n}.isdisjoint(want)
+    assert visit._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1  # of the answers alone
