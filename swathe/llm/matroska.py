@@ -214,8 +214,9 @@ def features(media: Media, payload: bytes) -> str:
     """Counts of the container and the level, spread and sign changes of the samples around 128, all whole numbers."""
     x = np.frombuffer(payload, np.uint8).astype(np.int32)
     signs = x >= 128
+    starts = set(media.clusters)
     return (
-        f"packets={len(media.packets)};clusters={len(media.clusters)};cues={sum(c[2] in media.clusters for c in media.cues[:64])};"
+        f"packets={len(media.packets)};clusters={len(media.clusters)};cues={sum(c[2] in starts for c in media.cues)};"
         f"tracks={len(media.codecs)};last_ns={media.packets[-1][0]};sum={int(x.sum(dtype=np.int64))};"
         f"energy={int((x * x).sum(dtype=np.int64))};crossings={int(np.count_nonzero(signs[1:] != signs[:-1]))};peak={int(x.max())}"
     )

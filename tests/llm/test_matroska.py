@@ -39,6 +39,13 @@ def test_cues_and_times():
     assert times == sorted(times) and times[0] == 0
 
 
+def test_all_cues_are_counted():
+    payload = bytes(70 << 17)  # 70 clusters of 131,072 bytes
+    media = M.demux(M.mux(payload))
+    assert len(media.clusters) == len(media.cues) == 70
+    assert "clusters=70;cues=70;" in M.features(media, payload)
+
+
 @pytest.mark.parametrize("sizes", [[5], [7, 7, 7], [300, 2, 70000, 9], [255, 510, 1], [1, 0, 3]])
 @pytest.mark.parametrize("kind", ["own", "xiph"])
 def test_lacing(sizes, kind):
