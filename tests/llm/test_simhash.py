@@ -163,3 +163,29 @@ def test_near_links_are_those_of_the_true_similarity(spark):
     assert not [s for s, x in zip(true, linked) if x and s < 0.8]
     missed = [s for s, x in zip(true, linked) if not x and s >= 0.8]
     assert len(missed) <= 1 and all(s < 0.85 for s in missed)
+
+
+def test_texts_of_one_fingerprint_keep_the_buckets_of_each(spark):
+    """Two texts with equal 64-bit fingerprints and different keys; each has a near copy that shares its own key alone."""
+    rng = np.random.default_rng(9)
+
+    def sign(texts):
+        fp, keys = simhash.signatures([t.encode() for t in texts], 5, 1, 1, 1)
+        return fp[:, 0], keys[:, 0]
+
+    base = [f"b{x}" for x in range(400)]
+    for _ in range(60):
+        texts = [" ".join([*base, f"t{x}"]) for x in rng.integers(0, 1 << 40, 400)]
+        fp, keys = sign([" ".join(base), *texts])
+        hit = np.flatnonzero((fp == fp[0]) & (keys != keys[0]))
+        if len(hit):
+            break
+    one, two = " ".join(base), texts[hit[0] - 1]
+    copies = []
+    for text, key in ((one, keys[0]), (two, keys[hit[0]])):
+        words = text.split()
+        tries = [" ".join([*words[:k], *[f"c{k}x{x}" for x in range(12)], *words[k + 12 :]]) for k in range(0, 380, 10)]
+        copies.append(next(t for t, f, x in zip(tries, *sign(tries)) if x == key and f != fp[0]))
+    rows = [(1, one), (2, two), (3, copies[0]), (4, copies[1])]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), words=1, bands=1, each=1).collect()}
+    assert got[3] == got[1] and got[4] == got[2]
