@@ -15,10 +15,14 @@ from swathe.llm.toxicity import fit_toxicity, flag_toxic, score_toxicity
 from swathe.plans.durable import ensure_checkpoint_dir
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among ``ids``; null matches null."""
-    ids = ids.select(F.col("doc_id").alias("__id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __row, a 64-bit hash of all columns: rows that repeat an id differ in it unless they are the same."""
+    return docs.withColumn("__row", F.xxhash64(*[docs[c] for c in docs.columns], *[docs[c].isNull() for c in docs.columns]))
+
+
+def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs``, as from ``_keyed``, whose __row is among ``rows``; of equal rows one."""
+    return docs.join(rows.select("__row"), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +33,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
-    return _only(docs, exact_dedup(docs.select("doc_id", "text"), full_digest=True).where("kept"))
+    """Of equal texts one document stays, also of those that share an id or have none."""
+    docs = _keyed(docs)
+    return _only(docs, exact_dedup(docs.select("doc_id", "text", "__row"), full_digest=True, row_col="__row").where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
-    return _only(docs, near_duplicates(docs.select("doc_id", "text")).where("doc_id <=> component_id"))
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays,
+    a null id last; ids may repeat."""
+    docs = _keyed(docs)
+    groups = near_duplicates(docs.select("__row", "text"), id_col="__row").join(docs.select("__row", "doc_id").distinct(), "__row")
+    first = F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    return _only(docs, groups.groupBy("component_id").agg(first.alias("__row")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,22 @@ def test_each_stage_acts_on_what_the_one_before_kept(spark, folder, tmp_path):
     assert sum(r["length"] for r in seen[4].collect() if r["doc_id"] == mixed[0]) == mixed.count(mixed[0]) * seen[4].where(f"doc_id = {mixed[0]}").first()["doc_tokens"]
 
 
+def test_dedup_stages_keep_one_row_of_repeated_and_null_ids(spark):
+    base = [f"w{k}" for k in range(200)]
+    long, near, other, third = " ".join(base), " ".join([*base[:-1], "x"]), " ".join(f"v{k}" for k in range(200)), " ".join(f"u{k}" for k in range(200))
+    schema = "doc_id long, text string, lang string, source string"
+
+    def left(stage, rows):
+        out = stage(spark, spark.createDataFrame(rows, schema).repartition(3), None).collect()
+        return sorted(((r["doc_id"], r["text"]) for r in out), key=str)
+
+    rows = [(5, "A", "en", "s"), (5, "A", "en", "s"), (5, "A", None, "en"), (5, "A", "en", None), (6, "A", "en", "s"), (None, "B", "en", "s"), (None, "B", "en", "s"), (7, "C", "en", "s"), (None, "C", "en", "s"), (5, "D", "en", "s")]
+    assert left(pipeline.exact, rows) == sorted([(5, "A"), (None, "B"), (7, "C"), (5, "D")], key=str)
+    rows = [(5, long, "en", "s"), (5, long, "en", "s"), (5, other, "en", "s"), (4, near, "en", "s"), (None, third, "en", "s"), (None, third + " z", "en", "s")]
+    got = left(pipeline.near, rows)
+    assert len(got) == 3 and {(4, near), (5, other)} <= set(got) and [t[:200] for i, t in got if i is None] == [third[:200]]
+
+
 def test_run_and_empty_documents(spark, folder, tmp_path):
     path, _ = folder
     assert pipeline.run(spark, path).count() > 0
