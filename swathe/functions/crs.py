@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from swathe.functions.geometry import map_points
-
 _A, _F = 6378137.0, 1 / 298.257223563
 _N = _F / (2 - _F)
 _E = math.sqrt(_F * (2 - _F))
@@ -26,51 +25,100 @@ def _zone(epsg: int) -> tuple[float, float]:
     raise ValueError(f"EPSG {epsg} is not supported: 4326, 3857, 326xx and 327xx are")
 
 
-def from_degrees(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
+Stage = Callable[[Column], Column]
+
+
+def _point(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def _series(terms: tuple[float, ...], p: Column, other: bool) -> Column:
+    """Sum over j of terms[j - 1] * cos(2jx) sinh(2jy) if ``other``, else sin(2jx) cosh(2jy), of a point (x, y)."""
+    f, g = (F.cos, F.sinh) if other else (F.sin, F.cosh)
+    return sum((a * f(2 * j * p["x"]) * g(2 * j * p["y"]) for j, a in enumerate(terms, 1)), F.lit(0.0))
+
+
+def _from_degrees(epsg: int) -> list[Stage]:
     if epsg == 4326:
-        return lon, lat
+        return []
     if epsg == 3857:
-        return F.radians(lon) * _A, F.lit(_A) * F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2))
+        return [lambda p: _point(F.radians(p["x"]) * _A, F.lit(_A) * F.log(F.tan(F.lit(math.pi / 4) + F.radians(p["y"]) / 2)))]
     meridian, north = _zone(epsg)
-    s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - _E * F.atanh(_E * s))
-    d = F.radians(lon) - meridian
-    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
-    x = eta + sum((a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(_ALPHA, 1)), F.lit(0.0))
-    y = xi + sum((a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(_ALPHA, 1)), F.lit(0.0))
-    return x * (_K0 * _RADIUS) + _EAST, y * (_K0 * _RADIUS) + north
 
+    def conformal(p: Column) -> Column:
+        s = F.sin(F.radians(p["y"]))
+        return _point(F.radians(p["x"]) - meridian, F.sinh(F.atanh(s) - _E * F.atanh(_E * s)))
 
-def to_degrees(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
+    def angles(p: Column) -> Column:
+        d, t = p["x"], p["y"]
+        return _point(F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t)))
+
+    def metres(p: Column) -> Column:
+        x, y = p["y"] + _series(_ALPHA, p, True), p["x"] + _series(_ALPHA, p, False)
+        return _point(x * (_K0 * _RADIUS) + _EAST, y * (_K0 * _RADIUS) + north)
+
+    return [conformal, angles, metres]
+
+
+def _to_degrees(epsg: int) -> list[Stage]:
     if epsg == 4326:
-        return x, y
+        return []
     if epsg == 3857:
-        return F.degrees(x / _A), F.degrees(2 * F.atan(F.exp(y / _A)) - math.pi / 2)
+        return [lambda p: _point(F.degrees(p["x"] / _A), F.degrees(2 * F.atan(F.exp(p["y"] / _A)) - math.pi / 2))]
     meridian, north = _zone(epsg)
-    xi, eta = (y - north) / (_K0 * _RADIUS), (x - _EAST) / (_K0 * _RADIUS)
-    xi2 = xi - sum((b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(_BETA, 1)), F.lit(0.0))
-    eta2 = eta - sum((b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(_BETA, 1)), F.lit(0.0))
-    chi = F.asin(F.sin(xi2) / F.cosh(eta2))
-    lat = chi + sum((d * F.sin(2 * j * chi) for j, d in enumerate(_DELTA, 1)), F.lit(0.0))
-    return F.degrees(F.atan2(F.sinh(eta2), F.cos(xi2)) + meridian), F.degrees(lat)
+
+    def angles(p: Column) -> Column:
+        return _point((p["y"] - north) / (_K0 * _RADIUS), (p["x"] - _EAST) / (_K0 * _RADIUS))
+
+    def plain(p: Column) -> Column:
+        return _point(p["x"] - _series(_BETA, p, False), p["y"] - _series(_BETA, p, True))
+
+    def sphere(p: Column) -> Column:
+        return _point(F.atan2(F.sinh(p["y"]), F.cos(p["x"])) + meridian, F.asin(F.sin(p["x"]) / F.cosh(p["y"])))
+
+    def ellipsoid(p: Column) -> Column:
+        lat = p["y"] + sum((d * F.sin(2 * j * p["y"]) for j, d in enumerate(_DELTA, 1)), F.lit(0.0))
+        return _point(F.degrees(p["x"]), F.degrees(lat))
+
+    return [angles, plain, sphere, ellipsoid]
+
+
+def move_points(found: Column, source: int, target: int) -> Column:
+    """An array of points (x, y) in another system. Each step of the projection is a lambda of its own over the array, so
+    that what it needs of the step before occurs once in the expression."""
+    for stage in [*_to_degrees(source), *_from_degrees(target)] if source != target else []:
+        found = F.transform(found, stage)
+    return found
+
+
+def from_degrees(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
+    p = F.get(move_points(F.array(_point(lon, lat)), 4326, epsg), 0)
+    return p["x"], p["y"]
+
+
+def to_degrees(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
+    p = F.get(move_points(F.array(_point(x, y)), epsg, 4326), 0)
+    return p["x"], p["y"]
 
 
 def transform(shape: Column, source: int, target: int) -> Column:
     """The shape's vertices in another system; the same column if the systems are equal. Only x and y are kept."""
     if source == target:
         return shape
-    return map_points(shape, lambda x, y: from_degrees(*to_degrees(x, y, source), target))
+    parts = F.transform(shape["parts"], lambda part: F.transform(part, lambda ring: move_points(ring, source, target)))
+    return F.struct(shape["kind"].alias("kind"), parts.alias("parts"))
 
 
 def transform_bounds(minx: Column, miny: Column, maxx: Column, maxy: Column, source: int, target: int, steps: int = 21) -> list[Column]:
-    """Bounds in another system of a box whose edges are sampled at ``steps`` points each."""
+    """Bounds in another system of a box whose edges are sampled at ``steps`` points each: one struct column's fields."""
     if source == target:
         return [minx, miny, maxx, maxy]
-    places = []
-    for k in range(steps):
-        t = k / (steps - 1)
+
+    def edge(k: Column) -> Column:
+        t = k / F.lit(float(steps - 1))
         x, y = minx + (maxx - minx) * t, miny + (maxy - miny) * t
-        places += [(x, miny), (x, maxy), (minx, y), (maxx, y)]
-    moved = [from_degrees(*to_degrees(x, y, source), target) for x, y in places]
-    xs, ys = F.array(*[m[0] for m in moved]), F.array(*[m[1] for m in moved])
+        return F.array(_point(x, miny), _point(x, maxy), _point(minx, y), _point(maxx, y))
+
+    moved = move_points(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), edge)), source, target)
+    xs, ys = F.transform(moved, lambda p: p["x"]), F.transform(moved, lambda p: p["y"])
     return [F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)]

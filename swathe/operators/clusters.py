@@ -10,7 +10,7 @@ from swathe.operators.join import overlap_pairs
 from swathe.plans.components import components
 
 
-def raster_clusters(rasters: DataFrame, edges: DataFrame, defined_by: str = "share", base: float = 32.0) -> DataFrame:
+def raster_clusters(rasters: DataFrame, edges: DataFrame, defined_by: str = "share") -> DataFrame:
     """(raster_name, cluster): cluster is the least name of the rasters that it is linked with.
 
     ``share``: rasters that share a vector; ``share_or_overlap``: or whose footprints meet.
@@ -19,7 +19,7 @@ def raster_clusters(rasters: DataFrame, edges: DataFrame, defined_by: str = "sha
         raise ValueError(defined_by)
     links = sharing_links(edges)
     if defined_by == "share_or_overlap":
-        links = links.unionAll(overlap_pairs(rasters, base))
+        links = links.unionAll(overlap_pairs(rasters))
     found = components(links, "raster_a", "raster_b")
     rows = rasters.select("raster_name").join(found, F.col("raster_name") == F.col("node"), "left")
     return rows.select("raster_name", F.coalesce("component", "raster_name").alias("cluster"))

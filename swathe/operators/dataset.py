@@ -42,7 +42,6 @@ class SpatialDataset:
     rasters: DataFrame
     edges: DataFrame
     attrs: dict = field(default_factory=lambda: {"crs_epsg_code": 4326, "task_vector_classes": [], "background_class": None, "raster_count_col_name": "raster_count"})
-    base: float = 32.0
 
     # -- making, saving -------------------------------------------------------------------------------------------
 
@@ -54,10 +53,10 @@ class SpatialDataset:
         return out if vectors is None else out.add_vectors(vectors)
 
     @classmethod
-    def of(cls, vectors: DataFrame, rasters: DataFrame, base: float = 32.0, **attrs) -> SpatialDataset:
+    def of(cls, vectors: DataFrame, rasters: DataFrame, **attrs) -> SpatialDataset:
         """From two checked tables with boxes: edges by the spatial join, counts from the edges."""
-        edges = spatial_edges(vectors, rasters, base)
-        made = cls(count_containing(vectors, edges), rasters, edges, base=base)
+        edges = spatial_edges(vectors, rasters)
+        made = cls(count_containing(vectors, edges), rasters, edges)
         return replace(made, attrs=made.attrs | attrs)
 
     def empty_same_format(self) -> SpatialDataset:
@@ -134,13 +133,13 @@ class SpatialDataset:
     def add_vectors(self, new: DataFrame, check: bool = True) -> SpatialDataset:
         """Appends vectors; only the new ones are joined, with the rasters that are there."""
         new = self._checked(new, self.vectors, "vector_name") if check else new
-        delta = spatial_edges(new, self.rasters, self.base)
+        delta = spatial_edges(new, self.rasters)
         return replace(self, vectors=self.vectors.unionByName(count_containing(new, delta), allowMissingColumns=True), edges=self.edges.unionByName(delta))
 
     def add_rasters(self, new: DataFrame, check: bool = True) -> SpatialDataset:
         """Appends rasters; only the new ones are joined; counts of the vectors they contain go up."""
         new = self._checked(new, self.rasters, "raster_name") if check else new
-        edges = self.edges.unionByName(spatial_edges(self.vectors, new, self.base))
+        edges = self.edges.unionByName(spatial_edges(self.vectors, new))
         return replace(self, rasters=self.rasters.unionByName(new, allowMissingColumns=True), edges=edges, vectors=count_containing(self.vectors, edges))
 
     def drop_vectors(self, names: DataFrame | str | Iterable) -> SpatialDataset:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,42 +11,61 @@ from pyspark.sql import functions as F
 from swathe.functions.geometry import BOX, box_contains, box_intersects, contains, intersects
 
 
-def own_level(base: float) -> Column:
-    """Level of the smallest grid (cells of ``base`` * 2^level) whose cell is at least as long as the object's box."""
+#: Cells are at least 2^-PRECISION of the greatest coordinate long, so that their numbers are exact in a double.
+PRECISION = 48
+
+
+def _octave() -> Column:
+    """Level of the smallest grid (cells of 2^level units) whose cell is at least as long as the object's box; null for points."""
     extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")).cast("double")
-    return F.when(extent <= base, F.lit(0)).otherwise(F.ceil(F.log2(extent / F.lit(float(base))))).cast("int")
+    return F.when(extent > 0, F.ceil(F.log2(extent))).cast("int")
 
 
-def _cell(x: Column, level: Column, base: float) -> Column:
-    return F.floor(x / (F.pow(F.lit(2.0), level) * F.lit(float(base)))).cast("long")
+def _cell(x: Column, level: Column) -> Column:
+    return F.floor(x / F.pow(F.lit(2.0), level)).cast("long")
 
 
-def _gridded(df: DataFrame, levels: list[int], base: float, prefix: str) -> DataFrame:
-    """One row per cell that the object's box touches, at its own level and each coarser one: at most four a level."""
-    df = df.withColumn("own", own_level(base)).withColumn("level", F.explode(F.filter(F.array(*[F.lit(n) for n in levels]), lambda n: n >= F.col("own"))))
+def grid_levels(left: DataFrame, right: DataFrame) -> tuple[int, list[int], list[int]]:
+    """(the finest level, the levels of either side): from the data, whatever their units; one aggregation of both tables.
+
+    Points go to the finest level of what has an extent.
+    """
+    reach = F.greatest(*[F.abs(c) for c in BOX]).cast("double")
+    both = left.select(F.lit(0).alias("side"), _octave().alias("n"), reach.alias("reach")).unionAll(right.select(F.lit(1), _octave(), reach))
+    rows = both.groupBy("side", "n").agg(F.max("reach").alias("reach")).collect()  # at most the exponents of a double
+    top = max((r["reach"] for r in rows), default=0.0)
+    least = (math.frexp(top)[1] if top else 0) - PRECISION
+    finest = max(min((r["n"] for r in rows if r["n"] is not None), default=least), least)
+    return finest, *[sorted({max(finest if r["n"] is None else r["n"], finest) for r in rows if r["side"] == side}) for side in (0, 1)]
+
+
+def _gridded(df: DataFrame, finest: int, others: list[int], prefix: str) -> DataFrame:
+    """One row per cell that the object's box touches, at its own level and each coarser one that the other side has: at
+    most four a level."""
+    df = df.withColumn("own", F.greatest(F.coalesce(_octave(), F.lit(finest)), F.lit(finest)))
+    coarser = F.filter(F.array(*[F.lit(n) for n in others]).cast("array<int>"), lambda n: n > F.col("own"))
+    df = df.withColumn("level", F.explode(F.concat(F.array("own"), coarser)))
     for axis in "xy":
-        lo, hi = (_cell(F.col(f"{end}{axis}"), F.col("level"), base) for end in ("min", "max"))
+        lo, hi = (_cell(F.col(f"{end}{axis}"), F.col("level")) for end in ("min", "max"))
         df = df.withColumn(f"c{axis}", F.explode(F.sequence(lo, hi)))
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def box_pairs(left: DataFrame, right: DataFrame, base: float = 32.0) -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of rows whose closed boxes meet, columns prefixed l_ and r_; each pair once.
 
-    Two objects meet at the coarser of their two levels, where each touches at most four cells, however large it is; a pair
-    is emitted in the cell that holds the lower left corner of what the boxes share, so no distinct is needed. It is one
-    equi-join of two plain shuffles, whose crowded cells the adaptive planner splits. Rows with a null box match nothing.
+    Two objects meet at the coarser of their two levels, where each touches at most four cells, however large or small it
+    is and whatever the unit; a pair is emitted in the cell that holds the lower left corner of what the boxes share, so no
+    distinct is needed. It is one equi-join of two plain shuffles, whose crowded cells the adaptive planner splits. Rows
+    with a null box match nothing.
     """
     left, right = (df.where(" and ".join(f"{c} is not null" for c in BOX)) for df in (left, right))
-    found = left.select(own_level(base).alias("n")).unionAll(right.select(own_level(base).alias("n"))).distinct()
-    levels = sorted(r[0] for r in found.collect())  # at most the exponents of a double
-    if not levels:
-        levels = [0]
-    a, b = _gridded(left, levels, base, "l_"), _gridded(right, levels, base, "r_")
+    finest, of_left, of_right = grid_levels(left, right)
+    a, b = _gridded(left, finest, of_right, "l_"), _gridded(right, finest, of_left, "r_")
     at = F.greatest("l_own", "r_own") == F.col("l_level")
     home = F.lit(True)
     for axis in "xy":
-        home = home & (_cell(F.greatest(f"l_min{axis}", f"r_min{axis}"), F.col("l_level"), base) == F.col(f"l_c{axis}"))
+        home = home & (_cell(F.greatest(f"l_min{axis}", f"r_min{axis}"), F.col("l_level")) == F.col(f"l_c{axis}"))
     on = (F.col("l_level") == F.col("r_level")) & (F.col("l_cx") == F.col("r_cx")) & (F.col("l_cy") == F.col("r_cy"))
     pairs = a.join(b, on & at & box_intersects("l_", "r_") & home)
     return pairs.drop(*[f"{p}{c}" for p in ("l_", "r_") for c in ("own", "level", "cx", "cy")])
@@ -60,21 +80,21 @@ def _exact(df: DataFrame, test: Callable[[], Column], box_test: Column) -> Colum
     return box_test & F.when(boxes, F.lit(True)).otherwise(test())
 
 
-def spatial_edges(vectors: DataFrame, rasters: DataFrame, base: float = 32.0) -> DataFrame:
+def spatial_edges(vectors: DataFrame, rasters: DataFrame) -> DataFrame:
     """(vector_name, raster_name, relation): 'contains' if the raster contains the vector, else 'intersects'.
 
     Filter and refine: boxes first; shapes that are no boxes are tested exactly, containment only on what intersects.
     """
     keep = [*BOX, *(["geom", "is_box"] if "geom" in vectors.columns and "geom" in rasters.columns else [])]
-    pairs = box_pairs(vectors.select("vector_name", *keep), rasters.select("raster_name", *keep), base)
+    pairs = box_pairs(vectors.select("vector_name", *keep), rasters.select("raster_name", *keep))
     hit = pairs.where(_exact(pairs, lambda: intersects(F.col("l_geom"), F.col("r_geom")), F.lit(True)))
     inside = _exact(pairs, lambda: contains(F.col("r_geom"), F.col("l_geom")), box_contains("r_", "l_"))
     return hit.select(F.col("l_vector_name").alias("vector_name"), F.col("r_raster_name").alias("raster_name"), F.when(inside, "contains").otherwise("intersects").alias("relation"))
 
 
-def overlap_pairs(rasters: DataFrame, base: float = 32.0) -> DataFrame:
+def overlap_pairs(rasters: DataFrame) -> DataFrame:
     """(raster_a, raster_b), a before b by name: rasters whose footprints meet."""
     keep = ["raster_name", *BOX, *(["geom", "is_box"] if "geom" in rasters.columns else [])]
-    pairs = box_pairs(rasters.select(*keep), rasters.select(*keep), base).where("l_raster_name < r_raster_name")
+    pairs = box_pairs(rasters.select(*keep), rasters.select(*keep)).where("l_raster_name < r_raster_name")
     hit = pairs.where(_exact(pairs, lambda: intersects(F.col("l_geom"), F.col("r_geom")), F.lit(True)))
     return hit.select(F.col("l_raster_name").alias("raster_a"), F.col("r_raster_name").alias("raster_b"))

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from swathe.operators.join import spatial_edges
 
 
-def stream_edges(vectors: DataFrame, rasters: DataFrame, edges_path: str, checkpoint: str, base: float = 32.0) -> DataStreamWriter:
+def stream_edges(vectors: DataFrame, rasters: DataFrame, edges_path: str, checkpoint: str) -> DataStreamWriter:
     """A writer that joins each micro-batch of a stream of vectors with the rasters that are there.
 
     Add-only, as updates of a dataset are. A batch goes to its own folder (``batch=<id>``), which a batch that runs again
@@ -18,7 +18,7 @@ def stream_edges(vectors: DataFrame, rasters: DataFrame, edges_path: str, checkp
     def batch(new: DataFrame, batch_id: int) -> None:
         new.persist()
         try:
-            spatial_edges(new, rasters, base).write.mode("overwrite").parquet(f"{edges_path}/batch={batch_id}")
+            spatial_edges(new, rasters).write.mode("overwrite").parquet(f"{edges_path}/batch={batch_id}")
         finally:
             new.unpersist()
 

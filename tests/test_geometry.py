@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from swathe.functions import crs
 from swathe.functions import geometry as G
 from swathe.operators import labels, windows
-from swathe.operators.join import box_pairs, spatial_edges
+from swathe.operators.join import _gridded, box_pairs, grid_levels, spatial_edges
 
 
 def polygon(*points, holes=()):
@@ -70,11 +70,42 @@ def test_predicates_and_join(spark):
 def test_box_join_of_all_sizes_equals_all_pairs(spark):
     rows = [(k, float((k * 37) % 101 - 50), float((k * 53) % 97 - 50), float((1 << k % 9) - 1) / 2) for k in range(120)]
     df = spark.createDataFrame(rows, "id long, x double, y double, w double").selectExpr("id", "x AS minx", "y AS miny", "x + w AS maxx", "y + w AS maxy")
-    got = sorted((r["l_id"], r["r_id"]) for r in box_pairs(df, df, base=2.0).collect())
+    got = sorted((r["l_id"], r["r_id"]) for r in box_pairs(df, df).collect())
     want = sorted((a, b) for a, ax, ay, aw in rows for b, bx, by, bw in rows if ax <= bx + bw and bx <= ax + aw and ay <= by + bw and by <= ay + aw)
     assert got == want
 
 
+@pytest.mark.parametrize("unit", [1.0, 1e-3, 1e5])
+def test_join_tests_few_pairs_in_any_unit(spark, unit):
+    """Small boxes around one place, in degrees or in metres: the pairs that share a cell are a bounded multiple of the hits."""
+    side, n = 0.02 * unit, 60
+    df = spark.range(n * n).selectExpr("id", *[f"(id {op} {n}) * {side * 1.5} + {13.3 * unit} AS min{a}" for a, op in (("x", "%"), ("y", "div"))])
+    df = df.selectExpr("*", *[f"min{a} + {side} AS max{a}" for a in "xy"])
+    finest, left, right = grid_levels(df, df)
+    assert left == right == [finest] and side <= 2.0**finest < 2 * side
+    cells = _gridded(df, finest, right, "g_").groupBy("g_level", "g_cx", "g_cy").count().selectExpr("sum(count * count)").first()[0]
+    assert box_pairs(df, df).count() == n * n and cells < 40 * n * n
+
+
+def test_join_of_points_alone(spark):
+    df = spark.createDataFrame([(k, float(k % 7) / 1000, float(k % 5)) for k in range(70)], "id long, x double, y double").selectExpr("id", "x AS minx", "y AS miny", "x AS maxx", "y AS maxy")
+    assert box_pairs(df, df).count() == 70 * 2
+    assert box_pairs(df.limit(0), df).count() == 0
+
+
+def test_bounds_in_another_system(spark):
+    box = spark.createDataFrame([(500000.0, 5799800.0, 509000.0, 5800000.0)], "a double, b double, c double, d double")
+    cols = [F.col(c) for c in "abcd"]
+    x0, y0, x1, y1 = box.select(*crs.transform_bounds(*cols, 32632, 4326)).first()
+    assert 8.99 < x0 <= 9.0 < x1 < 9.2 and 52.3 < y0 < y1 < 52.4
+    back = box.select(*crs.transform_bounds(*cols, 32632, 32633)).first()
+    corner = box.select(*crs.from_degrees(*crs.to_degrees(F.col("a"), F.col("b"), 32632), 32633)).first()
+    assert back[0] - 1e-6 <= corner[0] <= back[2] and back[1] - 1e-6 <= corner[1] <= back[3]
+    shape = box.select(crs.transform(G.box_shape(*cols), 32632, 32633).alias("g"))
+    r = G.with_bounds(shape.withColumnRenamed("g", "geom")).first()
+    assert [r[c] for c in G.BOX] == pytest.approx(list(back), abs=30)
+
+
 def test_bounds_rounding_and_boxes(spark):
     df = G.with_bounds(spark.createDataFrame([(SQUARE,), (SLANT,), (point(1, 2),)], f"geom {G.SHAPE}"))
     assert [(r["minx"], r["maxy"], r["is_box"]) for r in df.collect()] == [(0.0, 4.0, True), (0.0, 10.0, False), (1.0, 2.0, False)]
