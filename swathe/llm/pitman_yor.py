@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,13 @@ from swathe.plans.durable import durable, plan_bytes
 #: The token after each text. As nothing follows it inside a text, it stands for the start as a context too.
 END = xxh3_64_intdigest(b"\n")
 #: Tokens and documents that a task packs at a time; file bytes of input for each bucket of words.
-CHUNK, CHUNK_DOCS, BUCKET_BYTES = 1_200_000, 32_000, 24 << 20
+CHUNK, CHUNK_DOCS, BUCKET_BYTES = 2_400_000, 65_000, 16 << 20
 #: A word is routed by its context too if it has at least this share of the tokens of the routing sample.
 HOT_SHARE, ROUTING_DOCS = 1000, 4000
-HEADER, DATA = 0, 1
+#: Kind of a row: a chunk's header, or 1 + how many of the chunk's documents are learnt from (these come first).
+HEADER = 0
+#: Customers of a dish up to this place are seated one at a time in a proposal, later ones by waiting times.
+STEPS = 32
 #: Share of the root's base that is the one unseen word; the rest is even over the known words.
 UNSEEN = 0.5
 THETA, THETA_ROOT = 1.0, 1.0
@@ -37,17 +41,24 @@ class Totals:
     tables: float  # of all contexts: the root's customers
     hot_tokens: np.ndarray
     hot_tables: np.ndarray
+    hot_root: np.ndarray
     root_tables: float
     ones: np.ndarray  # pairs with 1 and 2 customers, words with 1 and 2 tables
     theta: float = THETA
+    discounts: tuple[float, float] | None = None  # given ones, of the contexts and the root
 
     @property
     def discount(self) -> float:
-        return _discount(self.ones[0], self.ones[1])
+        return self.discounts[0] if self.discounts else _discount(self.ones[0], self.ones[1])
 
     @property
     def root_discount(self) -> float:
-        return _discount(self.ones[2], self.ones[3])
+        return self.discounts[1] if self.discounts else _discount(self.ones[2], self.ones[3])
+
+    def base(self, known: np.ndarray) -> np.ndarray:
+        """What the root gives to a new table, times its chance of one, for known words and the unseen one."""
+        new = THETA_ROOT + self.root_discount * self.root_tables
+        return new * np.where(known, (1 - UNSEEN) / max(self.words, 1), UNSEEN)
 
 
 def _discount(one: float, two: float) -> float:
@@ -111,25 +122,118 @@ def _label(parts: int) -> np.ndarray:
     return np.array([found[p] for p in range(parts)], np.int32)
 
 
-def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating each dish's customers one by one; a new table has odds ``strength`` against n - d * t.
+Path = tuple[np.ndarray, np.ndarray]
+Opening = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def propose(customers: np.ndarray, strength: np.ndarray, d: float, rng: np.random.Generator) -> Path:
+    """(dish, place) of the customers that open a table, but each dish's first; sorted by dish, then place.
 
-    Instead of one draw per customer it draws how many customers come before the next new table (the product of the
-    chances to stay has the power (n0 - d t) / (n1 - d t) to the ``strength`` as its limit), so time goes with tables.
+    Customers are seated in turn, where with n of c seated at t tables a new one has odds ``strength`` * ((n + 1) / c)^d
+    against n - d * t: a table that opens early costs those that come later, and this is how much of it is left. From place
+    STEPS on the next opening is drawn from the integral of these odds.
     """
-    tables = np.minimum(customers, 1).astype(np.float64)
-    live = np.flatnonzero(customers > 1)
-    n = np.ones(len(live))
-    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+    order = np.argsort(-customers, kind="stable")
+    c, s = customers[order], strength[order]
+    share = s / c**d
+    t, own, when = np.ones(len(c)), [np.empty(0, np.int64)], [np.empty(0)]
+    for n in range(1, min(STEPS, int(c[0]) if len(c) else 0)):
+        m = int(np.searchsorted(-c, -n))
+        odds = share[:m] * (n + 1) ** d
+        new = np.flatnonzero(rng.random(m) * (n - d * t[:m] + odds) < odds)
+        t[new] += 1
+        own.append(order[new])
+        when.append(np.full(len(new), float(n)))
+    live = np.arange(int(np.searchsorted(-c, -STEPS)))
+    n = np.full(len(live), float(STEPS))
+    with np.errstate(over="ignore"):
         while len(live):
-            used = discount * tables[live]
-            wait = -np.log(rng.random(len(live))) / np.maximum(strength[live], 1e-300)
-            n = used + (n - used) * np.exp(np.minimum(wait, 700.0))
-            n = np.floor(n) + 1
-            on = n <= customers[live]
-            live, n = live[on], n[on]
-            tables[live] += 1
-    return tables
+            rate = _rate(share[live], n, t[live], d)
+            place = np.maximum(np.floor((n**d - np.log(rng.random(len(live))) / rate) ** (1 / d)), n)
+            on = place < c[live]
+            live, n = live[on], place[on] + 1
+            t[live] += 1
+            own.append(order[live])
+            when.append(n - 1)
+    own, when = np.concatenate(own), np.concatenate(when)
+    by = np.argsort(own, kind="stable")
+    return own[by], when[by]
+
+
+def _rate(share: np.ndarray, start: np.ndarray, tables: np.ndarray, d: float) -> np.ndarray:
+    return np.maximum(share / d * start / (start - d * tables), 1e-300)
+
+
+def log_weight(customers: np.ndarray, path: Path, strength: np.ndarray, d: float, opening: Opening) -> np.ndarray:
+    """For each dish the log of how likely the model makes its path over how likely ``propose`` does.
+
+    In the model a customer that joins has the weight n - d * t, one that opens a table after k others ``opening(k, dish)``.
+    """
+    own, when = path
+    t = 1 + np.bincount(own, minlength=len(customers))
+    share = strength / customers**d
+    dish, last = np.repeat(np.arange(len(t)), t), np.cumsum(t) - 1
+    tables = (np.arange(len(dish)) - (last - t + 1)[dish] + 1).astype(np.float64)
+    opens = np.ones(len(dish), bool)
+    opens[last] = False
+    out = np.bincount(dish[opens], np.log(opening(tables[opens], dish[opens])), len(t)).astype(np.float64)
+
+    order = np.argsort(-customers, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    early = when < STEPS
+    at = np.zeros((STEPS, len(order)), bool)
+    at[when[early].astype(np.int64), rank[own[early]]] = True
+    c, odds_c, now, sums = customers[order], share[order], np.ones(len(order)), np.zeros(len(order))
+    for n in range(1, min(STEPS, int(c[0]) if len(c) else 0)):
+        m = int(np.searchsorted(-c, -n))
+        odds, new = odds_c[:m] * (n + 1) ** d, at[n, :m]
+        join = n - d * now[:m]
+        sums[:m] += np.log(join + odds) - np.log(np.where(new, odds, 1.0))
+        now[:m] += new
+    out[order] += sums
+
+    start, end = np.ones(len(dish)), np.empty(len(dish))
+    end[opens], end[last] = when, customers
+    start[tables > 1] = when + 1
+    start = np.maximum(start, STEPS)
+    k = np.flatnonzero((end > start) | (opens & (end >= STEPS)))
+    a, b, v = start[k], end[k], d * tables[k]
+    rate, o = _rate(share[dish[k]], a, tables[k], d), opens[k]
+    late = _lgamma(b - v) - _lgamma(a - v) + rate * (b**d - a**d)
+    late[o] -= np.log(np.maximum(-np.expm1(-rate[o] * ((b[o] + 1) ** d - b[o] ** d)), 1e-300))
+    return out + np.bincount(dish[k], late, len(t))
+
+
+def reseat(customers: np.ndarray, path: Path | None, d: float, opening: Opening, rng: np.random.Generator, moves: int = 1) -> Path:
+    """Reseats all customers of each dish (two or more) given the rest: a block of the Gibbs sampler. A seating in turn is
+    proposed and taken or left by the Metropolis-Hastings rule, so the model's own conditional is what stays the same."""
+    every = np.arange(len(customers))
+    strength = np.maximum(opening(np.ones(len(customers)), every), 1e-12)
+    if path is None:
+        path = propose(customers, strength, d, rng)
+    now = log_weight(customers, path, strength, d, opening)
+    for _ in range(moves):
+        new = propose(customers, strength, d, rng)
+        other = log_weight(customers, new, strength, d, opening)
+        take = np.log(rng.random(len(customers))) < other - now
+        kept, got = ~take[path[0]], take[new[0]]
+        own, when = np.concatenate((path[0][kept], new[0][got])), np.concatenate((path[1][kept], new[1][got]))
+        by = np.argsort(own, kind="stable")
+        path, now = (own[by], when[by]), np.where(take, other, now)
+    return path
+
+
+def tables_of(customers: np.ndarray, path: Path, live: np.ndarray) -> np.ndarray:
+    out = np.minimum(customers, 1.0)
+    out[live] += np.bincount(path[0], minlength=len(live))
+    return out
+
+
+def root_seating(customers: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator, moves: int = 3) -> np.ndarray:
+    """Tables of each word in the root restaurant, which serves new tables from a fixed base."""
+    live = np.flatnonzero(customers > 1)
+    return tables_of(customers, reseat(customers[live], None, d, lambda k, i: base[live][i], rng, moves), live)
 
 
 def _packer(buckets: int, hot: np.ndarray):
@@ -138,23 +242,26 @@ def _packer(buckets: int, hot: np.ndarray):
     def close(chunk: int, ids: list, n: list[np.ndarray], w: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.concatenate(n)
         train = np.array([i is not None and crc_fold(i) != 1 for i in ids])
-        doc = np.repeat(np.arange(len(ids), dtype=np.int64), lengths)
+        order = np.argsort(~train, kind="stable")
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        doc, kind = np.repeat(rank, lengths), 1 + int(train.sum())
+        ids, lengths = [ids[k] for k in order.tolist()], lengths[order]
         uw, at = np.unique(np.concatenate(w), return_inverse=True)
         before = np.concatenate((at[-1:], at[:-1]))  # the word before; at the start of a text the END of another
         width = len(uw).bit_length()
-        if 2 * width <= 48:
-            key, times = np.unique((at << (width + 15)) | (before << 15) | doc, return_counts=True)
-            wi, ki, di = key >> (width + 15), key >> 15 & ((1 << width) - 1), key & 0x7FFF
+        if 2 * width <= 47:
+            key, times = np.unique((at << (width + 16)) | (before << 16) | doc, return_counts=True)
+            wi, ki, di = key >> (width + 16), key >> 16 & ((1 << width) - 1), key & 0xFFFF
         else:
             pairs, pair = np.unique((at << 32) | before, return_inverse=True)
-            key, times = np.unique((pair << 15) | doc, return_counts=True)
-            wi, ki, di = pairs[key >> 15] >> 32, pairs[key >> 15] & 0xFFFFFFFF, key & 0x7FFF
-        di = di.astype(np.uint16)
-        di |= train[di].astype(np.uint16) << np.uint16(15)
-        route = uw[wi]
+            key, times = np.unique((pair << 16) | doc, return_counts=True)
+            wi, ki, di = pairs[key >> 16] >> 32, pairs[key >> 16] & 0xFFFFFFFF, key & 0xFFFF
+        di, route = di.astype(np.uint16), uw[wi]
         if len(hot):
-            is_hot = np.isin(uw, hot)[wi]
-            route = np.where(is_hot, mix(route, uw[ki]), route)
+            is_hot = np.isin(uw, hot)
+            both = is_hot[wi] & is_hot[ki]
+            route = np.where(both, mix(route, uw[ki]), np.where(is_hot[wi], uw[ki], route))
         bucket = (mix(route, route) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
         bucket, wi, ki, di, times = bucket[order], wi[order], ki[order], di[order], times[order]
@@ -167,7 +274,7 @@ def _packer(buckets: int, hot: np.ndarray):
             runs = np.diff(np.append(new, len(x))).astype(np.uint32)
             contexts, c = np.unique(ki[s:z], return_inverse=True)
             row = (squeeze(uw[x[new]], True), squeeze(runs), squeeze(small(c), True), squeeze(di[s:z]), squeeze(small(times[s:z])), squeeze(uw[contexts], True))
-            rows.append((int(labels[bucket[s]]), chunk, DATA, *row))
+            rows.append((int(labels[bucket[s]]), chunk, kind, *row))
         kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
@@ -204,12 +311,12 @@ class Bucket:
     sorted by shard, where the totals of a context meet, then by hash."""
 
     def __init__(self, rows: list[tuple], hot: np.ndarray, shards: int):
-        a = [loosen(r[1], 8, steps=True) for r in rows]
+        a = [loosen(r[2], 8, steps=True) for r in rows]
         self.words, inverse = np.unique(np.concatenate(a), return_inverse=True)
-        runs = np.concatenate([loosen(r[2], 4) for r in rows])
-        docs = [loosen(r[4], 2) for r in rows]
+        runs = np.concatenate([loosen(r[3], 4) for r in rows])
+        docs = [loosen(r[5], 2) for r in rows]
         counts = [len(d) for d in docs]
-        lists = [loosen(r[6], 8, steps=True) for r in rows]
+        lists = [loosen(r[7], 8, steps=True) for r in rows]
         contexts, at = np.unique(np.concatenate(lists), return_inverse=True)
         shard = (mix(contexts, contexts) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
@@ -217,15 +324,14 @@ class Bucket:
         rank[order] = np.arange(len(order))
         self.contexts, self.cuts = contexts[order], np.searchsorted(shard[order], np.arange(shards + 1))
         starts = np.cumsum([0, *map(len, lists)])
-        context = np.concatenate([rank[at[s : s + len(x)]][loosen(r[3], n=n, steps=True)] for r, n, s, x in zip(rows, counts, starts, lists)])
+        context = np.concatenate([rank[at[s : s + len(x)]][loosen(r[4], n=n, steps=True)] for r, n, s, x in zip(rows, counts, starts, lists)])
         key = np.repeat(inverse.astype(np.int64), runs) << 32 | context
-        doc = np.concatenate(docs)
-        self.times = np.concatenate([loosen(r[5], n=n).astype(np.int64) for r, n in zip(rows, counts)])
+        self.doc = np.concatenate(docs)
+        self.times = np.concatenate([loosen(r[6], n=n).astype(np.int64) for r, n in zip(rows, counts)])
         self.chunks, self.ends = [r[0] for r in rows], np.cumsum(counts)
         pair, self.entry = np.unique(key, return_inverse=True)
         self.word, self.context = pair >> 32, pair & 0xFFFFFFFF
-        train = self.times * (doc >> 15)
-        self.doc = doc & 0x7FFF
+        train = self.times * np.concatenate([d < r[1] - 1 for r, d in zip(rows, docs)])
         self.count = np.bincount(self.entry, train, len(pair))
         self.word_count = np.bincount(self.word, self.count, len(self.words))
         self.hot = np.full(len(self.words), -1)
@@ -248,24 +354,55 @@ class Bucket:
             out.append((int(shard), bucket, b"", squeeze(self.contexts[s], True), squeeze(small(n[s])), squeeze(small(t[s]))))
         return out
 
-    def sweep(self, t: Totals, context_tables: np.ndarray, tables: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(parent probabilities, tables of each pair, root tables of each word) after reseating every dish once.
+    def seated(self, t: Totals, context_tables: np.ndarray, sweeps: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """(tables of each pair, root tables of each word) after ``sweeps`` in which every dish is reseated given the rest:
+        this bucket as it is now, the others as the totals tell. The same arguments give the same seating."""
+        live = np.flatnonzero(self.count > 1)
+        c, word = self.count[live], self.word[live]
+        others, known, d, d0 = context_tables[self.context[live]], self.known(t), t.discount, t.root_discount
+        base, tables, path = t.base(known), np.minimum(self.count, 1.0), None
+        root = self.root(t, tables, base, rng)
+        for _ in range(sweeps):
+            mine = tables[live]
+            rest, size = np.maximum(others - mine, 0), np.maximum(self.customers(t, tables)[word] - mine, 0)
+            shelf, all_ = np.minimum(root[word], size), THETA_ROOT + np.maximum(t.tables - mine, 0)
+
+            def opening(k: np.ndarray, i: np.ndarray) -> np.ndarray:
+                served = np.maximum(size[i] + k - d0 * np.maximum(shelf[i], np.minimum(k, 1)), 0) + base[word[i]]
+                return (t.theta + d * (rest[i] + k)) * served / (all_[i] + k)
+
+            path = reseat(c, path, d, opening, rng)
+            tables = tables_of(self.count, path, live)
+            root = self.root(t, tables, base, rng)
+        return tables, root
+
+    def known(self, t: Totals) -> np.ndarray:
+        return np.where(self.hot >= 0, t.hot_tokens[self.hot] if len(t.hot_tokens) else 0, self.word_count) > 0
+
+    def customers(self, t: Totals, tables: np.ndarray) -> np.ndarray:
+        """The root's customers of each word: tables in all contexts; of hot words, which other buckets have too, the totals'."""
+        out, shared = np.bincount(self.word, tables, len(self.words)), self.hot >= 0
+        out[shared] = t.hot_tables[self.hot[shared]]
+        return out
+
+    def root(self, t: Totals, tables: np.ndarray, base: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        customers, shared = self.customers(t, tables), self.hot >= 0
+        customers[shared] = 0
+        out = root_seating(customers, base, t.root_discount, rng)
+        out[shared] = t.hot_root[self.hot[shared]]
+        return out
 
-        Each dish's customers leave its restaurant and are seated again, given the parent and the totals of the others.
-        """
-        parent, root = self.parent(t, tables, rng)
-        d = t.discount
-        strength = (t.theta + d * context_tables[self.context]) * parent[self.word]
-        return parent, seat(self.count, strength, d, rng), root
+    def parent(self, t: Totals, tables: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """The root's predictive probability of each word, given a seating and its totals."""
+        root = np.where(self.hot >= 0, t.hot_root[self.hot] if len(t.hot_root) else 0, root)
+        return (np.maximum(self.customers(t, tables) - t.root_discount * root, 0) + t.base(self.known(t))) / (THETA_ROOT + t.tables)
 
-    def parent(self, t: Totals, tables: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        customers = np.bincount(self.word, tables, len(self.words))
-        shared = self.hot >= 0
-        customers[shared] = t.hot_tables[self.hot[shared]]
-        d, known = t.root_discount, np.where(shared, t.hot_tokens[self.hot] if len(t.hot_tokens) else 0, self.word_count) > 0
-        base = np.where(known, (1 - UNSEEN) / max(t.words, 1), UNSEEN)
-        root = seat(customers, (THETA_ROOT + d * t.root_tables) * base, d, rng)
-        return (np.maximum(customers - d * root, 0) + (THETA_ROOT + d * t.root_tables) * base) / (THETA_ROOT + t.tables), root
+    def predictive(self, t: Totals, tokens: np.ndarray, context_tables: np.ndarray, tables: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """The probability of each pair's word after its context, given a seating and its totals: over all words they add
+        up to one."""
+        parent, c, d = self.parent(t, tables, root)[self.word], tokens[self.context], t.discount
+        lower = (t.theta + d * context_tables[self.context]) * parent
+        return np.where(c > 0, (np.maximum(self.count - d * tables, 0) + lower) / (t.theta + c), parent)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple], list[tuple]]]:
@@ -277,7 +414,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
                 yield now, rows, heads
                 rows, heads = [], []
             now = bucket
-            (rows if kind == DATA else heads).append((chunk, *blobs))
+            (heads if kind == HEADER else rows).append((chunk, kind, *blobs))
     if now is not None:
         yield now, rows, heads
 
@@ -287,7 +424,7 @@ def _vector(t: Totals) -> np.ndarray:
 
 
 def _totals(v: np.ndarray, hot: int) -> Totals:
-    return Totals(v[0], v[1], v[3], v[8 : 8 + hot], v[8 + hot :], v[2], v[4:8])
+    return Totals(v[0], v[1], v[3], v[8 : 8 + hot], v[8 + hot :], np.zeros(hot), v[2], v[4:8])
 
 
 MESSAGE = "shard int, bucket int, v binary, contexts binary, tokens binary, tables binary"
@@ -357,7 +494,7 @@ def _counting(hot: np.ndarray, shards: int):
                 kinds = np.bincount(b.word[seen], minlength=len(b.words))
                 per_hot = [np.bincount(b.hot[~own], x[~own], len(hot)) if len(hot) else np.empty(0) for x in (b.word_count, kinds)]
                 ones = np.array([(b.count == 1).sum(), (b.count == 2).sum(), (own & (kinds == 1)).sum(), (own & (kinds == 2)).sum()])
-                v = _vector(Totals(b.count.sum(), (own & (b.word_count > 0)).sum(), seen.sum(), *per_hot, 0.0, ones))
+                v = _vector(Totals(b.count.sum(), (own & (b.word_count > 0)).sum(), seen.sum(), *per_hot, np.empty(0), 0.0, ones))
                 yield from _table(b.tell(bucket, seen, v), MESSAGE).to_batches()
 
     return run
@@ -367,23 +504,20 @@ def _data(packed: pa.Table) -> tuple[int, list[tuple], list[tuple]]:
     return next(_buckets(iter(packed.to_batches())), (0, [], []))
 
 
-def _sampling(t: Totals, hot: np.ndarray, sweeps: int, seed: int, shards: int):
+def _sampling(t: Totals, hot: np.ndarray, sweeps: int, seed: list[int], shards: int):
     """Sweeps inside a bucket given the totals; what the seating adds up to."""
 
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
         bucket, rows, _ = _data(packed)
         if not rows:
             return _table([], MESSAGE)
-        b, rng = Bucket(rows, hot, shards), np.random.default_rng([seed, bucket])
-        context_tables = b.read(answers)[1]
-        tables, root = np.minimum(b.count, 1), None
-        for _ in range(sweeps):
-            _, tables, root = b.sweep(t, context_tables, tables, rng)
+        b = Bucket(rows, hot, shards)
+        tables, root = b.seated(t, b.read(answers)[1], sweeps, np.random.default_rng([*seed, bucket]))
         own = b.hot < 0
         sums = np.bincount(b.word, tables, len(b.words))
         hot_tables = np.bincount(b.hot[~own], sums[~own], len(hot)) if len(hot) else np.empty(0)
         ones = np.array([0, 0, (own & (sums == 1)).sum(), (own & (sums == 2)).sum()])
-        return _table(b.tell(bucket, tables, _vector(Totals(0, 0, tables.sum(), np.zeros(len(hot)), hot_tables, root[own].sum(), ones))), MESSAGE)
+        return _table(b.tell(bucket, tables, _vector(Totals(0, 0, tables.sum(), np.zeros(len(hot)), hot_tables, np.empty(0), root[own].sum(), ones))), MESSAGE)
 
     return run
 
@@ -391,22 +525,23 @@ def _sampling(t: Totals, hot: np.ndarray, sweeps: int, seed: int, shards: int):
 REPLY = "chunk long, kind int, a binary, b binary, c binary, d binary"
 
 
-def _scoring(t: Totals, hot: np.ndarray, burn: int, samples: int, seed: int, shards: int):
-    """For each chunk the sums over its documents' entries: known tokens, base and log10 of the averaged predictive."""
+def _scoring(rounds: list[Totals], hot: np.ndarray, sweeps: int, samples: int, seed: int, shards: int):
+    """For each chunk the sums over its documents' entries: known tokens, base and log10 of the averaged predictive.
+
+    The last ``samples`` rounds of sampling are gone through again, with the same numbers, so each has the very seating
+    that its totals are of. ``answers`` has those of every round since the one before them.
+    """
 
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
         bucket, rows, heads = _data(packed)
-        out = [(h[0], HEADER, h[1], h[2], h[3], b"") for h in heads]
+        out = [(h[0], HEADER, h[2], h[3], h[4], b"") for h in heads]
         if rows:
-            b, rng = Bucket(rows, hot, shards), np.random.default_rng([seed, bucket])
-            tables, total = np.minimum(b.count, 1), np.zeros(len(b.count))
-            context_tokens, context_tables = b.read(answers)
-            d, c = t.discount, context_tokens[b.context]
-            for s in range(burn + samples):
-                parent, tables, _ = b.sweep(t, context_tables, tables, rng)
-                if s >= burn:
-                    lower = (t.theta + d * context_tables[b.context]) * parent[b.word]
-                    total += np.where(c > 0, (np.maximum(b.count - d * tables, 0) + lower) / (t.theta + c), parent[b.word])
+            b, total, t = Bucket(rows, hot, shards), 0.0, rounds[-1]
+            told = answers.column("round").to_numpy()
+            read = {k: b.read(answers.filter(pa.array(told == k))) for k in range(len(rounds) - samples - 1, len(rounds))}
+            for k in range(len(rounds) - samples, len(rounds)):
+                tables, root = b.seated(rounds[k - 1], read[k - 1][1], sweeps, np.random.default_rng([seed, k, bucket]))
+                total += b.predictive(rounds[k], *read[k], tables, root)
             score = np.log10(total / samples)
             count = b.word_count.copy()
             shared = b.hot >= 0
@@ -418,7 +553,7 @@ def _scoring(t: Totals, hot: np.ndarray, burn: int, samples: int, seed: int, sha
                 e, m = b.entry[start:end], b.times[start:end]
                 docs, at = np.unique(b.doc[start:end], return_inverse=True)
                 sums = [np.bincount(at, m * x[e], len(docs)) for x in (known, base, score)]
-                out.append((chunk, DATA, docs.astype(np.uint16).tobytes(), sums[0].astype(np.uint32).tobytes(), sums[1].tobytes(), sums[2].tobytes()))
+                out.append((chunk, 1, squeeze(docs.astype(np.uint16), True), squeeze(small(sums[0])), sums[1].tobytes(), sums[2].tobytes()))
                 start = end
         return _table(out, REPLY)
 
@@ -442,8 +577,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = np.frombuffer(b, np.uint32)
                 sums = np.zeros((3, len(n)))
             else:
-                at = np.frombuffer(a, np.uint16)
-                for s, x in zip(sums, (np.frombuffer(b, np.uint32), np.frombuffer(c), np.frombuffer(d))):
+                at = loosen(a, 2, steps=True)
+                for s, x in zip(sums, (loosen(b, n=len(at)), np.frombuffer(c), np.frombuffer(d))):
                     s[at] += x
     if ids is not None:
         yield close(ids, n, sums)
@@ -474,28 +609,37 @@ def _in_place(df: DataFrame) -> DataFrame:
         conf.set(name, before)
 
 
-def score_documents(docs: DataFrame, syncs: int = 2, sweeps: int = 2, samples: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(
+    docs: DataFrame, rounds: int = 3, sweeps: int = 2, samples: int = 2, seed: int = 11, concentration: float | None = None,
+    discounts: tuple[float, float] | None = None, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     A token's context is the word before it, told by its 64-bit hash: a restaurant for each word of the corpus, all with
-    the unigram restaurant as their parent; its base gives half to the one unseen word and the rest evenly to the known words. Documents with
-    crc32(doc_id) mod 5 other than 1 are the customers. Sampling: inside a bucket of words each dish is taken out and
-    seated again given its parent and the totals of all restaurants; between passes the totals of the buckets are added
-    up (as in distributed Gibbs samplers, the totals are of the last pass) and the restaurants' common concentration is
-    estimated from them. Probabilities are averaged over samples.
+    the unigram restaurant as their parent; its base gives half to the one unseen word and the rest evenly to the known
+    words. Documents with crc32(doc_id) mod 5 other than 1 are the customers.
+
+    Sampling is by Gibbs, a dish at a time: its customers leave their restaurant and are seated again given everything
+    else, with what its tables do to its parent (``reseat``). Buckets of words sample side by side, each given the totals
+    of the others after the last round (as in distributed Gibbs samplers); with them the contexts' common concentration
+    and the two discounts (contexts, root) are estimated, unless they are given. A token's probability is the mean over the last ``samples`` rounds, each taken with the
+    totals of its own seating, so that the probabilities of all words after a context add up to one.
 
     The corpus is shuffled once, as packed blobs by word, and kept durably; counting, sampling and scoring read them in
     place. The customers and tables of the contexts are a distributed table: each bucket sends its share of them to shards
-    by context, where they are added up, and is told the sums of its own contexts before the next pass. Only vectors of
-    fixed size reach the driver. Words that are common in a sample are dealt by context as well.
+    by context, where they are added up, and is told the sums of its own contexts before the next round. Only vectors of
+    fixed size reach the driver. Common words (by a sample) are dealt out by the word before them, and after a common word
+    by both.
     Null and empty texts are one end token. Rows with a null id are scored and not learnt from; rows that repeat an id
     each count. An empty table gives an empty result; other columns are ignored. Reruns over the same files agree.
     """
+    if not 0 < samples <= rounds:
+        raise ValueError("samples are taken from the last rounds")
     cols = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     hot = hot_words(cols)
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = plan_bytes(cols)
-    parts = max(min(least, 64), size // BUCKET_BYTES + 1 if size < 1 << 50 else 0)
+    parts = max(min(least, 32), size // BUCKET_BYTES + 1 if size < 1 << 50 else 0)
     schema = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
     packed = _in_place(cols.mapInArrow(_packer(parts, hot), schema).repartition(parts, "bucket").sortWithinPartitions("bucket"))
 
@@ -503,14 +647,20 @@ def score_documents(docs: DataFrame, syncs: int = 2, sweeps: int = 2, samples: i
         return packed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, schema)
 
     answers, t, _ = _meet(packed.mapInArrow(_counting(hot, parts), MESSAGE), parts, len(hot), None)
+    t.hot_root, t.discounts, t.theta = np.minimum(t.hot_tables, 1), discounts, THETA if concentration is None else concentration
     t.words += float((t.hot_tokens > 0).sum())
     t.root_tables = t.words
-    for k in range(syncs):
-        answers, s, theta = _meet(visit(_sampling(t, hot, sweeps, seed + k, parts), answers, MESSAGE), parts, len(hot), t.discount)
-        d, rng = t.root_discount, np.random.default_rng(seed + k)
-        hot_root = seat(s.hot_tables, np.full(len(hot), (THETA_ROOT + d * t.root_tables) * (1 - UNSEEN) / max(t.words, 1)), d, rng)
-        t = Totals(t.tokens, t.words, s.tables, t.hot_tokens, s.hot_tables, s.root_tables + float(hot_root.sum()), np.concatenate((t.ones[:2], s.ones[2:])), theta)
-    replies = visit(_scoring(t, hot, 1, samples, seed + syncs, parts), answers, REPLY)
+    totals, told = [t], [answers]
+    for k in range(1, rounds + 1):
+        before = totals[-1]
+        answers, s, theta = _meet(visit(_sampling(before, hot, sweeps, [seed, k], parts), told[-1], MESSAGE), parts, len(hot), before.discount)
+        hot_root = root_seating(s.hot_tables, before.base(before.hot_tokens > 0), before.root_discount, np.random.default_rng([seed, k]))
+        ones = np.concatenate((before.ones[:2], s.ones[2:]))
+        totals.append(Totals(before.tokens, before.words, s.tables, before.hot_tokens, s.hot_tables, hot_root, s.root_tables + float(hot_root.sum()), ones, theta if concentration is None else concentration, discounts))
+        told.append(answers)
+    heard = [a.withColumn("round", F.lit(k)) for k, a in enumerate(told) if k >= rounds - samples]
+    heard = reduce(DataFrame.unionByName, heard)
+    replies = visit(_scoring(totals, hot, sweeps, samples, seed, parts), heard, REPLY)
     rows = replies.repartition(max(parts, least), "chunk").sortWithinPartitions("chunk", "kind").select("kind", "a", "b", "c", "d")
     out = rows.mapInArrow(_finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(int(t.tokens)).cast("long"))
