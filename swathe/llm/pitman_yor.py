@@ -247,7 +247,10 @@ def _packer(buckets: int, hot: np.ndarray):
         rank[order] = np.arange(len(ids))
         doc, kind = np.repeat(rank, lengths), 1 + int(train.sum())
         ids, lengths = [ids[k] for k in order.tolist()], lengths[order]
-        uw, at = np.unique(np.concatenate(w), return_inverse=True)
+        words = np.concatenate(w)
+        w.clear()
+        uw, at = np.unique(words, return_inverse=True)
+        del words
         before = np.concatenate((at[-1:], at[:-1]))  # the word before; at the start of a text the END of another
         width = len(uw).bit_length()
         if 2 * width <= 47:
@@ -257,14 +260,18 @@ def _packer(buckets: int, hot: np.ndarray):
             pairs, pair = np.unique((at << 32) | before, return_inverse=True)
             key, times = np.unique((pair << 16) | doc, return_counts=True)
             wi, ki, di = pairs[key >> 16] >> 32, pairs[key >> 16] & 0xFFFFFFFF, key & 0xFFFF
-        di, route = di.astype(np.uint16), uw[wi]
+        del key, at, before, doc
+        wi, ki, di, times = wi.astype(np.int32), ki.astype(np.int32), di.astype(np.uint16), times.astype(np.uint32)
+        route = uw[wi]
         if len(hot):
             is_hot = np.isin(uw, hot)
             both = is_hot[wi] & is_hot[ki]
             route = np.where(both, mix(route, uw[ki]), np.where(is_hot[wi], uw[ki], route))
         bucket = (mix(route, route) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+        del route
         bucket, wi, ki, di, times = bucket[order], wi[order], ki[order], di[order], times[order]
+        del order
         cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         rows = [(int(labels[chunk % buckets]), chunk, HEADER, np.array([0 if i is None else i for i in ids], np.int64).tobytes(), lengths.astype(np.uint32).tobytes(),
                  np.array([i is None for i in ids], np.uint8).tobytes(), b"", b"", b"")]
@@ -327,9 +334,13 @@ class Bucket:
         context = np.concatenate([rank[at[s : s + len(x)]][loosen(r[4], n=n, steps=True)] for r, n, s, x in zip(rows, counts, starts, lists)])
         key = np.repeat(inverse.astype(np.int64), runs) << 32 | context
         self.doc = np.concatenate(docs)
-        self.times = np.concatenate([loosen(r[6], n=n).astype(np.int64) for r, n in zip(rows, counts)])
+        self.times = np.concatenate([loosen(r[6], n=n).astype(np.uint32) for r, n in zip(rows, counts)])
         self.chunks, self.ends = [r[0] for r in rows], np.cumsum(counts)
-        pair, self.entry = np.unique(key, return_inverse=True)
+        del context, inverse
+        pair, entry = np.unique(key, return_inverse=True)
+        del key
+        self.entry = entry.astype(np.int32)
+        del entry
         self.word, self.context = pair >> 32, pair & 0xFFFFFFFF
         train = self.times * np.concatenate([d < r[1] - 1 for r, d in zip(rows, docs)])
         self.count = np.bincount(self.entry, train, len(pair))
