@@ -12,47 +12,59 @@ from swathe.llm.mixing import mix_sources
 from swathe.llm.packing import pack_documents
 from swathe.llm.simhash import near_duplicates
 from swathe.llm.toxicity import fit_toxicity, flag_toxic, score_toxicity
-from swathe.plans.durable import ensure_checkpoint_dir
+from swathe.plans.durable import ensure_checkpoint_dir, remove
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with __row, a 64-bit hash of all columns: rows that repeat an id differ in it unless they are the same."""
-    return docs.withColumn("__row", F.xxhash64(*[docs[c] for c in docs.columns], *[docs[c].isNull() for c in docs.columns]))
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of ``docs``, as from ``_keyed``, whose __row is among ``rows``; of equal rows one."""
-    return docs.join(rows.select("__row"), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a 64-bit hash of all columns, and its name: rows that repeat an id differ in it unless they are the same."""
+    row = _free(docs, "__row")
+    cols = [docs[f"`{c}`"] for c in docs.columns]
+    return docs.withColumn(row, F.xxhash64(*cols, *[c.isNull() for c in cols])), row
+
+
+def _only(docs: DataFrame, row: str, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs``, as from ``_keyed``, whose key is among ``rows``; of equal rows one."""
+    return docs.join(rows.select(row), row, "left_semi").dropDuplicates([row]).drop(row)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose score reaches the threshold of their language; learns from a bounded sample of ``labels``."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    scored = score_toxicity(docs, model, tuple(docs.columns), "__score")
-    return scored.where(~flag_toxic(model, score="__score")).drop("__score")
+    score = _free(docs, "__score")
+    scored = score_toxicity(docs, model, tuple(docs.columns), score)
+    return scored.where(~flag_toxic(model, score=score)).drop(score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays, also of those that share an id or have none."""
-    docs = _keyed(docs)
-    return _only(docs, exact_dedup(docs.select("doc_id", "text", "__row"), full_digest=True, row_col="__row").where("kept"))
+    docs, row = _keyed(docs)
+    return _only(docs, row, exact_dedup(docs.select("doc_id", "text", row), full_digest=True, row_col=row).where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays,
     a null id last; ids may repeat."""
-    docs = _keyed(docs)
-    groups = near_duplicates(docs.select("__row", "text"), id_col="__row").join(docs.select("__row", "doc_id").distinct(), "__row")
-    first = F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
-    return _only(docs, groups.groupBy("component_id").agg(first.alias("__row")))
+    docs, row = _keyed(docs)
+    groups = near_duplicates(docs.select(row, "text"), id_col=row).join(docs.select(row, "doc_id").distinct(), row)
+    first = F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", row))
+    return _only(docs, row, groups.groupBy("component_id").agg(first.alias(row)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; those that it doesn't take go."""
-    taken = mix_sources(docs.select("doc_id", "text", "source")).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    taken = taken.where("__copies > 0").withColumnRenamed("doc_id", "__id")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*[docs[c] for c in docs.columns])
+    """Repeats each document as often as the mix takes it; those that it doesn't take go. Equal rows are taken alike."""
+    keyed, row = _keyed(docs)
+    copies = _free(keyed, "__copies")
+    taken = mix_sources(keyed.select(row, "text", "source"), id_col=row).groupBy(row).agg(F.max("copies").alias(copies)).where(f"{copies} > 0")
+    rows = keyed.join(taken, row).withColumn(_free(keyed, "__copy"), F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +79,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read by the next."""
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read by the next. A stage's
+    folder goes when the next one's is written; the last is read by the result and stays."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -76,4 +89,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")
     return docs

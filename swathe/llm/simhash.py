@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ SHORT = 64
 BROADCAST = 2_000_000
 #: Units up to this size are compared by shifting the sorted array, larger ones tile by tile.
 SMALL = 32
+#: Pairs that are looked at one by one before those inside a part are dropped.
+BATCH = 1024
 LANES = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 
 
@@ -93,9 +95,41 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.uint16)
 
 
-def _tiles(fp: np.ndarray, ones: np.ndarray, side: np.ndarray, cross: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within the radius among rows sorted by ``ones``; tile pairs whose counts lie apart are skipped."""
-    step, left, right = 512, [], []
+class Forest:
+    """Links that connect what the pairs given so far connect: one fewer than the nodes of each part."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+        self.left: list[int] = []
+        self.right: list[int] = []
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray, true: Callable[[int, int], bool] | None = None) -> None:
+        """Pairs of nodes in order; one that joins two parts is a link if it is ``true``. Pairs inside a part are dropped
+        many at a time, so that a dense group costs as many steps as it has members."""
+        while len(a):
+            labels = np.fromiter(map(self.root, range(len(self.parent))), np.int64, len(self.parent))
+            apart = labels[a] != labels[b]
+            a, b = a[apart], b[apart]
+            for x, y in zip(a[:BATCH].tolist(), b[:BATCH].tolist()):
+                r, s = self.root(x), self.root(y)
+                if r != s and (true is None or true(x, y)):
+                    self.parent[max(r, s)] = min(r, s)
+                    self.left.append(x)
+                    self.right.append(y)
+            a, b = a[BATCH:], b[BATCH:]
+
+
+def _tiles(fp: np.ndarray, ones: np.ndarray, side: np.ndarray, cross: bool, radius: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of the index pairs within the radius among rows sorted by ``ones``; tile pairs whose counts lie
+    apart are skipped. One tile's pairs are held at a time."""
+    step, forest = 512, Forest(len(fp))
     for i in range(0, len(fp), step):
         for j in range(i, len(fp), step):
             if int(ones[j]) - int(ones[min(i + step, len(fp)) - 1]) > radius:
@@ -103,30 +137,11 @@ def _tiles(fp: np.ndarray, ones: np.ndarray, side: np.ndarray, cross: bool, radi
             near = sum(np.bitwise_count(fp[i : i + step, None, w] ^ fp[None, j : j + step, w]).astype(np.uint16) for w in range(fp.shape[1])) <= radius
             if cross:
                 near &= side[i : i + step, None] != side[None, j : j + step]
+            if i == j:
+                near = np.triu(near, 1)
             a, b = np.nonzero(near)
-            keep = a + i < b + j
-            left.append(a[keep] + i)
-            right.append(b[keep] + j)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """Links that connect what the given links connect, one fewer than the nodes of each part."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent[p]
-            x = parent[x]
-        return x
-
-    left, right = [], []
-    for x, y in zip(a.tolist(), b.tolist()):
-        if (r := root(x)) != (s := root(y)):
-            parent[max(r, s)] = min(r, s)
-            left.append(x)
-            right.append(y)
-    return left, right
+            forest.add(a + i, b + j)
+    return forest.left, forest.right
 
 
 def _compare(unit: np.ndarray, cross: np.ndarray, side: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> pa.RecordBatch:
@@ -134,7 +149,7 @@ def _compare(unit: np.ndarray, cross: np.ndarray, side: np.ndarray, fp: np.ndarr
     ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int32)
     starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(unit)])))
-    left, right = [], []
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     few = np.repeat(sizes <= SMALL, sizes)
     u, f, r, o = unit[few], fp[few], rep[few], ones[few]
     for d in range(1, SMALL):
@@ -150,9 +165,7 @@ def _compare(unit: np.ndarray, cross: np.ndarray, side: np.ndarray, fp: np.ndarr
         a, b = _tiles(fp[s], ones[s], side[s], bool(cross[starts[k]]), radius)
         left.append(rep[s][a])
         right.append(rep[s][b])
-    empty = np.empty(0, np.int64)
-    a, b = _forest(np.concatenate([empty, *left]), np.concatenate([empty, *right]))
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (left, right)], ["a", "b"])
 
 
 def _linker(radius: int):
@@ -185,7 +198,7 @@ def _link(prints: DataFrame, radius: int, tile: int) -> DataFrame:
     """(a, b): links between the rows (fp binary, ones, rep, keys) that share a key and whose fp are within the radius.
 
     Buckets of a key are compared in full, tile against tile; those above ``tile`` rows are dealt out as pairs of tiles
-    over many tasks. Of the links found in one batch a spanning forest is returned, so that a dense group costs as many
+    over many tasks. Of the links of a pair of tiles a spanning forest is returned, so that a dense group costs as many
     links as it has members.
     """
     units = _units(prints, "fp", ["fp", "rep", "ones"], tile)
@@ -307,10 +320,15 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(a) + len(b) - shared)
 
 
-def _candidates(fp: np.ndarray, n: np.ndarray, side: np.ndarray, cross: bool, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, differing bits) of the pairs of a unit that may be similar: set sizes that allow it, and fingerprints within
-    the radius or a set too short for the estimate."""
-    step, out, short = 512, [], n < SHORT
+def _confirm(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, radius: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Links of a unit: a spanning forest of its similar pairs, tile by tile.
+
+    Candidates have set sizes that allow the similarity, and fingerprints within the radius or a set too short for the
+    estimate. Each is tested on the sets themselves unless confirmed links join its ends already; in a tile those that look
+    closest come first.
+    """
+    n = np.array([len(x) for x in sets])
+    step, short, forest = 512, n < SHORT, Forest(len(sets))
     for i in range(0, len(fp), step):
         for j in range(i, len(fp), step):
             x, y = slice(i, i + step), slice(j, j + step)
@@ -322,32 +340,9 @@ def _candidates(fp: np.ndarray, n: np.ndarray, side: np.ndarray, cross: bool, ra
             if i == j:
                 may = np.triu(may, 1)
             a, b = np.nonzero(may)
-            out.append((a + i, b + j, apart[a, b]))
-    return tuple(np.concatenate(c) for c in zip(*out))
-
-
-def _confirm(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, radius: int, similarity: float) -> tuple[list[int], list[int]]:
-    """Links of a unit: a spanning forest of its similar pairs. Each candidate is tested on the sets themselves unless
-    confirmed links join its ends already; those that look closest come first."""
-    n = np.array([len(x) for x in sets])
-    a, b, apart = _candidates(fp, n, side, cross, radius, similarity)
-    parent = list(range(len(sets)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    left, right = [], []
-    order = np.argsort(apart, kind="stable")
-    for x, y in zip(a[order].tolist(), b[order].tolist()):
-        r, s = root(x), root(y)
-        if r != s and similar(sets[x], sets[y], similarity):
-            parent[max(r, s)] = min(r, s)
-            left.append(x)
-            right.append(y)
-    return left, right
+            order = np.argsort(apart[a, b], kind="stable")
+            forest.add(a[order] + i, b[order] + j, lambda p, q: similar(sets[p], sets[q], similarity))
+    return forest.left, forest.right
 
 
 def _confirmer(radius: int, similarity: float):
@@ -425,7 +420,7 @@ def near_duplicates(
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, ids in slices(batches, "text", "id"):
+        for texts, ids in slices(batches, "text", "id", size=8 << 20, overhead=words * 512 + 4096):
             h, n = shingle_sets(texts, shingle)
             fp, keys = _signatures(h, n, words, bands, each)
             classes = _classed(h, n)[0]

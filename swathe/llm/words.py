@@ -36,8 +36,9 @@ def crc_fold(doc_id: int, folds: int = 5) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, *others: str, size: int = SLICE_BYTES) -> Iterator[tuple]:
-    """(list of text bytes, list of values of each other column), by at most ``size`` bytes of text; null text is b""."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, *others: str, size: int = SLICE_BYTES, overhead: int = 1) -> Iterator[tuple]:
+    """(list of text bytes, list of values of each other column), by at most ``size`` bytes of text, where each row counts
+    ``overhead`` bytes more; null text is b""."""
     held: list[list] = [[] for _ in range(1 + len(others))]
     n = 0
     for batch in batches:
@@ -45,12 +46,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, *others: str, size: int
         rest = [batch.column(c).to_pylist() for c in others]
         for i in range(batch.num_rows):
             value = texts[i].as_py() or b""
-            if n and n + len(value) > size:
+            if n and n + len(value) + overhead - 1 > size:
                 yield tuple(held)
                 held, n = [[] for _ in range(1 + len(others))], 0
             held[0].append(value)
             for h, r in zip(held[1:], rest):
                 h.append(r[i])
-            n += len(value) + 1
+            n += len(value) + overhead
     if held[0]:
         yield tuple(held)
