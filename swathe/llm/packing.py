@@ -7,6 +7,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -185,6 +186,18 @@ def _powers(window: list[tuple[int, int, int]], total: int) -> list[list[tuple[i
     return out
 
 
+def deal(sizes: list[int], step: int) -> list[int]:
+    """For each sequence (sizes in descending order) its step group: about the total over ``step`` groups, one at least, the
+    next sequence always to the smallest. As sizes are powers of two, no two groups differ by more than the longest."""
+    groups = [(0, g) for g in range(max(1, round(sum(sizes) / step)))]
+    out = []
+    for size in sizes:
+        held, g = groups[0]
+        heapreplace(groups, (held + size, g))
+        out.append(g)
+    return out
+
+
 SCHEMA = pa.schema(
     [
         *[pa.field(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")],
@@ -203,25 +216,24 @@ def _packer(file: str | None, tiers: tuple[int, ...], with_ids: bool):
         docs: list[tuple[int, bytes]] = []
         tokens = 0
 
-        def close() -> pa.RecordBatch:
+        def close(docs: list[tuple[int, bytes]]) -> pa.RecordBatch:
             nonlocal sequence, step
             windows = sorted(pack([len(b) // 4 for _, b in docs], tiers), key=lambda w: -sum(p[2] for p in w))
             cols: list[list] = [[] for _ in SCHEMA]
-            ids, filled = [], 0
-            for window in windows:
-                size, offset = sum(p[2] for p in window), 0
-                if filled and filled + size > STEP_TOKENS:
-                    step, filled = step + 1, 0
+            ids, sizes = [], [sum(p[2] for p in w) for w in windows]
+            groups = deal(sizes, STEP_TOKENS)
+            for window, size, group in zip(windows, sizes, groups):
+                offset = 0
                 for d, s, n in window:
                     doc_id, raw = docs[d]
                     piece = raw[s * 4 : (s + n) * 4]
-                    for c, v in zip(cols, (doc_id, s, n, zlib.crc32(piece), len(raw) // 4, sequence, offset, size, step)):
+                    for c, v in zip(cols, (doc_id, s, n, zlib.crc32(piece), len(raw) // 4, sequence, offset, size, step + group)):
                         c.append(v)
                     if with_ids:
                         ids.append(piece)
                     offset += n
-                sequence, filled = sequence + 1, filled + size
-            step += 1
+                sequence += 1
+            step += max(groups) + 1
             arrays = [pa.array(c, f.type) for c, f in zip(cols, SCHEMA)]
             return pa.RecordBatch.from_arrays([*arrays, *([pa.array(ids, pa.binary())] if with_ids else [])], [*SCHEMA.names, *(["ids"] if with_ids else [])])
 
@@ -229,11 +241,15 @@ def _packer(file: str | None, tiers: tuple[int, ...], with_ids: bool):
             for doc_id, raw in zip(ids, tok.ids(texts)):
                 docs.append((doc_id, raw + end))
                 tokens += len(raw) // 4 + 1
-            if tokens >= CHUNK_TOKENS:
-                yield close()
-                docs, tokens = [], 0
+            while tokens >= CHUNK_TOKENS + STEP_TOKENS:  # what stays behind is a step group at least
+                k, size = 0, 0
+                while size < CHUNK_TOKENS:
+                    size += len(docs[k][1]) // 4
+                    k += 1
+                yield close(docs[:k])
+                docs, tokens = docs[k:], tokens - size
         if docs:
-            yield close()
+            yield close(docs)
 
     return run
 
@@ -246,8 +262,8 @@ def pack_documents(
 
     Tokenizing and packing happen inside each input partition, in chunks of about a million tokens, with no shuffle: the
     partition number makes sequence_id unique, and a task that is run again gives the same pieces. Every sequence is full
-    (its size, ``context``, is a power of two), so nothing is padded; sequences are dealt in order of size to step groups
-    of equal numbers of tokens. Null and empty texts are one piece of one id, the end. Rows that repeat an id are packed
+    (its size, ``context``, is a power of two), so nothing is padded. Sequences of a chunk are dealt to step groups that differ
+    by one sequence of the longest tier at most and hold 2/3 to 3/2 of STEP_TOKENS; a partition with less in all is one group. Null and empty texts are one piece of one id, the end. Rows that repeat an id are packed
     each; null ids are kept. An empty table gives an empty result. Other columns are ignored.
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from swathe.llm import packing
@@ -56,7 +57,7 @@ def test_odd_tables(spark):
     assert sum(r["length"] for r in rows) == 6
 
 
-def test_pack_is_whole_and_steps_are_equal():
+def test_pack_is_whole():
     rng = np.random.default_rng(0)
     for lengths in ([1], [4096], [4097, 1], [512] * 9, [int(x) for x in rng.lognormal(6, 1.3, 3000)]):
         windows = packing.pack(lengths)
@@ -72,3 +73,23 @@ def test_pack_is_whole_and_steps_are_equal():
                 assert s == at and k > 0
                 at += k
             assert at == n
+
+
+def test_step_groups_are_balanced(spark):
+    """Several chunks and a small last one: groups of about the same tokens, none far from the step's size."""
+    rng = np.random.default_rng(1)
+    words = ["one", "two", "other", "words", "more", "here"]
+    texts = [" ".join(rng.choice(words, int(n))) for n in np.minimum(rng.lognormal(7, 1.2, 1400), 30_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    groups = [r["n"] for r in packing.pack_documents(df).groupBy("step_group").agg(F.sum("length").alias("n")).collect()]
+    assert sum(groups) > 2 * packing.CHUNK_TOKENS and len(groups) > 15
+    assert 2 / 3 * packing.STEP_TOKENS - 4096 <= min(groups) and max(groups) <= 3 / 2 * packing.STEP_TOKENS + 4096
+    for sizes in ([4096] * 70 + [512] * 9, [4096] * 3 + [1], [2048] * 200 + [1024] * 31 + [64, 8, 1]):
+        dealt = np.bincount(packing.deal(sizes, packing.STEP_TOKENS), sizes)
+        assert len(dealt) == max(1, round(sum(sizes) / packing.STEP_TOKENS)) and dealt.max() - dealt.min() <= 4096
+
+
+def test_sequence_ids_are_each_partitions_own(spark):
+    df = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string").repartition(5)
+    rows = packing.pack_documents(df).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
