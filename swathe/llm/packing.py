@@ -23,7 +23,7 @@ END_ID = 2
 #: Tokens that are packed together inside a task, and tokens of one balanced step group.
 CHUNK_TOKENS, STEP_TOKENS = 1 << 20, 1 << 17
 #: Words as they stand, and lower-case words of letters (two generations), that a worker remembers the ids of.
-MEMO_WORDS, MEMO_LETTERS = 400_000, 500_000
+MEMO_WORDS, MEMO_LETTERS = 150_000, 240_000
 #: Punctuation that the tokenizer splits off the end of a word of letters, whatever follows.
 TAIL = ".,;:!?*%&$#()[]{}/\\-_+=~"
 

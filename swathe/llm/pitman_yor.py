@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from swathe.llm.words import crc_fold, mix, slices, word_hashes
+from swathe.llm.words import crc_fold, give_back, mix, slices, word_hashes
 from swathe.plans.durable import durable, plan_bytes
 
 #: The token after each text. As nothing follows it inside a text, it stands for the start as a context too.
@@ -512,6 +512,7 @@ def _counting(hot: np.ndarray, shards: int):
 
 
 def _data(packed: pa.Table) -> tuple[int, list[tuple], list[tuple]]:
+    give_back()  # what the task before this one has left
     return next(_buckets(iter(packed.to_batches())), (0, [], []))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import zlib
 from collections.abc import Iterator
 
@@ -36,9 +38,20 @@ def crc_fold(doc_id: int, folds: int = 5) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds
 
 
+def give_back() -> None:
+    """Hands memory that is free back to the system where the C library can: workers outlive their tasks, and idle ones
+    should not hold what a task once needed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
+_LIBC = ctypes.CDLL(ctypes.util.find_library("c") or None)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, *others: str, size: int = SLICE_BYTES, overhead: int = 1) -> Iterator[tuple]:
     """(list of text bytes, list of values of each other column), by at most ``size`` bytes of text, where each row counts
-    ``overhead`` bytes more; null text is b""."""
+    ``overhead`` bytes more; null text is b"". Free memory is given back at the end."""
     held: list[list] = [[] for _ in range(1 + len(others))]
     n = 0
     for batch in batches:
@@ -55,3 +68,5 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, *others: str, size: int
             n += len(value) + overhead
     if held[0]:
         yield tuple(held)
+    held = []
+    give_back()
