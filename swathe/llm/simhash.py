@@ -269,7 +269,7 @@ def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarr
     end = np.repeat(np.cumsum(n), n)
     owner = np.repeat(np.arange(len(texts)), n)
     at = np.flatnonzero(np.arange(len(h)) + shingle <= end)
-    parts, of = [window_hashes(h, shingle)[0][at] if len(at) else h[:0]], [owner[at]]
+    parts, of = [window_hashes(h, shingle)[at] if len(at) else h[:0]], [owner[at]]
     for i in np.flatnonzero((n > 0) & (n < shingle)):
         own = word_hashes(docs[i])
         x = own[:1]

@@ -14,54 +14,89 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathe.llm.words import mix, slices, split, word_hashes
+from swathe.llm.words import mix, slices, split, word_digests
 from swathe.plans.durable import durable, partitions_for
 
 WINDOW = 13
 #: Bytes of text in a chunk (a longer single text is one), and file bytes of input for each bucket.
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 FLAGS, TEXT = 0, 1
-Chunk = tuple[int, list, list[bytes], np.ndarray]
+Chunk = tuple[int, list, list[bytes], bytes]
 
 
-def window_hashes(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of every run of ``length`` word hashes, by doubling: a window is two overlapping windows of half its size."""
+def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every run of ``length`` word hashes, by doubling: a window is two overlapping windows of half its size."""
     size, now = 1, h
     while size * 2 <= length:
         now, size = mix(now[:-size], now[size:]), size * 2
     rest = length - size
-    a, b = (now[: len(now) - rest], now[rest:])
-    return mix(a, b), mix(b, a ^ np.uint64(0x5851F42D4C957F2D))
+    return mix(now[: len(now) - rest], now[rest:])
+
+
+def levels(window: int) -> tuple[int, int]:
+    """The two lengths at which windows are looked for: the greatest power of two below ``window``, and ``window``, which is
+    two overlapping windows of the first."""
+    short = 1
+    while short * 2 < window:
+        short *= 2
+    return min(short, window), window
+
+
+def by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal rows of ``keys`` together, and where each run of them starts."""
+    order = np.argsort(keys[:, 0])
+    k = keys[order]
+    same = k[1:, 0] == k[:-1, 0]
+    if keys.shape[1] > 1 and (same & (k[1:, 1] != k[:-1, 1])).any():
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        k = keys[order]
+    return order, np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1))))
+
+
+def member(values: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Which rows of ``values`` are among the rows ``flags``."""
+    out = np.zeros(len(values), bool)
+    if not len(flags) or not len(values):
+        return out
+    flags = flags[np.lexsort(flags.T[::-1])]
+    at, left = np.searchsorted(flags[:, 0], values[:, 0]), np.arange(len(values))
+    while len(left):
+        on = at < len(flags)
+        at, left = at[on], left[on]
+        on = flags[at, 0] == values[left, 0]  # rows with the same first number follow each other
+        at, left = at[on], left[on]
+        out[left] |= (flags[at] == values[left]).all(axis=1)
+        at, left = at[~out[left]] + 1, left[~out[left]]
+    return out
 
 
 class Windows:
-    """The windows of a chunk's documents: ``at`` in the concatenated words, ``doc`` (rank of the id in ``ids``), hashes
-    ``a`` and ``b``. Rows with a null id have none."""
+    """The windows of a chunk's documents: ``at`` in the concatenated words, ``doc`` (rank of the id in ``ids``), ``keys``
+    and ``route``, from 128-bit hashes of the words. Rows with a null id have none.
 
-    def __init__(self, ids: list, docs: list[list[bytes]], length: int):
+    A key is the 128-bit hash of the window, or 32 bits of it if ``narrow``: enough to find what may repeat.
+    """
+
+    def __init__(self, ids: list, docs: list[list[bytes]], length: int, narrow: bool):
         self.n = np.array([len(d) for d in docs], np.int64)
         known = np.array([i is not None for i in ids], bool)
         self.ids, rank = np.unique(np.array([0 if i is None else i for i in ids], np.int64), return_inverse=True)
-        h = word_hashes([w for d in docs for w in d])
+        h = word_digests([w for d in docs for w in d])
         where = np.arange(len(h))
         self.at = where[(where + length <= np.repeat(np.cumsum(self.n), self.n)) & np.repeat(known, self.n)]
         self.doc = np.repeat(rank, self.n)[self.at]
-        if len(self.at):
-            a, b = window_hashes(h, length)
-            self.a, self.b = a[self.at], b[self.at]
-        else:
-            self.a = self.b = np.empty(0, np.uint64)
+        a, b = (window_hashes(h[:, k], length)[self.at] if len(self.at) else np.empty(0, np.uint64) for k in (0, 1))
+        self.keys, self.route = (a.astype(np.uint32)[:, None] if narrow else np.stack((a, b), axis=1)), b
 
     def only(self, places: np.ndarray) -> None:
         """Keeps the windows at which ``places`` (by word) is true."""
         keep = places[self.at]
-        self.at, self.doc, self.a, self.b = (x[keep] for x in (self.at, self.doc, self.a, self.b))
+        self.at, self.doc, self.keys, self.route = (x[keep] for x in (self.at, self.doc, self.keys, self.route))
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Order by hash, where each hash starts in it, and the least and the greatest document that have it."""
-        order = np.argsort(self.a)
-        h, d = self.a[order], self.doc[order]
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        """Order by key, where each key starts in it, and the least and the greatest document that have it."""
+        order, starts = by_key(self.keys)
+        d = self.doc[order]
         return order, starts, np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
 
     def repeated(self, flags: np.ndarray, later_only: bool) -> np.ndarray:
@@ -72,24 +107,21 @@ class Windows:
         n = np.diff(np.append(starts, len(order)))
         out = np.empty(len(order), bool)
         out[order] = self.doc[order] > np.repeat(low, n) if later_only else np.repeat(low < high, n)
-        return out | _member(self.a, flags)
+        return out | member(self.keys, flags)
 
 
-def _member(values: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    if not len(flags):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(flags, values)
-    return flags[np.minimum(at, len(flags) - 1)] == values
+def _keys(data: bytes, narrow: bool) -> np.ndarray:
+    return np.frombuffer(data, np.uint32 if narrow else np.uint64).reshape(-1, 1 if narrow else 2)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     """(chunk, ids, texts, no flags): rows in order, cut by bytes alone, so that reading again gives the same chunks."""
     first = TaskContext.get().partitionId() << 32
     for k, (texts, ids) in enumerate(slices(batches, "text", "doc_id", size=CHUNK_BYTES)):
-        yield first | k, ids, texts, np.empty(0, np.uint64)
+        yield first | k, ids, texts, b""
 
 
-#: A chunk's flagged hashes (``body``, kind FLAGS), or its documents: ids, sizes, which ids are null, texts (kind TEXT).
+#: A chunk's flagged keys (``body``, kind FLAGS), or its documents: ids, sizes, which ids are null, texts (kind TEXT).
 ROWS = "dest int, chunk long, kind int, ids binary, sizes binary, nulls binary, body binary"
 
 
@@ -117,7 +149,7 @@ def _compressed(parts: int):
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-    """(chunk, ids, texts, sorted flagged hashes) of a stream in order of chunk, flags first."""
+    """(chunk, ids, texts, flagged keys) of a stream in order of chunk, flags first."""
     held: list[bytes] = []
     plain = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -128,7 +160,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             ids, sizes, nulls = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.uint32, np.uint8)))
             ends, data = np.cumsum(sizes, dtype=np.int64), plain.decompress(row[3])
             texts = [data[z - s : z] for s, z in zip(sizes.tolist(), ends.tolist())]
-            yield chunk, [None if gone else i for i, gone in zip(ids.tolist(), nulls.tolist())], texts, np.sort(np.frombuffer(b"".join(held), np.uint64))
+            yield chunk, [None if gone else i for i, gone in zip(ids.tolist(), nulls.tolist())], texts, b"".join(held)
             held = []
 
 
@@ -146,30 +178,32 @@ def _packed(bucket: np.ndarray, doc: np.ndarray, hashes: np.ndarray) -> list[tup
     return [(int(run_bucket[a]), run_doc[a:z].tobytes(), runs[a:z].tobytes(), hashes[ends[a] : ends[z]].tobytes()) for a, z in zip(cut, np.append(cut[1:], len(new)))]
 
 
-def _emitter(length: int, buckets: int, later_only: bool, extend: bool):
+def _emitter(length: int, buckets: int, later_only: bool, narrow: bool, shorter: tuple[int, bool] | None):
     """Rows (bucket, chunk, docs, counts, hashes): of each of a chunk's windows one entry for the least document that has
     it (and one for the greatest unless ``later_only``), however many have it: that is all that other chunks need to know.
 
-    With ``extend`` the input is a grouped stream, and only windows both of whose halves repeat are emitted.
+    With ``shorter`` (a length of half the window or more, and whether its keys are narrow) the input is a grouped stream
+    with the flags of that level, and a window is emitted only if the shorter ones at its start and its end both repeat.
     """
     names = ["bucket", "chunk", "docs", "counts", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, texts, flags in (_grouped if extend else _chunks)(batches):
+        for chunk, ids, texts, flags in (_grouped if shorter else _chunks)(batches):
             docs = [split(t) for t in texts]
-            w = Windows(ids, docs, length)
-            if extend and len(w.at):
-                short, seen = Windows(ids, docs, length // 2), np.zeros(int(w.n.sum()) + length, bool)
-                seen[short.at[short.repeated(flags, later_only)]] = True
-                w.only(seen & np.append(seen[length // 2 :], np.zeros(length // 2, bool)))
+            w = Windows(ids, docs, length, narrow)
+            if shorter and len(w.at):
+                size, few = shorter
+                short, seen = Windows(ids, docs, size, few), np.zeros(int(w.n.sum()) + length, bool)
+                seen[short.at[short.repeated(_keys(flags, few), False)]] = True
+                w.only(seen & np.append(seen[length - size :], np.zeros(length - size, bool)))
             if not len(w.at):
                 continue
             order, starts, low, high = w.runs()
             first = order[starts]
-            h, bucket, doc = w.a[first], (w.b[first] % np.uint64(buckets)).astype(np.int64), low
+            h, bucket, doc = w.keys[first], (w.route[first] % np.uint64(buckets)).astype(np.int64), low
             if not later_only:
                 more = high > low
-                h, bucket, doc = np.append(h, h[more]), np.append(bucket, bucket[more]), np.append(low, high[more])
+                h, bucket, doc = np.concatenate((h, h[more])), np.append(bucket, bucket[more]), np.append(low, high[more])
             order = np.argsort(bucket * len(w.ids) + doc, kind="stable")
             rows = [(b, chunk, *x) for b, *x in _packed(bucket[order], w.ids[doc[order]], h[order])]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), pa.int64(), *[pa.binary()] * 3])], names)
@@ -177,24 +211,23 @@ def _emitter(length: int, buckets: int, later_only: bool, extend: bool):
     return run
 
 
-def _matches(later_only: bool, parts: int):
-    """For each bucket and chunk the hashes that a document of another chunk has too (``later_only``: one with a smaller
-    id than the chunk's least). One row for each bucket and chunk at most."""
+def _matches(later_only: bool, parts: int, narrow: bool):
+    """For each bucket and chunk the keys that a document of another chunk has too (``later_only``: one with a smaller id
+    than the chunk's least). One row for each bucket and chunk at most."""
+    width = 4 if narrow else 16
 
     def close(chunks: list[int], docs: list[bytes], counts: list[bytes], hashes: list[bytes]) -> pa.RecordBatch | None:
-        h = np.frombuffer(b"".join(hashes), np.uint64)
+        h = _keys(b"".join(hashes), narrow)
         d = np.repeat(np.frombuffer(b"".join(docs), np.int64), np.frombuffer(b"".join(counts), np.uint32))
-        c = np.repeat(np.array(chunks, np.int64), [len(x) // 8 for x in hashes])
-        order = np.argsort(h)
-        h = h[order]
-        same = h[1:] == h[:-1]
-        twice = np.append(same, False) | np.append(False, same)
-        h, order = h[twice], order[twice]
-        if not len(h):
-            return None
-        d, c = d[order], c[order]
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        c = np.repeat(np.array(chunks, np.int64), [len(x) // width for x in hashes])
+        order, starts = by_key(h)
         n = np.diff(np.append(starts, len(h)))
+        twice = np.repeat(n > 1, n)
+        order, n = order[twice], n[n > 1]
+        if not len(order):
+            return None
+        h, d, c = h[order], d[order], c[order]
+        starts = np.cumsum(n) - n
         low = np.repeat(np.minimum.reduceat(d, starts), n)
         hit = d > low if later_only else np.repeat(np.maximum.reduceat(d, starts), n) > low
         h, c = h[hit], c[hit]
@@ -223,22 +256,22 @@ def _matches(later_only: bool, parts: int):
     return run
 
 
-def repeated_windows(source: DataFrame, length: int, later_only: bool, parts: int, extend: bool = False) -> DataFrame:
-    """Rows of kind FLAGS: for chunks the hashes of their windows that repeat in other chunks.
+def repeated_windows(source: DataFrame, length: int, later_only: bool, parts: int, narrow: bool = False, shorter: tuple[int, bool] | None = None) -> DataFrame:
+    """Rows of kind FLAGS: for chunks the keys of their windows that repeat in other chunks.
 
-    The windows are shuffled as packed blobs of 8 bytes each, by a bucket from a second hash. A passage that a third of
-    the documents have is one entry a chunk for each of its windows, and these lie in as many buckets.
+    The windows are shuffled as packed blobs, by a bucket from a hash. A passage that a third of the documents have is one
+    entry a chunk for each of its windows, and these lie in as many buckets.
     """
     schema = "bucket int, chunk long, docs binary, counts binary, hashes binary"
-    packed = source.mapInArrow(_emitter(length, parts, later_only, extend), schema)
-    return packed.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(later_only, parts), ROWS)
+    packed = source.mapInArrow(_emitter(length, parts, later_only, narrow, shorter), schema)
+    return packed.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(later_only, parts, narrow), ROWS)
 
 
 def _hits(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, texts, flags in _grouped(batches):
-            w = Windows(ids, [split(t) for t in texts], length)
-            found = w.ids[np.unique(w.doc[w.repeated(flags, False)])]
+            w = Windows(ids, [split(t) for t in texts], length, False)
+            found = w.ids[np.unique(w.doc[w.repeated(_keys(flags, False), False)])]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk)), pa.array(found)], ["chunk", "doc_id"])
 
     return run
@@ -251,9 +284,9 @@ def _remover(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, texts, flags in _grouped(batches):
             docs = [split(t) for t in texts]
-            w = Windows(ids, docs, window)
+            w = Windows(ids, docs, window, False)
             edge = np.zeros(int(w.n.sum()) + 1, np.int64)
-            starts = w.at[w.repeated(flags, True)]
+            starts = w.at[w.repeated(_keys(flags, False), True)]
             edge[starts] += 1
             edge[starts + window] -= 1
             stay = np.cumsum(edge[:-1]) == 0
@@ -283,16 +316,21 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     Removes each word covered by a window of ``window`` words that also starts in a document with a smaller id. Windows
     are judged on the input. Words are runs of characters other than U+0020 and U+0009 to U+000D.
 
-    The texts are read twice, in the same chunks. Inside a chunk all but the least document with a window are known to
-    repeat it; only of that one the other chunks are asked. So copies are combined before the shuffle.
+    Two levels: windows of the greatest power of two below ``window`` that repeat in any other document are found first, by
+    32 bits of their hash (a false hit only costs work); ``window`` words are looked for only where those at the start and
+    the end both repeat, by 128 bits. The texts are read in the same chunks each time. Inside a chunk all but the least
+    document with a window are known to repeat it; only of that one the other chunks are asked. So copies are combined
+    before the shuffle.
 
-    Windows agree when a 64-bit hash does. Null and empty texts have no words. Texts shorter than the window lose nothing.
+    Windows agree when a 128-bit hash of their words' 128-bit hashes does. Null and empty texts have no words. Texts shorter than the window lose nothing.
     Rows with a null id lose nothing and are no source; rows that repeat an id are judged as one document and each
     returned. An empty table gives an empty result; other columns are ignored.
     """
     cols = _replayable(_columns(docs, id_col, text_col))
     parts = partitions_for(cols, BUCKET_BYTES)
-    both = _together(cols.mapInArrow(_compressed(parts), ROWS), repeated_windows(cols, window, True, parts), parts)
+    texts, (short, _) = cols.mapInArrow(_compressed(parts), ROWS), levels(window)
+    may = _together(texts, repeated_windows(cols, short, False, parts, narrow=True), parts)
+    both = _together(texts, repeated_windows(may, window, True, parts, shorter=(short, True)), parts)
     return both.mapInArrow(_remover(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
@@ -307,7 +345,7 @@ def repeat_levels(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     source, length, found = _replayable(cols), window, None
     texts = durable(source.mapInArrow(_compressed(parts), ROWS))
     while True:
-        flags = durable(repeated_windows(source, length, False, parts, found is not None))
+        flags = durable(repeated_windows(source, length, False, parts, shorter=None if found is None else (length // 2, False)))
         hit = durable(_together(texts, flags, parts).mapInArrow(_hits(length), "chunk long, doc_id long"))
         level = hit.select("doc_id", F.lit(length).cast("long").alias("longest"))
         found = level if found is None else found.unionAll(level)

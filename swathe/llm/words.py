@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 #: Characters of text that a Python worker holds at a time (a longer single text is held whole).
 SLICE_BYTES = 2_000_000
@@ -24,6 +24,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """128-bit hashes, as rows of two 64-bit numbers."""
+    return np.frombuffer(b"".join(map(xxh3_128_digest, words)), ">u8").reshape(-1, 2).astype(np.uint64)
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """An order-sensitive 64-bit hash of two arrays of hashes."""
     with np.errstate(over="ignore"):

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from swathe.llm import substring_dedup as S
 
@@ -57,3 +58,23 @@ def test_levels_double_until_none_survives(spark):
     rows = [(1, " ".join(passage)), (2, "q " + " ".join(passage[:25])), (3, " ".join(passage[:9]) + " zz"), (4, "alone in here")]
     got = {r["doc_id"]: r["longest"] for r in S.repeat_levels(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
     assert got == {1: 20, 2: 20, 3: 5}
+
+
+def test_keys_that_agree_in_64_bits_stay_apart():
+    u = np.uint64
+    keys = np.array([(7, 1), (7, 2), (3, 9), (7, 1), (7, 3), (3, 9)], u)
+    order, starts = S.by_key(keys)
+    groups = {frozenset(order[a:z].tolist()) for a, z in zip(starts, [*starts[1:], len(keys)])}
+    assert groups == {frozenset({0, 3}), frozenset({1}), frozenset({2, 5}), frozenset({4})}
+    flags = np.array([(7, 3), (7, 2), (8, 1)], u)
+    assert S.member(keys, flags).tolist() == [False, True, False, False, True, False]
+    assert not S.member(keys, flags[:0]).any() and len(S.member(keys[:0], flags)) == 0
+    bodies = [keys[[0, 2]].tobytes(), keys[[1, 2]].tobytes()]  # two chunks: (7, 1) and (7, 2) differ, (3, 9) repeats
+    cols = [pa.array([0, 0], pa.int32()), pa.array([1, 2]), *[pa.array([np.array(d, t).tobytes() for d in ds]) for ds, t in (([[10], [20]], np.int64), ([[2], [2]], np.uint32))], pa.array(bodies)]
+    rows = list(S._matches(True, 4, False)(iter([pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", "docs", "counts", "hashes"])])))
+    got = [(c, b) for r in rows for c, b in zip(r.column("chunk").to_pylist(), r.column("body").to_pylist())]
+    assert got == [(2, keys[2:3].tobytes())]
+
+
+def test_levels_of_a_window():
+    assert [S.levels(w) for w in (1, 2, 3, 13, 16, 17)] == [(1, 1), (1, 2), (2, 3), (8, 13), (8, 16), (16, 17)]
