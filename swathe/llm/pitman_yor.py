@@ -8,13 +8,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from swathe.llm.words import crc_fold, give_back, mix, slices, word_hashes
+from swathe.llm.words import crc_fold, give_back, loosen, mix, slices, small, squeeze, word_hashes
 from swathe.plans.durable import durable, plan_bytes
 
 #: The token after each text. As nothing follows it inside a text, it stands for the start as a context too.
@@ -83,27 +82,6 @@ def likelihoods(tokens: np.ndarray, tables: np.ndarray, d: float) -> np.ndarray:
     return np.array([(_lgamma(x / d + t) - _lgamma(x / d + np.ones(1)) - _lgamma(x + c) + _lgamma(x + np.ones(1))).sum() for x in STRENGTHS])
 
 
-def small(x: np.ndarray) -> np.ndarray:
-    """Whole numbers in the fewest bytes each that hold them all."""
-    top = x.max(initial=0)
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-
-
-def squeeze(x: np.ndarray, steps: bool = False) -> bytes:
-    """Unsigned numbers as compressed byte planes; of ``steps`` (sorted numbers, or runs of such) the differences."""
-    if steps:
-        x = np.concatenate((x[:1], x[1:] - x[:-1]))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T))
-
-
-def loosen(data: bytes, width: int = 0, n: int = 0, steps: bool = False) -> np.ndarray:
-    """What ``squeeze`` was given, told by the bytes of a number or by how many there are."""
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    width = width or (len(raw) // n if n else 1)
-    x = np.ascontiguousarray(raw.reshape(width, -1).T).view(f"u{width}").ravel()
-    return np.cumsum(x, dtype=x.dtype) if steps else x
-
-
 def _label(parts: int) -> np.ndarray:
     """For each partition a number that Spark's hash sends there, so that buckets fill partitions evenly."""
     found: dict[int, int] = {}

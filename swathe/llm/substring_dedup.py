@@ -14,14 +14,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathe.llm.words import mix, slices, split, word_digests
+from swathe.llm.words import loosen, mix, slices, small, split, squeeze, word_digests
 from swathe.plans.durable import durable, partitions_for
 
 WINDOW = 13
 #: Bytes of text in a chunk (a longer single text is one), and file bytes of input for each bucket.
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 FLAGS, TEXT = 0, 1
-Chunk = tuple[int, list, list[bytes], bytes]
+Chunk = tuple[int, list, list[bytes], list[bytes]]
 
 
 def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
@@ -77,11 +77,11 @@ class Windows:
     A key is the 128-bit hash of the window, or 32 bits of it if ``narrow``: enough to find what may repeat.
     """
 
-    def __init__(self, ids: list, docs: list[list[bytes]], length: int, narrow: bool):
+    def __init__(self, ids: list, docs: list[list[bytes]], length: int, narrow: bool, digests: np.ndarray | None = None):
         self.n = np.array([len(d) for d in docs], np.int64)
         known = np.array([i is not None for i in ids], bool)
         self.ids, rank = np.unique(np.array([0 if i is None else i for i in ids], np.int64), return_inverse=True)
-        h = word_digests([w for d in docs for w in d])
+        self.digests = h = word_digests([w for d in docs for w in d]) if digests is None else digests
         where = np.arange(len(h))
         self.at = where[(where + length <= np.repeat(np.cumsum(self.n), self.n)) & np.repeat(known, self.n)]
         self.doc = np.repeat(rank, self.n)[self.at]
@@ -110,15 +110,23 @@ class Windows:
         return out | member(self.keys, flags)
 
 
-def _keys(data: bytes, narrow: bool) -> np.ndarray:
-    return np.frombuffer(data, np.uint32 if narrow else np.uint64).reshape(-1, 1 if narrow else 2)
+def _keys(blobs: list[bytes], narrow: bool) -> np.ndarray:
+    """The keys of blobs from ``_blob``."""
+    if narrow:
+        return np.concatenate([np.empty(0, np.uint32), *[loosen(x, 4, steps=True) for x in blobs]])[:, None]
+    return np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
+
+
+def _blob(keys: np.ndarray, narrow: bool) -> bytes:
+    """Keys in order, or sorted and compressed if ``narrow``."""
+    return squeeze(np.sort(keys[:, 0]), True) if narrow else keys.tobytes()
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     """(chunk, ids, texts, no flags): rows in order, cut by bytes alone, so that reading again gives the same chunks."""
     first = TaskContext.get().partitionId() << 32
     for k, (texts, ids) in enumerate(slices(batches, "text", "doc_id", size=CHUNK_BYTES)):
-        yield first | k, ids, texts, b""
+        yield first | k, ids, texts, []
 
 
 #: A chunk's flagged keys (``body``, kind FLAGS), or its documents: ids, sizes, which ids are null, texts (kind TEXT).
@@ -160,7 +168,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             ids, sizes, nulls = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.uint32, np.uint8)))
             ends, data = np.cumsum(sizes, dtype=np.int64), plain.decompress(row[3])
             texts = [data[z - s : z] for s, z in zip(sizes.tolist(), ends.tolist())]
-            yield chunk, [None if gone else i for i, gone in zip(ids.tolist(), nulls.tolist())], texts, b"".join(held)
+            yield chunk, [None if gone else i for i, gone in zip(ids.tolist(), nulls.tolist())], texts, held
             held = []
 
 
@@ -170,22 +178,26 @@ def _together(texts: DataFrame, flags: DataFrame, parts: int) -> DataFrame:
 
 
 def _packed(bucket: np.ndarray, doc: np.ndarray, hashes: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
-    """(bucket, docs, counts, hashes) of entries sorted by bucket, and by document inside."""
+    """(bucket, docs, counts, hashes) of entries sorted by bucket, and by document inside; a document's id, and its entries in
+    the bucket, once."""
     new = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1]))))
     ends = np.append(new, len(doc))
     runs, run_doc, run_bucket = np.diff(ends).astype(np.uint32), doc[new], bucket[new]
     cut = np.flatnonzero(np.concatenate(([True], run_bucket[1:] != run_bucket[:-1])))
-    return [(int(run_bucket[a]), run_doc[a:z].tobytes(), runs[a:z].tobytes(), hashes[ends[a] : ends[z]].tobytes()) for a, z in zip(cut, np.append(cut[1:], len(new)))]
+    out = []
+    for a, z in zip(cut, np.append(cut[1:], len(new))):
+        out.append((int(run_bucket[a]), squeeze(run_doc[a:z].view(np.uint64), True), squeeze(small(runs[a:z])), hashes[ends[a] : ends[z]].tobytes()))
+    return out
 
 
 def _emitter(length: int, buckets: int, later_only: bool, narrow: bool, shorter: tuple[int, bool] | None):
     """Rows (bucket, chunk, docs, counts, hashes): of each of a chunk's windows one entry for the least document that has
     it (and one for the greatest unless ``later_only``), however many have it: that is all that other chunks need to know.
+    Narrow keys go without documents.
 
     With ``shorter`` (a length of half the window or more, and whether its keys are narrow) the input is a grouped stream
     with the flags of that level, and a window is emitted only if the shorter ones at its start and its end both repeat.
     """
-    names = ["bucket", "chunk", "docs", "counts", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, texts, flags in (_grouped if shorter else _chunks)(batches):
@@ -193,7 +205,7 @@ def _emitter(length: int, buckets: int, later_only: bool, narrow: bool, shorter:
             w = Windows(ids, docs, length, narrow)
             if shorter and len(w.at):
                 size, few = shorter
-                short, seen = Windows(ids, docs, size, few), np.zeros(int(w.n.sum()) + length, bool)
+                short, seen = Windows(ids, docs, size, few, w.digests), np.zeros(int(w.n.sum()) + length, bool)
                 seen[short.at[short.repeated(_keys(flags, few), False)]] = True
                 w.only(seen & np.append(seen[length - size :], np.zeros(length - size, bool)))
             if not len(w.at):
@@ -201,25 +213,40 @@ def _emitter(length: int, buckets: int, later_only: bool, narrow: bool, shorter:
             order, starts, low, high = w.runs()
             first = order[starts]
             h, bucket, doc = w.keys[first], (w.route[first] % np.uint64(buckets)).astype(np.int64), low
+            if narrow:
+                order = np.argsort(bucket, kind="stable")
+                h, bucket = h[order], bucket[order]
+                cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+                rows = [(int(bucket[a]), chunk, b"", b"", _blob(h[a:z], True)) for a, z in zip(cut, np.append(cut[1:], len(h)))]
+                yield _entries(rows)
+                continue
             if not later_only:
                 more = high > low
                 h, bucket, doc = np.concatenate((h, h[more])), np.append(bucket, bucket[more]), np.append(low, high[more])
             order = np.argsort(bucket * len(w.ids) + doc, kind="stable")
             rows = [(b, chunk, *x) for b, *x in _packed(bucket[order], w.ids[doc[order]], h[order])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), pa.int64(), *[pa.binary()] * 3])], names)
+            yield _entries(rows)
 
     return run
 
 
+def _entries(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "chunk", "docs", "counts", "hashes"])
+
+
 def _matches(later_only: bool, parts: int, narrow: bool):
     """For each bucket and chunk the keys that a document of another chunk has too (``later_only``: one with a smaller id
-    than the chunk's least). One row for each bucket and chunk at most."""
-    width = 4 if narrow else 16
+    than the chunk's least; of narrow keys those that another chunk has). One row for each bucket and chunk at most."""
 
     def close(chunks: list[int], docs: list[bytes], counts: list[bytes], hashes: list[bytes]) -> pa.RecordBatch | None:
-        h = _keys(b"".join(hashes), narrow)
-        d = np.repeat(np.frombuffer(b"".join(docs), np.int64), np.frombuffer(b"".join(counts), np.uint32))
-        c = np.repeat(np.array(chunks, np.int64), [len(x) // width for x in hashes])
+        lists = [_keys([x], narrow) for x in hashes]
+        h, c = np.concatenate(lists), np.repeat(np.array(chunks, np.int64), [len(x) for x in lists])
+        if narrow:
+            d = c
+        else:
+            ids = [loosen(x, 8, steps=True).view(np.int64) for x in docs]
+            d = np.concatenate([np.repeat(i, loosen(x, n=len(i))) for i, x in zip(ids, counts)])
         order, starts = by_key(h)
         n = np.diff(np.append(starts, len(h)))
         twice = np.repeat(n > 1, n)
@@ -229,7 +256,7 @@ def _matches(later_only: bool, parts: int, narrow: bool):
         h, d, c = h[order], d[order], c[order]
         starts = np.cumsum(n) - n
         low = np.repeat(np.minimum.reduceat(d, starts), n)
-        hit = d > low if later_only else np.repeat(np.maximum.reduceat(d, starts), n) > low
+        hit = d > low if later_only and not narrow else np.repeat(np.maximum.reduceat(d, starts), n) > low
         h, c = h[hit], c[hit]
         if not len(h):
             return None
@@ -237,7 +264,7 @@ def _matches(later_only: bool, parts: int, narrow: bool):
         h, c = h[order], c[order]
         cut = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
         dest = _home(c[cut], parts)
-        return _batch([(int(k), int(c[a]), FLAGS, b"", b"", b"", h[a:z].tobytes()) for k, a, z in zip(dest, cut, np.append(cut[1:], len(c)))])
+        return _batch([(int(k), int(c[a]), FLAGS, b"", b"", b"", _blob(h[a:z], narrow)) for k, a, z in zip(dest, cut, np.append(cut[1:], len(c)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [], [], [])

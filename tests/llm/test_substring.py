@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from swathe.llm import substring_dedup as S
+from swathe.llm.words import squeeze
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,7 +71,7 @@ def test_keys_that_agree_in_64_bits_stay_apart():
     assert S.member(keys, flags).tolist() == [False, True, False, False, True, False]
     assert not S.member(keys, flags[:0]).any() and len(S.member(keys[:0], flags)) == 0
     bodies = [keys[[0, 2]].tobytes(), keys[[1, 2]].tobytes()]  # two chunks: (7, 1) and (7, 2) differ, (3, 9) repeats
-    cols = [pa.array([0, 0], pa.int32()), pa.array([1, 2]), *[pa.array([np.array(d, t).tobytes() for d in ds]) for ds, t in (([[10], [20]], np.int64), ([[2], [2]], np.uint32))], pa.array(bodies)]
+    cols = [pa.array([0, 0], pa.int32()), pa.array([1, 2]), *[pa.array([squeeze(np.array(d, t)) for d in ds]) for ds, t in (([[10], [20]], np.uint64), ([[2], [2]], np.uint8))], pa.array(bodies)]
     rows = list(S._matches(True, 4, False)(iter([pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", "docs", "counts", "hashes"])])))
     got = [(c, b) for r in rows for c, b in zip(r.column("chunk").to_pylist(), r.column("body").to_pylist())]
     assert got == [(2, keys[2:3].tobytes())]
