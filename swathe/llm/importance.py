@@ -102,18 +102,19 @@ def top_k(keyed: DataFrame, k: int, key: str, tie: str) -> Column:
     return (F.col(key) > edge[0]) | ((F.col(key) == edge[0]) & same)
 
 
-def importance_resample(docs: DataFrame, target_ids: DataFrame, share: float, seed: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def importance_resample(docs: DataFrame, target_ids: DataFrame, share: float, seed: int = 13, temper: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_grams, log_weight, sample_key, kept.
 
-    log_weight is the mean log ratio of a document's n-grams times the square root of their number, so that long texts do
-    not win by length alone; sample_key adds Gumbel noise, and the largest round(share * rows) keys are kept: a sample
-    without replacement in proportion to the weights. Null and empty texts weigh 0. Repeated ids share their noise.
+    log_weight is the sum of the log ratios of a document's n-grams, the log of its importance weight; sample_key adds
+    Gumbel noise, and the largest round(share * rows) keys are kept: a sample without replacement in proportion to the
+    weights. ``temper`` divides the log weights by that power of the number of n-grams (off by default). Null and empty texts weigh 0. Repeated ids share their noise.
     An empty table gives an empty result; other columns are ignored. Without target rows all weights follow the raw text.
     """
     cols = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     ratio = fit_ratio(cols, target_ids)
     scored = cols.mapInArrow(_scorer(ratio), "doc_id long, n_grams long, log_weight double")
-    scored = scored.withColumn("log_weight", F.when(F.col("n_grams") > 0, F.col("log_weight") / F.sqrt("n_grams")).otherwise(F.lit(0.0)))
+    if temper:
+        scored = scored.withColumn("log_weight", F.when(F.col("n_grams") > 0, F.col("log_weight") / F.pow("n_grams", F.lit(temper))).otherwise(F.lit(0.0)))
     keyed = durable(scored.withColumn("sample_key", F.col("log_weight") + gumbel(seed, "doc_id")))
     k = math.floor(share * keyed.count() + 0.5)
     return keyed.withColumn("kept", top_k(keyed, k, "sample_key", "doc_id"))
