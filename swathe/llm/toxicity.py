@@ -11,14 +11,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathe.llm.words import crc_fold, slices
+from swathe.llm.words import crc_fold, slices, stretches
+from swathe.plans.durable import durable
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 #: Bytes of a word's hashed prefixes; with the whole word they make its embedding.
 PREFIXES = (4, 5, 6, 7, 8)
 EDGE = b".,;:!?\"'()[]{}|*%&$#@<>-_~"
-#: Rows of each class that training collects at most, and bytes of a text used in training (scoring reads whole texts).
-SAMPLE_PER_CLASS, SAMPLE_BYTES = 3000, 200_000
+#: Rows of each class that training collects at most, bytes of a text used in training (scoring reads whole texts), and
+#: bytes of all texts of a class.
+SAMPLE_PER_CLASS, SAMPLE_BYTES, SAMPLE_CLASS_BYTES = 3000, 200_000, 24_000_000
+#: Bytes of text above which a text is scored in parts.
+LONG = 2_000_000
 #: Distinct words whose filter responses a scoring task remembers.
 MEMO_WORDS = 150_000
 
@@ -198,9 +202,29 @@ class Scorer:
             rows.update(zip(words, range(at, at + len(words))))
         return [np.fromiter(map(rows.__getitem__, d), np.int64, len(d)) for d in docs]
 
-    def logits(self, texts: list[bytes]) -> np.ndarray:
-        rows, where, runs = _layout(self._ids(texts))
+    def _long(self, text: bytes, size: int) -> list[np.ndarray]:
+        """Max-pooled responses of one text, part by part: the last words of a part, at which a window may run over its
+        end, are looked at again with the next."""
+        over, carry, best = max(WIDTHS) - 1, [], None
+        parts = list(stretches(text, size))
+        for k, part in enumerate(parts):
+            words = [*carry, *part.split()]
+            if len(words) <= over and k + 1 < len(parts):
+                carry = words
+                continue
+            rows, where, runs = _layout(self._ids([b" ".join(words)]))
+            where = where if k + 1 == len(parts) else where[:-over]
+            tops = [t[0] for t in _pooled(self.tables, self.model.bias, rows, where, runs, False)[0]]
+            best, carry = tops if best is None else [np.maximum(a, b) for a, b in zip(best, tops)], words[-over:]
+        return best
+
+    def logits(self, texts: list[bytes], long: int = LONG) -> np.ndarray:
+        rows, where, runs = _layout(self._ids([t if len(t) <= long else b"" for t in texts]))
         tops, _ = _pooled(self.tables, self.model.bias, rows, where, runs, False)
+        for i, text in enumerate(texts):
+            if len(text) > long:
+                for top, own in zip(tops, self._long(text, long)):
+                    top[i] = own
         hidden = np.stack([np.maximum(t, 0) for t in tops], axis=1)
         return (hidden * self.model.out).sum(axis=(1, 2)).astype(np.float64) + self.model.out_bias
 
@@ -259,7 +283,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     """Fits on a bounded sample: at most ``per_class`` labelled rows of each class, by hash order of the id.
 
     labels: (doc_id, toxic); rows with null are ignored, of repeated ids the largest label counts. ``usable`` restricts the
-    ids that labels may be learnt from. At most 2 * per_class texts of at most SAMPLE_BYTES bytes reach the driver.
+    ids that labels may be learnt from. At most 2 * per_class texts of at most SAMPLE_BYTES bytes, and of a class no more
+    than SAMPLE_CLASS_BYTES (a prefix of the hash order), reach the driver.
     """
     known = labels.where("doc_id is not null and toxic is not null")
     known = known if usable is None else known.where(usable)
@@ -274,8 +299,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     chosen = [(int(r[0]), int(r[1])) for r in picked.collect()]
     ids = docs.sparkSession.createDataFrame(chosen or [(0, 0)], "id long, toxic int")
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), "lang")
-    rows = text.where(F.length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "id").select("id", "text", "toxic", "lang").collect()
-    return fit([(r[0], bytes(r[1]), r[2], r[3]) for r in rows], float(share)) if chosen else None
+    found = text.where(F.length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "id").withColumn("n", F.length("text"))
+    found = durable(found.withColumn("place", F.xxhash64("id")).select("id", "text", "toxic", "lang", "n", "place"))
+    taken, room = set(), {0: SAMPLE_CLASS_BYTES, 1: SAMPLE_CLASS_BYTES}
+    for r in sorted(found.groupBy("id", "toxic", "place").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r["place"], r["id"])):
+        room[r["toxic"]] -= r["n"]
+        if room[r["toxic"]] >= 0:
+            taken.add((r["id"],))
+    if not chosen or not taken:
+        return None
+    keep = F.broadcast(docs.sparkSession.createDataFrame(sorted(taken), "id long"))
+    return fit([(r[0], bytes(r[1]), r[2], r[3]) for r in found.join(keep, "id").select("id", "text", "toxic", "lang").collect()], float(share))
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,19 @@ def split(text: bytes) -> list[bytes]:
     return text.split()
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def stretches(text: bytes, size: int) -> Iterator[bytes]:
+    """The text in parts of about ``size`` bytes, cut at white space."""
+    at = 0
+    while at < len(text):
+        found = _SPACE.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 

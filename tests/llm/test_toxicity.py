@@ -49,3 +49,41 @@ def test_a_score_does_not_hang_on_its_neighbours():
     together = T.Scorer(model).scores(texts)
     alone = np.concatenate([T.Scorer(model).scores([t]) for t in texts[:10]])
     assert np.allclose(together[:10], alone)
+
+
+def test_scores_equal_a_plain_convolution():
+    """Windows, zero padding, pooling and the two layers, one number at a time; long texts in parts give the same."""
+    rng = np.random.default_rng(6)
+    m = T.Model(
+        rng.normal(0, 1, (T.BUCKETS, T.DIM)).astype(np.float32), [rng.normal(0, 1, (w, T.DIM, T.FILTERS)).astype(np.float32) for w in T.WIDTHS],
+        [rng.normal(0, 1, T.FILTERS).astype(np.float32) for _ in T.WIDTHS], rng.normal(0, 0.2, (len(T.WIDTHS), T.FILTERS)).astype(np.float32), 0.3, 0.7, -0.2,
+    )
+
+    def plain(text):
+        words = text.split()
+        rows = [np.mean([m.embed[f] for f in T.features(w)], axis=0) for w in words] or [np.zeros(T.DIM)]
+        rows += [np.zeros(T.DIM)] * (max(T.WIDTHS) - 1)
+        z = m.out_bias
+        for k, w in enumerate(T.WIDTHS):
+            for f in range(T.FILTERS):
+                top = max(sum(float(rows[at + j] @ m.conv[k][j][:, f]) for j in range(w)) for at in range(max(len(words), 1)))
+                z += m.out[k, f] * max(top + m.bias[k][f], 0)
+        return 1 / (1 + np.exp(-(z * m.scale + m.shift)))
+
+    words = [f"w{k}" for k in range(30)] + ["Loud!", "(it)", "x"]
+    texts = [" ".join(rng.choice(words, n)).encode() for n in (1, 2, 3, 10, 57)] + [b"", b" ", b"one", b"a  b\n"]
+    scorer = T.Scorer(m)
+    want = [plain(t) for t in texts]
+    assert np.allclose(scorer.scores(texts), want, atol=1e-5)
+    for size in (1, 7, 40):
+        z = scorer.logits(texts, size)
+        assert np.allclose(T._sigmoid(z * m.scale + m.shift), want, atol=1e-5), size
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(T, "SAMPLE_CLASS_BYTES", 1000)
+    monkeypatch.setattr(T, "fit", lambda rows, share: seen.append(rows))
+    docs = spark.createDataFrame([(k, "x" * 90, "en") for k in range(60)], "doc_id long, text string, lang string")
+    T.fit_toxicity(docs, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int"))
+    assert [sum(r[2] == y for r in seen[0]) for y in (0, 1)] == [11, 11]
