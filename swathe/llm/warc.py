@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ from swathe.plans.durable import durable
 FILE_SHIFT, FANOUT_SHIFT = 8, 4
 FILE_IDS, FANOUT = 1 << FILE_SHIFT, 1 << FANOUT_SHIFT
 CRLF = "\r\n"
+#: Bytes of a gzip member that are unpacked at a time.
+BLOCK = 1 << 16
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -46,6 +49,19 @@ def with_offsets(leaf: DataFrame) -> DataFrame:
     return leaf.withColumn("first_byte", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)))
 
 
+def slots(ids: DataFrame) -> DataFrame:
+    """(id, slot): the rank from 0 of each distinct id, null first. Ranges of ids are sorted in their partitions; how many
+    come before a partition is a table with a row for each."""
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = ids.distinct().repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    rows = durable(rows.select("id", F.monotonically_increasing_id().alias("m")))
+    sizes = rows.groupBy(F.shiftright("m", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = F.broadcast(sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    slot = F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(sizes, F.shiftright("m", 33) == F.col("part")).select("id", slot.alias("slot"))
+
+
 def _roll(level: DataFrame) -> DataFrame:
     """The next level of a tree: the hash over up to FANOUT children's nodes, byte counts and hashes, in order."""
     children = F.array_sort(F.collect_list(F.struct("node", "n_bytes", "hash")))
@@ -53,36 +69,29 @@ def _roll(level: DataFrame) -> DataFrame:
     return level.groupBy(F.shiftright("node", FANOUT_SHIFT).alias("node")).agg(F.sum("n_bytes").alias("n_bytes"), F.sha2(text, 256).alias("hash"))
 
 
-def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels (node, n_bytes, hash) from the records to a root; a node covers an ordered range of ids, so of offsets.
+def tree(leaf: DataFrame, size: int) -> list[DataFrame]:
+    """Levels (node, n_bytes, hash) from the records to a root over ``size`` slots; a node covers an ordered range of
+    records, so of offsets.
 
-    A group has at most FANOUT rows: the ids of a level are unique. Levels shrink by FANOUT and are materialised.
+    A group has at most FANOUT rows, as a slot is one record's. Levels shrink by FANOUT, however far apart the ids lie.
     """
-    levels = [durable(leaf.select(F.coalesce("id", F.lit(-(1 << 62))).alias("node"), "n_bytes", F.col("sha256").alias("hash")))]
-    while True:
+    levels = [durable(leaf.select(F.col("slot").alias("node"), "n_bytes", F.col("sha256").alias("hash")))]
+    while size > 1:
         levels.append(durable(_roll(levels[-1])))
-        few = levels[-1].limit(3).collect()  # -1 and 0 never meet by floor division: two roots at most
-        if len(few) <= 2 and all(r["node"] in (-1, 0) for r in few):
-            return levels
+        size = -(-size // FANOUT)
+    return levels
 
 
 def compare(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
-    """(node, hash, other_hash) of the records at which the trees differ; null where a replica lacks the record.
-
-    Starts with the top levels that both have and reads, level by level, only the children of nodes that differ.
-    """
-    top = max(len(a), len(b))
-    for t in (a, b):  # the shorter tree gets further roots
-        while len(t) < top:
-            t.append(durable(_roll(t[-1])))
+    """(node, hash, other_hash) of the records at which two trees over the same slots differ; null where a replica lacks
+    the record. Starts at the roots and reads, level by level, only the children of nodes that differ."""
     differing = None
     for x, y in zip(a[::-1], b[::-1]):
         if differing is not None:
             near = differing.select(F.col("node").alias("parent"))
             x, y = (t.join(near, F.shiftright(t["node"], FANOUT_SHIFT) == near["parent"], "left_semi") for t in (x, y))
         y = y.select("node", F.col("hash").alias("other_hash"))
-        pairs = x.select("node", "hash").join(y, "node", "full").where(~F.col("hash").eqNullSafe(F.col("other_hash")))
-        differing = durable(pairs)
+        differing = durable(x.select("node", "hash").join(y, "node", "full").where(~F.col("hash").eqNullSafe(F.col("other_hash"))))
         if differing.isEmpty():
             break
     return differing
@@ -92,30 +101,55 @@ def audit(records: DataFrame, replica: DataFrame, id_col: str = "page_id", recor
     """One row per id of either archive: id, file, first_byte, n_bytes, sha256, replica_sha256, status.
 
     Status is ok, corrupt, missing (in the replica) or extra (only there; then place and digest are the replica's).
-    Digests are compared by two Merkle trees; where the branches agree the replica's digest is the record's own. Tables
+    Digests are compared by two Merkle trees over the ranks of all ids of both replicas, so that a missing record moves
+    none of the others to another branch; where the branches agree the replica's digest is the record's own. Tables
     may be empty, ids null (one leaf) or repeated (one leaf of all their rows); record text null is an empty digest.
     """
     own, other = durable(with_offsets(leaves(records, id_col, record_col))), durable(with_offsets(leaves(replica, id_col, record_col)))
-    found = compare(tree(own), tree(other))
-    found = found.select(F.when(F.col("node") != -(1 << 62), F.col("node")).alias("fid"), F.col("hash"), F.col("other_hash"))
-    marked = own.join(found.where("hash is not null"), own["id"].eqNullSafe(found["fid"]), "left")
+    place = durable(slots(own.select("id").unionAll(other.select("id"))))
+    own, other = (durable(t.join(place.withColumnRenamed("id", "pid"), F.col("id").eqNullSafe(F.col("pid"))).drop("pid")) for t in (own, other))
+    size = place.count()
+    found = compare(tree(own, size), tree(other, size))
+    marked = own.join(found.where("hash is not null"), own["slot"] == found["node"], "left")
     status = F.when(F.col("hash").isNull(), "ok").when(F.col("other_hash").isNull(), "missing").otherwise("corrupt")
     digest = F.when(F.col("hash").isNull(), F.col("sha256")).otherwise(F.col("other_hash"))
     here = marked.select("id", "file", "first_byte", "n_bytes", "sha256", digest.alias("replica_sha256"), status.alias("status"))
-    only = found.where("hash is null")
-    extra = other.join(only, other["id"].eqNullSafe(only["fid"]), "left_semi")
+    extra = other.join(found.where("hash is null"), other["slot"] == found["node"], "left_semi")
     extra = extra.select("id", "file", "first_byte", "n_bytes", F.lit(None).cast("string").alias("sha256"), F.col("sha256").alias("replica_sha256"), F.lit("extra").alias("status"))
     return here.unionByName(extra).withColumnRenamed("id", id_col)
 
 
 def parse_records(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """(path, first_byte, n_bytes, kind, uri, record_id, body, error): the records of uncompressed WARC files.
+    """(path, first_byte, n_bytes, kind, uri, record_id, body, error): the records of WARC files, plain or with each record
+    (or several) in a gzip member; places and sizes are then those of the member in the file.
 
-    A record that is cut off or has no length ends its file with a row that tells so; null and empty files have no rows.
+    A record or member that is cut off, or has no length, ends its file with a row that tells so; null and empty files have
+    no rows.
     """
     names = ["path", "first_byte", "n_bytes", "kind", "uri", "record_id", "body", "error"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
 
+    def members(path: str, data: bytes) -> Iterator[tuple]:
+        at = 0
+        while at < len(data):
+            if data[at : at + 2] != b"\x1f\x8b":
+                yield from walk(path, data[at:]) if at == 0 else [(path, at, len(data) - at, None, None, None, None, "broken member")]
+                return
+            tool, parts, end = zlib.decompressobj(31), [], at
+            try:
+                while not tool.eof and end < len(data):
+                    parts.append(tool.decompress(data[end : end + BLOCK]))
+                    end = min(end + BLOCK, len(data))
+            except zlib.error:
+                pass
+            if not tool.eof:
+                yield path, at, len(data) - at, None, None, None, None, "broken member"
+                return
+            end -= len(tool.unused_data)
+            for _, _, _, *rest in walk(path, b"".join(parts)):
+                yield path, at, end - at, *rest
+            at = end
+
     def walk(path: str, data: bytes) -> Iterator[tuple]:
         at = 0
         while at < len(data):
@@ -132,7 +166,7 @@ def parse_records(files: DataFrame, path_col: str = "path", content_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for contents, paths in slices(batches, "content", "path"):
-            if rows := [r for data, path in zip(contents, paths) for r in walk(path, data)]:
+            if rows := [r for data, path in zip(contents, paths) for r in members(path, data)]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     cols = files.select(F.col(f"`{path_col}`").cast("string").alias("path"), F.col(f"`{content_col}`").alias("content"))

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 from pyspark.sql import functions as F
@@ -54,3 +55,26 @@ def test_records_are_parsed_back(spark):
     assert [bytes(r["body"]).decode() for r in own] == ["<p>é</p>", ""] and own[0]["uri"] == "http://a" and own[0]["kind"] == "response"
     assert [r["first_byte"] for r in own] == [0, len(texts[0].encode())]
     assert {r["path"] for r in rows if r["error"]} == {"cut", "junk"}
+
+
+def test_members_are_parsed_back(spark):
+    def text(uri, body):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {uri}\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+
+    parts = [gzip.compress(text("a", "x" * 200_000)), gzip.compress(text("b", "y") + text("c", "")), gzip.compress(text("d", "z"))]
+    files = spark.createDataFrame([("f", b"".join(parts)), ("cut", b"".join(parts)[:-3]), ("junk", parts[0] + b"junk")], "path string, content binary")
+    rows = warc.parse_records(files).collect()
+    own = [r for r in rows if r["path"] == "f"]
+    assert [(r["uri"], len(r["body"]), r["first_byte"], r["n_bytes"]) for r in own] == [
+        ("a", 200_000, 0, len(parts[0])), ("b", 1, len(parts[0]), len(parts[1])), ("c", 0, len(parts[0]), len(parts[1])), ("d", 1, len(parts[0]) + len(parts[1]), len(parts[2])),
+    ]
+    assert [r["uri"] for r in rows if r["path"] == "cut"] == ["a", "b", "c", None] and [r["uri"] for r in rows if r["path"] == "junk"] == ["a", None]
+
+
+def test_levels_shrink_however_far_apart_ids_lie(spark):
+    ids = spark.createDataFrame([((k * 2654435761 << 20) % (1 << 63) - (1 << 62),) for k in range(300)] + [(None,)], "id long").repartition(4)
+    place = warc.slots(ids.unionAll(ids)).collect()
+    assert sorted(r["slot"] for r in place) == list(range(301)) and [r["id"] for r in sorted(place, key=lambda r: r["slot"])][:1] == [None]
+    assert [r["id"] for r in sorted(place, key=lambda r: r["slot"])][1:] == sorted(r["id"] for r in place if r["id"] is not None)
+    leaf = spark.createDataFrame(place).selectExpr("slot", "1L AS n_bytes", "sha2(string(slot), 256) AS sha256")
+    assert [t.count() for t in warc.tree(leaf, 301)] == [301, 19, 2, 1]
