@@ -41,6 +41,8 @@ class AroundCut:
     rows: int = 512
     cols: int = 512
     seed: int = 10
+    mode: str = "random"  # or centered, variable
+    scaling: float = 1.2
 
 
 def _started(source: SpatialDataset, before: Derived | None) -> tuple[SpatialDataset, DataFrame, DataFrame]:
@@ -66,7 +68,10 @@ def cut_grid(source: SpatialDataset, cut: GridCut = GridCut(), before: Derived |
     target, log, new = _started(source, before)
     rasters = windows.not_cut(source.rasters if where is None else source.rasters.where(where), log)
     rasters = durable(rasters)
-    made = windows.footprint(windows.grid_windows(windows.with_pixels(rasters, cut.pixel), cut.rows, cut.cols))
+    pixels = rasters if {"width", "height", "a", "c", "e", "f"} <= set(rasters.columns) else windows.with_pixels(rasters, cut.pixel)
+    made = windows.footprint(windows.grid_windows(pixels, cut.rows, cut.cols))
+    if {"width", "height", "a", "c", "e", "f"} <= set(rasters.columns):  # a cutout's own pixels
+        made = made.withColumns({"c": F.col("minx"), "f": F.col("maxy"), "width": F.col("w"), "height": F.col("h")})
     made = _as_rasters(made, rasters)
     done = rasters.select(F.lit(None).cast("string").alias("vector_name"), "raster_name")
     return _finished(target, made, log.unionByName(done), new)
@@ -80,7 +85,7 @@ def cut_around(source: SpatialDataset, cut: AroundCut = AroundCut(), before: Der
     keys = ["vector_name", "raster_name"]
     edges = source.edges.join(log.select(*keys).distinct(), keys, "left_anti")
     edges = edges.join(wanted.select("vector_name"), "vector_name", "left_semi")
-    made = durable(planning.cut_around_vectors(source.vectors, source.rasters, edges, cut.target_count, cut.rows, cut.cols, cut.seed, wanted))
+    made = durable(planning.cut_around_vectors(source.vectors, source.rasters, edges, cut.target_count, cut.rows, cut.cols, cut.seed, wanted, cut.mode, cut.scaling))
     shaped = made.withColumnsRenamed({"raster_name": "__source", "new_name": "raster_name"}).select("raster_name", "__source", "minx", "miny", "maxx", "maxy")
     kept = [c for c in source.rasters.columns if c not in ("raster_name", "geom", "is_box", "minx", "miny", "maxx", "maxy")]
     shaped = shaped.join(source.rasters.select(F.col("raster_name").alias("__source"), *kept), "__source").drop("__source")
@@ -101,8 +106,11 @@ def _as_rasters(made: DataFrame, rasters: DataFrame) -> DataFrame:
 
 
 def combine_dataset(source: SpatialDataset, groups: dict[str, Sequence[str]], soft: bool = False, remove_rasters: bool = True) -> SpatialDataset:
-    """The dataset with combined classes, and the rasters that meet a kept vector (or all)."""
+    """The dataset with combined classes, and the rasters that meet a kept vector (or all). Raises for classes that the
+    dataset doesn't have (if it names any) or that are used twice."""
     lists = {k: list(v) for k, v in groups.items()}
+    known = source.all_vector_classes() or [c for v in lists.values() for c in v]
+    classes.grouping(list(lists.values()), list(lists), known)
     vectors = durable((classes.combine_soft if soft else classes.combine_categorical)(source.vectors, lists))
     edges = source.edges.join(vectors.select("vector_name"), "vector_name", "left_semi")
     rasters = source.rasters.join(classes.rasters_of(edges, vectors), "raster_name", "left_semi") if remove_rasters else source.rasters

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathe.functions.geometry import BOX
+from swathe.operators import windows
 from swathe.operators.windows import seeded, stem
 from swathe.plans.components import components
+from swathe.plans.durable import durable
 
 
 def vectors_to_download(vectors: DataFrame, target: int, names: DataFrame | None = None) -> DataFrame:
@@ -98,6 +100,24 @@ def dem_tiles(vectors: DataFrame, mode: str = "grid", taken: DataFrame | None =
     return tiles if taken is None else tiles.join(taken.select("tile"), "tile", "left_anti").select("vector_name", "folder", "tile")
 
 
+#: Open choices that one task goes through in a plain loop; above it, choices that don't hang on each other are made by
+#: rounds of joins. Share of the waiting vectors under which a round is too slow and connected parts are looped over.
+FEW_CHOICES, SLOW = 200_000, 0.02
+
+
+def _ready(choices: DataFrame, every: DataFrame) -> tuple[DataFrame, int, int]:
+    """(vectors that no waiting vector of a lesser name shares a raster with, how many, how many wait).
+
+    ``choices``: (vector_name, raster_name) that are open; ``every``: rows that tell with which rasters a waiting vector may
+    interact. One aggregation by raster and one by vector; at most one of the vectors at a raster is ready.
+    """
+    waiting = every.join(choices.select("vector_name").distinct(), "vector_name", "left_semi").select("vector_name", "raster_name")
+    least = waiting.groupBy("raster_name").agg(F.min("vector_name").alias("first"))
+    free = durable(waiting.join(least, "raster_name").groupBy("vector_name").agg(F.bool_and(F.col("first") == F.col("vector_name")).alias("free")))
+    ready = free.where("free").select("vector_name")
+    return ready, ready.count(), free.count()
+
+
 def _by_component(edges: DataFrame, keep: list[str]) -> DataFrame:
     """Edges with the component of the vector-raster graph they belong to: greedy choices interact inside one alone."""
     ends = edges.select(F.concat(F.lit("v:"), "vector_name").alias("a"), F.concat(F.lit("r:"), "raster_name").alias("b"))
@@ -105,84 +125,163 @@ def _by_component(edges: DataFrame, keep: list[str]) -> DataFrame:
     return edges.select("vector_name", "raster_name", *keep).join(found, F.concat(F.lit("v:"), "vector_name") == F.col("node")).drop("node")
 
 
-def plan_downloads(vectors: DataFrame, edges: DataFrame, catalog: DataFrame, target: int, order: str) -> DataFrame:
+def plan_downloads(
+    vectors: DataFrame, edges: DataFrame, catalog: DataFrame, target: int, order: str, unavailable: DataFrame | None = None, few: int = FEW_CHOICES
+) -> DataFrame:
     """(raster_name, for_vector): the products that a greedy round downloads, and the vector each was taken for.
 
     ``edges``: vectors x catalogue. In order of vector_name each vector that still lacks rasters takes containing products,
-    largest ``order`` first, until it has ``target``; a product counts for every vector it contains. The loop runs once per
-    connected component, in parallel, with the result of one loop over all.
+    largest ``order`` first, until it has ``target``; a product counts for every vector it contains. ``unavailable``
+    (raster_name) can't be had and is left out. Products and vectors that are null or repeated raise.
+
+    Vectors that no earlier one shares an open product with choose at once, round by round, as one loop over all would;
+    when few choices are open one task loops over them. Rounds that decide little give way to a loop per connected part.
     """
-    rows = edges.where("relation = 'contains'").join(catalog.select("raster_name", F.col(order).cast("double").alias("rank")), "raster_name")
-    rows = rows.join(vectors.select("vector_name", "raster_count"), "vector_name")
-    grouped = _by_component(rows, ["rank", "raster_count"])
+    check_products(catalog)
+    catalog = catalog if unavailable is None else catalog.join(unavailable.select("raster_name").distinct(), "raster_name", "left_anti")
+    inside = edges.where("relation = 'contains'").select("vector_name", "raster_name")
+    rows = inside.join(catalog.select("raster_name", F.col(order).cast("double").alias("rank")), "raster_name")
+    rows = durable(rows.join(vectors.select("vector_name", F.col("raster_count").alias("have")), "vector_name").select("vector_name", "raster_name", "rank", "have"))
+    schema, done = "raster_name string, for_vector string", []
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        have = dict(zip(pdf.vector_name, pdf.raster_count))
+        have = dict(zip(pdf.vector_name, pdf.have))
         pdf = pdf.sort_values(["vector_name", "rank", "raster_name"], ascending=[True, False, True], kind="stable")
-        members = pdf.groupby("raster_name").vector_name.apply(list).to_dict()
+        members: dict[str, list[str]] = {}
+        for v, r in zip(pdf.vector_name, pdf.raster_name):
+            members.setdefault(r, []).append(v)
         taken: dict[str, str] = {}
-        for vector, own in pdf.groupby("vector_name", sort=True):
-            for raster in own.raster_name:
-                if have[vector] >= target:
-                    break
-                if raster not in taken:
-                    taken[raster] = vector
-                    for m in members[raster]:
-                        have[m] += 1
+        for v, r in zip(pdf.vector_name, pdf.raster_name):
+            if have[v] < target and r not in taken:
+                taken[r] = v
+                for m in members[r]:
+                    have[m] += 1
         return pd.DataFrame({"raster_name": list(taken), "for_vector": list(taken.values())}, dtype="object")
 
-    return grouped.groupBy("component").applyInPandas(greedy, "raster_name string, for_vector string")
-
-
-def cut_around_vectors(vectors: DataFrame, rasters: DataFrame, edges: DataFrame, target: int = 1, rows: int = 8, cols: int = 8, seed: int = 10, have: DataFrame | None = None) -> DataFrame:
-    """(new_name, vector_name, raster_name, col_off, row_off, minx, miny, maxx, maxy): greedy cutting, centred windows.
+    while True:
+        open_ = rows.where(F.col("have") < target)
+        if open_.count() <= few:
+            done.append(open_.groupBy().applyInPandas(greedy, schema))  # vectors that have enough don't choose
+            break
+        ready, n, waiting = _ready(open_, open_)
+        if n < SLOW * waiting:
+            done.append(_by_component(rows, ["rank", "have"]).groupBy("component").applyInPandas(greedy, schema))
+            break
+        place = Window.partitionBy("vector_name").orderBy(F.col("rank").desc(), "raster_name")
+        taken = open_.join(ready, "vector_name", "left_semi").withColumn("place", F.row_number().over(place)).where(F.col("place") <= target - F.col("have"))
+        taken = durable(taken.select("raster_name", F.col("vector_name").alias("for_vector")))
+        done.append(taken)
+        gained = rows.join(taken, "raster_name", "left_semi").groupBy("vector_name").agg(F.count("*").alias("more"))
+        rest = rows.join(taken, "raster_name", "left_anti").join(gained, "vector_name", "left")
+        rows = durable(rest.select("vector_name", "raster_name", "rank", (F.col("have") + F.coalesce("more", F.lit(0))).alias("have")))
+    return reduce(DataFrame.unionByName, done)
+
+
+def check_products(catalog: DataFrame) -> None:
+    """Raises for products without a name or listed twice."""
+    bad = [r[0] for r in catalog.groupBy("raster_name").count().where("raster_name is null or count > 1").limit(5).collect()]
+    if bad:
+        raise ValueError(f"products without a name or listed twice: {bad}")
+
+
+def record_downloads(vectors: DataFrame, plan: DataFrame, failed: DataFrame) -> DataFrame:
+    """``vectors`` with download_exception: the first message, by product, of ``failed`` (raster_name, message) among the
+    products planned for the vector; what was recorded before stays where there is none."""
+    why = plan.join(failed, "raster_name").groupBy(F.col("for_vector").alias("vector_name")).agg(F.min_by("message", "raster_name").alias("__why"))
+    old = F.col("download_exception") if "download_exception" in vectors.columns else F.lit(None).cast("string")
+    return vectors.join(why, "vector_name", "left").withColumn("download_exception", F.coalesce("__why", old)).drop("__why")
+
+
+def downloaded_twice(plan: DataFrame, rasters: DataFrame) -> DataFrame:
+    """Planned products that the dataset has already, or that are planned more than once."""
+    again = plan.groupBy("raster_name").count().where("count > 1").select("raster_name")
+    return again.unionByName(plan.select("raster_name").join(rasters.select("raster_name"), "raster_name", "left_semi")).distinct()
+
+
+def cut_around_vectors(
+    vectors: DataFrame, rasters: DataFrame, edges: DataFrame, target: int = 1, rows: int = 8, cols: int = 8, seed: int = 10, have: DataFrame | None = None,
+    mode: str = "centered", scaling: float = 1.2, few: int = FEW_CHOICES, rank: Column | None = None,
+) -> DataFrame:
+    """(new_name, vector_name, raster_name, col_off, row_off, w, h, minx, miny, maxx, maxy): greedy cutting.
 
     In order of vector_name, each vector that fewer than ``target`` cutouts contain takes containing rasters, in a seeded
-    order, that weren't cut for it. A new cutout counts for every vector it contains, and its source counts as cut for
-    those. ``have`` (vector_name, raster_count): what vectors have to begin with, none otherwise. Rasters are north-up with
-    pixels of one unit. Components as in plan_downloads.
+    order or by ``rank`` (of vector_name, raster_name and raster columns; least first), that weren't cut for it. A new cutout
+    counts for every vector it contains, and its source counts as cut for those. Windows are those of
+    ``windows.around_vectors`` in the ``mode``, by the rasters' own pixels (width, height, a, c, e, f), or pixels of one unit
+    where these columns lack. ``have`` (vector_name, raster_count): what vectors have to begin with, none otherwise.
+    Rounds, loops and connected parts as in ``plan_downloads``; rasters of intersecting vectors count as shared.
     """
-    v = vectors.select("vector_name", *[F.col(c).cast("double").alias(f"v_{c}") for c in BOX])
-    r = rasters.select("raster_name", F.col("minx").cast("double").alias("r_minx"), F.col("maxy").cast("double").alias("r_maxy"))
-    found = edges.join(v, "vector_name").join(r, "raster_name").withColumn("draw", seeded(seed, F.col("vector_name"), F.col("raster_name")))
-    start = vectors.select("vector_name", F.lit(0).alias("raster_count")) if have is None else have.select("vector_name", "raster_count")
-    found = found.join(start.withColumnRenamed("raster_count", "have"), "vector_name")
-    grouped = _by_component(found, ["relation", "draw", "have", *[f"v_{c}" for c in BOX], "r_minx", "r_maxy"])
-    schema = "new_name string, vector_name string, raster_name string, col_off long, row_off long, minx double, miny double, maxx double, maxy double"
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = {t.vector_name: (t.v_minx, t.v_miny, t.v_maxx, t.v_maxy) for t in pdf.itertuples()}
-        near = pdf.groupby("raster_name").vector_name.apply(list).to_dict()
-        have, cut, out = dict(zip(pdf.vector_name, pdf.have)), set(), []
-        pdf = pdf[pdf.relation == "contains"].sort_values(["vector_name", "draw", "raster_name"], kind="stable")
-        for vector, own in pdf.groupby("vector_name", sort=True):
-            x0, y0, x1, y1 = boxes[vector]
-            for t in own.itertuples():
-                if have[vector] >= target:
-                    break
-                if (vector, t.raster_name) in cut:
+    rasters = rasters if {"width", "height", "a", "c", "e", "f"} <= set(rasters.columns) else windows.with_pixels(rasters)
+    start = vectors.select("vector_name", F.lit(0).alias("have")) if have is None else have.select("vector_name", F.col("raster_count").alias("have"))
+    draw = seeded(seed, F.col("vector_name"), F.col("raster_name")) if rank is None else rank
+    near = durable(edges.select("vector_name", "raster_name", "relation").join(start.select("vector_name"), "vector_name", "left_semi"))
+    inside = near.where("relation = 'contains'").join(start, "vector_name").join(rasters, "raster_name")
+    choices = durable(inside.select("vector_name", "raster_name", draw.alias("draw"), "have"))
+    box = vectors.select("vector_name", *[F.col(c).cast("double").alias(f"m_{c}") for c in BOX])
+    schema, done = "new_name string, vector_name string, raster_name string, col_off long, row_off long, w long, h long, minx double, miny double, maxx double, maxy double", []
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def cuts(pairs: DataFrame) -> DataFrame:
+        return windows.around_vectors(pairs, rasters, vectors, mode, rows, cols, scaling, seed).select(*names)
+
+    def served(cut: DataFrame, others: DataFrame) -> DataFrame:
+        """(vector_name, raster_name, by, gain): in how many of a cut's windows other vectors at the raster lie."""
+        members = others.select(F.col("vector_name").alias("m"), "raster_name").join(box.withColumnRenamed("vector_name", "m"), "m")
+        lie = (F.col("minx") <= F.col("m_minx")) & (F.col("m_maxx") <= F.col("maxx")) & (F.col("miny") <= F.col("m_miny")) & (F.col("m_maxy") <= F.col("maxy"))
+        hit = cut.join(members, "raster_name").where(lie)
+        return hit.groupBy(F.col("m").alias("vector_name"), "raster_name", F.col("vector_name").alias("by")).agg(F.count("*").alias("gain"))
+
+    def loop(open_: DataFrame, parts: DataFrame | None) -> DataFrame:
+        """The plain loop over choices, whose windows and what these serve are worked out before."""
+        made = durable(cuts(open_))
+        gains = served(made, near.join(open_.select("vector_name").distinct(), "vector_name", "left_semi"))
+        table = open_.join(gains.groupBy(F.col("by").alias("vector_name"), "raster_name").agg(F.collect_list(F.struct("vector_name", "gain")).alias("serves")), ["vector_name", "raster_name"], "left")
+        table = table.withColumn("part", F.lit("")) if parts is None else table.join(parts, "vector_name")
+
+        def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+            have, cut, taken = dict(zip(pdf.vector_name, pdf.have)), set(), []
+            pdf = pdf.sort_values(["vector_name", "draw", "raster_name"], kind="stable")
+            for v, r, serves in zip(pdf.vector_name, pdf.raster_name, pdf.serves):
+                if have[v] >= target or (v, r) in cut:
                     continue
-                c0, c1 = (x0 - t.r_minx) // 1, (x1 - t.r_minx) // 1
-                w0, w1 = (t.r_maxy - y1) // 1, (t.r_maxy - y0) // 1
-                n_c, n_r = -(-(c1 - c0) // cols), -(-(w1 - w0) // rows)
-                col0 = ((x0 + x1) / 2 - t.r_minx) // 1 - cols * n_c // 2
-                row0 = (t.r_maxy - (y0 + y1) / 2) // 1 - rows * n_r // 2
-                cut.add((vector, t.raster_name))
-                for i in range(int(n_r)):
-                    for j in range(int(n_c)):
-                        a, d = t.r_minx + col0 + j * cols, t.r_maxy - row0 - i * rows
-                        if a > x1 or a + cols < x0 or d < y0 or d - rows > y1:
-                            continue
-                        name = t.raster_name.removesuffix(".tif") + f"_{vector}" + (f"_{i}_{j}" if n_r * n_c > 1 else "") + ".tif"
-                        out.append((name, vector, t.raster_name, int(col0 + j * cols), int(row0 + i * rows), a, d - rows, a + cols, d))
-                        for m in near[t.raster_name]:
-                            b = boxes[m]
-                            if a <= b[0] and b[2] <= a + cols and d - rows <= b[1] and b[3] <= d:
-                                have[m] += 1
-                                cut.add((m, t.raster_name))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
-
-    return grouped.groupBy("component").applyInPandas(greedy, schema)
-
-
-__all__ = ["best_product", "cut_around_vectors", "dem_tiles", "not_covered_by_union", "plan_downloads", "product_file", "stem", "vectors_to_download"]
+                cut.add((v, r))
+                taken.append((v, r))
+                for m in serves if serves is not None else ():
+                    if m["vector_name"] in have:
+                        have[m["vector_name"]] += m["gain"]
+                        cut.add((m["vector_name"], r))
+            return pd.DataFrame(taken, columns=["vector_name", "raster_name"], dtype="object")
+
+        chosen = durable(table.groupBy("part").applyInPandas(greedy, "vector_name string, raster_name string"))
+        return made.join(chosen, ["vector_name", "raster_name"], "left_semi").select(*names)
+
+    while True:
+        open_ = choices.where(F.col("have") < target)
+        if open_.count() <= few:
+            done.append(loop(open_, None))
+            break
+        ready, n, waiting = _ready(open_, near)
+        if n < SLOW * waiting:
+            shared = near.join(open_.select("vector_name").distinct(), "vector_name", "left_semi")
+            done.append(loop(open_, _by_component(shared, []).select("vector_name", F.col("component").alias("part")).distinct()))
+            break
+        mine = open_.join(ready, "vector_name", "left_semi")
+        made = durable(cuts(mine))
+        own = served(made, mine).where("vector_name = by").select("vector_name", "raster_name", "gain")
+        before = Window.partitionBy("vector_name").orderBy("draw", "raster_name").rowsBetween(Window.unboundedPreceding, -1)
+        turn = mine.join(own, ["vector_name", "raster_name"], "left").withColumn("so_far", F.coalesce(F.sum(F.coalesce("gain", F.lit(0))).over(before), F.lit(0)))
+        taken = durable(turn.where(F.col("have") + F.col("so_far") < target).select("vector_name", "raster_name"))
+        made = made.join(taken, ["vector_name", "raster_name"], "left_semi").select(*names)
+        done.append(made)
+        gains = durable(served(made, near).select("vector_name", "raster_name", "gain"))
+        gone = gains.select("vector_name", "raster_name").unionByName(taken).distinct()
+        more = gains.groupBy("vector_name").agg(F.sum("gain").alias("more"))
+        rest = choices.join(gone, ["vector_name", "raster_name"], "left_anti").join(more, "vector_name", "left")
+        choices = durable(rest.select("vector_name", "raster_name", "draw", (F.col("have") + F.coalesce("more", F.lit(0))).alias("have")))
+    return reduce(DataFrame.unionByName, done)
+
+
+__all__ = [
+    "best_product", "check_products", "cut_around_vectors", "dem_tiles", "downloaded_twice", "not_covered_by_union", "plan_downloads", "product_file", "record_downloads",
+    "stem", "vectors_to_download",
+]

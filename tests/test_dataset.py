@@ -175,10 +175,10 @@ def test_derived_datasets_are_updated_by_adding(spark):
     again = derive.cut_grid(more, derive.GridCut(10, 10), grid)
     assert consistent(again.target).rasters.count() == 9 and again.target.vectors.count() == 4
     assert {x[0] for x in again.relabel.collect()} == {"x_1_0.tif"}
-    around = derive.cut_around(d, derive.AroundCut(1, 8, 8))
+    around = derive.cut_around(d, derive.AroundCut(1, 8, 8, mode="centered"))
     counts = {x["vector_name"]: x["raster_count"] for x in consistent(around.target).vectors.collect()}
     assert counts == {"a": 1, "b": 1, "c": 1} and around.target.rasters.count() == 2  # one cutout serves a and b
-    assert derive.cut_around(d, derive.AroundCut(1, 8, 8), around).target.rasters.count() == 2
+    assert derive.cut_around(d, derive.AroundCut(1, 8, 8, mode="centered"), around).target.rasters.count() == 2
     kinds = d.vectors.withColumn("type", F.when(F.col("vector_name") == "c", "far").otherwise("near"))
     combined = derive.combine_dataset(SpatialDataset(kinds, d.rasters, d.edges, d.attrs), {"kept": ["near"]})
     assert {x[0] for x in combined.rasters.select("raster_name").collect()} == {"x.tif"} and combined.vectors.count() == 2

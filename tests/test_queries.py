@@ -1,11 +1,15 @@
 """Every query of the library that has SQL, against DuckDB on the smallest tables; greedy ones against plain loops."""
 
+import hashlib
 import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from swathe import queries
+from swathe.operators import planning
+from swathe.operators.join import spatial_edges
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -53,13 +57,77 @@ def test_plan_downloads_equals_one_loop(spark, duck):
     assert {r["raster_name"]: r["for_vector"] for r in queries.plan_downloads(spark, SF).collect()} == taken
 
 
-def test_cut_around_vectors_satisfies_every_coverable_vector(spark, duck):
-    _, inside = tables(duck)
-    cut = queries.cut_around_vectors(spark, SF).collect()
-    assert {c["vector_name"] for c in cut} <= set(inside)
-    assert all(c["raster_name"] in inside[c["vector_name"]] for c in cut)
-    box = {r[0]: r[1:] for r in duck.sql(f"WITH {queries.BASE} SELECT vector_name, minx, miny, maxx, maxy FROM v").fetchall()}
-    for v in inside:
-        x0, y0, x1, y1 = box[v]
-        touched = any(c["minx"] <= x1 and c["maxx"] >= x0 and c["miny"] <= y1 and c["maxy"] >= y0 for c in cut)
-        assert touched, v
+def test_plan_downloads_in_rounds_and_without_what_is_unavailable(spark):
+    v, r = queries.vectors(spark, SF), queries.rasters(spark, SF)
+    edges, v = spatial_edges(v, r), v.withColumn("raster_count", F.lit(0).cast("long"))
+    whole = {tuple(x) for x in planning.plan_downloads(v, edges, r, 2, "score").collect()}
+    assert {tuple(x) for x in planning.plan_downloads(v, edges, r, 2, "score", few=5).collect()} == whole
+    gone = spark.createDataFrame([(x,) for x, _ in sorted(whole)[:3]], "raster_name string")
+    rest = planning.plan_downloads(v, edges, r, 2, "score", gone)
+    assert not {x[0] for x in rest.collect()} & {x for x, _ in sorted(whole)[:3]}
+    with pytest.raises(ValueError):
+        planning.plan_downloads(v, edges, r.unionAll(r.limit(1)), 2, "score")
+    assert planning.downloaded_twice(rest, r.where("raster_name = 'none'")).count() == 0
+    assert planning.downloaded_twice(rest.unionAll(rest.limit(1)), r.limit(0)).count() == 1
+    failed = spark.createDataFrame([(sorted(whole)[0][0], "no such product")], "raster_name string, message string")
+    plan = spark.createDataFrame(sorted(whole), "raster_name string, for_vector string")
+    told = {x["vector_name"]: x["download_exception"] for x in planning.record_downloads(v, plan, failed).collect()}
+    assert len(told) == v.count() and {k for k, x in told.items() if x} == {sorted(whole)[0][1]}
+
+
+def plain_cuts(boxes, pixels, edges, target, size):
+    """One loop over the vectors by name; centred windows of size x size pixels of one unit."""
+    near, inside = {}, {}
+    for v, r, relation in edges:
+        near.setdefault(r, []).append(v)
+        if relation == "contains":
+            inside.setdefault(v, []).append(r)
+    have, cut, out = dict.fromkeys(boxes, 0), set(), set()
+    for v in sorted(inside):
+        x0, y0, x1, y1 = boxes[v]
+        for r in sorted(inside[v], key=lambda r: (int(hashlib.md5(f"10|{v}|{r}".encode()).hexdigest()[:8], 16), r)):
+            if have[v] >= target:
+                break
+            if (v, r) in cut:
+                continue
+            cut.add((v, r))
+            west, north = pixels[r]
+            n_c, n_r = -(-(x1 - x0) // size), -(-(y1 - y0) // size)
+            left = (x0 + x1 - 2 * west) // 2 - size * n_c // 2
+            top = (2 * north - y0 - y1) // 2 - size * n_r // 2
+            for i in range(n_r):
+                for j in range(n_c):
+                    a, d = west + left + j * size, north - top - i * size
+                    if a > x1 or a + size < x0 or d < y0 or d - size > y1:
+                        continue
+                    out.add((v, r, a, d))
+                    for m in near[r]:
+                        b = boxes[m]
+                        if a <= b[0] and b[2] <= a + size and d - size <= b[1] and b[3] <= d:
+                            have[m] += 1
+                            cut.add((m, r))
+    return out
+
+
+@pytest.mark.parametrize("few", [10, planning.FEW_CHOICES])
+def test_cut_around_vectors_equals_one_loop(spark, duck, few):
+    edges, _ = tables(duck)
+    boxes = {r[0]: r[1:] for r in duck.sql(f"WITH {queries.BASE} SELECT vector_name, minx, miny, maxx, maxy FROM v").fetchall()}
+    pixels = {r[0]: r[1:] for r in duck.sql(f"WITH {queries.BASE} SELECT raster_name, minx, maxy FROM r").fetchall()}
+    d = queries.dataset(spark, SF)
+    for target in (1, 2):
+        got = planning.cut_around_vectors(d.vectors, d.rasters, d.edges, target, few=few).collect()
+        assert {(c["vector_name"], c["raster_name"], c["minx"], c["maxy"]) for c in got} == plain_cuts(boxes, pixels, edges, target, 8)
+
+
+@pytest.mark.parametrize("mode", ["random", "variable"])
+def test_cut_around_vectors_with_pixels_of_other_sizes(spark, mode):
+    """The same dataset in units of a tenth: with pixels of that size the windows are the same."""
+    d = queries.dataset(spark, SF)
+    small = [t.withColumns({c: F.col(c) / 16 for c in ("minx", "miny", "maxx", "maxy")}) for t in (d.vectors, d.rasters)]
+    from swathe.operators.windows import with_pixels
+
+    cols = ["vector_name", "raster_name", "new_name", "col_off", "row_off", "w", "h"]
+    one = planning.cut_around_vectors(d.vectors, d.rasters, d.edges, mode=mode).select(*cols)
+    other = planning.cut_around_vectors(small[0], with_pixels(small[1], 1 / 16), d.edges, mode=mode).select(*cols)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect())) and one.count() > 20
