@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from swathe.operators import windows
 from swathe.operators.join import spatial_edges
 from swathe.plans import recipe
-from swathe.sources import geojson, tiff
+from swathe.sources import files, geojson, tiff
 from swathe.streaming.maintain import stream_edges
 
 QUAD = [[13.5, 52.2, 0], [13.6, 53.2, 0], [12.0, 53.2, 0], [11.9, 52.2, 0], [13.5, 52.2, 0]]
@@ -82,12 +82,11 @@ def test_scanning_and_cutting_files(spark, tmp_path):
     degrees = tiff.scan_rasters(spark, str(tmp_path), 4326).where("raster_name = 't0.tif'").first()
     assert 8.9 < degrees["minx"] < degrees["maxx"] < 9.1 and 52.3 < degrees["miny"] < degrees["maxy"] < 52.4
     cuts = windows.grid_windows(found, 8, 8).select("raster_name", "new_name", "col_off", "row_off", "w", "h")
-    files = spark.read.format("binaryFile").load(f"{tmp_path}/t*.tif").select(F.element_at(F.split("path", "/"), -1).alias("raster_name"), "content")
-    made = {r["new_name"]: bytes(r["content"]) for r in tiff.cut_files(files, cuts).collect()}
+    made = {r["new_name"]: bytes(r["content"]) for r in tiff.cut_files(found, cuts).collect()}
     assert len(made) == 12
     h = tiff.read_header(made["t2_1_0.tif"])
     assert h.bounds == (500320.0, 5799840.0, 500400.0, 5799920.0) and (tiff.read_window(made["t2_1_0.tif"]) == 2).all()
-    arrays = tiff.cut_files(files, cuts, [2], "npy").collect()
+    arrays = tiff.cut_files(found, cuts, [2], "npy").collect()
     assert {r["new_name"] for r in arrays} == {n.replace(".tif", ".npy") for n in made}
     import io
 
@@ -95,6 +94,74 @@ def test_scanning_and_cutting_files(spark, tmp_path):
     assert np.load(io.BytesIO(tiff.npy_bytes(np.zeros((1, 4, 5)), squeeze=True))).shape == (4, 5)
 
 
+def test_only_what_a_window_needs_is_read(tmp_path):
+    x = np.arange(2 * 1024 * 512, dtype="u2").reshape(2, 1024, 512)
+    (tmp_path / "big.tif").write_bytes(tiff.write_tiff(x, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 32632, deflate=False, strip=32))
+    with files.open_path(f"file://{tmp_path}/big.tif") as f:
+        data = files.Ranged(f)
+        assert tiff.read_header(data).width == 512 and data.read < 2000
+        data.read = 0
+        got = tiff.read_window(data, [2], (100, 40, 50, 20), tiff.read_header(data))
+        assert (got[0] == x[1, 40:60, 100:150]).all() and data.read < 40_000
+
+
+def test_a_raster_to_3600_cutouts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    x = np.arange(1080 * 1080, dtype="u2").reshape(1, 1080, 1080)
+    (tmp_path / "in/tile.tif").write_bytes(tiff.write_tiff(x, (10.0, 0.0, 500000.0, 0.0, -10.0, 5800000.0), 32632))
+    found = tiff.scan_rasters(spark, f"{tmp_path}/in", 32632)
+    cuts = windows.grid_windows(found, 18, 18)
+    done = files.write_files(tiff.cut_files(found, cuts), f"{tmp_path}/out").collect()
+    assert len(done) == len(list((tmp_path / "out").iterdir())) == 3600
+    data = (tmp_path / "out/tile_59_3.tif").read_bytes()
+    assert (tiff.read_window(data)[0] == x[0, 59 * 18 :, 54:72]).all() and tiff.read_header(data).bounds[0] == 500540.0
+    gone = files.delete_files(spark.createDataFrame([(done[0]["path"],), (f"{tmp_path}/none",)], "path string")).collect()
+    assert sorted(r["deleted"] for r in gone) == [False, True] and len(list((tmp_path / "out").iterdir())) == 3599
+    with pytest.raises(Exception, match="not a file name"):
+        files.write_files(spark.createDataFrame([("../x", b"1")], "new_name string, content binary"), str(tmp_path)).collect()
+
+
+def test_directories_are_cut_alike_and_converted(spark, tmp_path):
+    def put(kind, name, bands, shift=0.0):
+        (tmp_path / kind).mkdir(exist_ok=True)
+        (tmp_path / kind / name).write_bytes(tiff.write_tiff(np.arange(bands * 256, dtype="u1").reshape(bands, 16, 16), (1.0, 0.0, shift, 0.0, -1.0, 16.0), 4326))
+
+    for name in ("p.tif", "q.tif"):
+        put("rasters", name, 3)
+        put("masks", name, 2)
+    put("labels", "p.tif", 1)
+    folders = {k: f"{tmp_path}/{k}" for k in ("rasters", "masks", "labels")}
+    out = {k: f"{tmp_path}/out/{k}" for k in folders}
+    cuts = windows.grid_windows(tiff.scan_rasters(spark, folders["rasters"], 4326), 8, 8)
+    done = tiff.cut_directories(spark, folders, cuts, out, bands={"rasters": [3, 1], "masks": None, "labels": [1]}).collect()
+    assert {k: sum(r["kind"] == k for r in done) for k in folders} == {"rasters": 8, "masks": 8, "labels": 4}
+    got = tiff.read_window((tmp_path / "out/rasters/q_1_0.tif").read_bytes())
+    assert (got == np.arange(768, dtype="u1").reshape(3, 16, 16)[[2, 0], 8:, :8]).all()
+    with pytest.raises(KeyError):
+        tiff.cut_directories(spark, folders, cuts, out, bands={"rasters": [1]})
+    with pytest.raises(ValueError, match="missing"):
+        tiff.cut_directories(spark, folders, cuts, out, optional=())
+    put("labels", "q.tif", 1, shift=0.5)
+    with pytest.raises(ValueError, match="differ"):
+        tiff.cut_directories(spark, folders, cuts, out)
+    arrays = tiff.convert_to_npy(spark, folders, {k: f"{tmp_path}/npy/{k}" for k in folders}, {"rasters": [2], "masks": None, "labels": None}).collect()
+    assert len(arrays) == 6 and np.load(tmp_path / "npy/rasters/p.npy").shape == (16, 16) and np.load(tmp_path / "npy/masks/p.npy").shape == (16, 16, 2)
+    assert {r[0] for r in tiff.npy_table(cuts.limit(1)).select("raster_name").collect()} <= {"p.npy", "q.npy"}
+
+
+def test_label_files(spark, tmp_path):
+    rasters = windows.with_pixels(spark.createDataFrame([("r.tif", 0.0, 0.0, 4.0, 3.0), ("s.tif", 0.0, 0.0, 2.0, 2.0)], "raster_name string, minx double, miny double, maxx double, maxy double"))
+    pixels = spark.createDataFrame([("r.tif", 0, 1, 2, 0.25), ("r.tif", 2, 3, 1, 0.5)], "raster_name string, row int, col int, label int, p double")
+    made = {r["raster_name"]: bytes(r["content"]) for r in tiff.label_files(pixels, rasters).collect()}
+    assert tiff.read_window(made["r.tif"])[0].tolist() == [[0, 2, 0, 0], [0, 0, 0, 0], [0, 0, 0, 1]] and tiff.read_header(made["r.tif"]).dtype == np.uint8
+    assert not tiff.read_window(made["s.tif"]).any()
+    soft = pixels.withColumn("rest", 1 - F.col("p"))
+    got = {r["raster_name"]: tiff.read_window(bytes(r["content"])) for r in tiff.label_files(soft, rasters, ("rest", "p"), "float32", (1, 0)).collect()}
+    assert got["r.tif"].dtype == np.float32 and got["r.tif"][:, 0, 1].tolist() == [0.75, 0.25] and got["s.tif"][0].all()
+    wrong = tiff.label_mismatches(rasters, spark.createDataFrame([("r.tif",), ("x.tif",)], "raster_name string")).collect()
+    assert {tuple(r) for r in wrong} == {("s.tif", "raster without label"), ("x.tif", "label without raster")}
+
+
 def test_streamed_vectors_get_the_edges_of_a_batch_join(spark, tmp_path):
     schema = "vector_name string, minx double, miny double, maxx double, maxy double"
     rows = [(f"v{k}", float(k), float(k % 7), float(k + 2), float(k % 7 + 1)) for k in range(60)]
