@@ -101,10 +101,22 @@ def intersects(a: Column, b: Column) -> Column:
 def contains(outer: Column, inner: Column) -> Column:
     """No point of ``inner`` is outside the areal ``outer`` and their insides meet; a shared boundary is fine."""
 
-    def middle(s: Column) -> Column:
-        return F.struct(((s["p"]["x"] + s["q"]["x"]) / 2).alias("x"), ((s["p"]["y"] + s["q"]["y"]) / 2).alias("y"))
+    corners = points(outer)
 
-    probes = F.concat(points(inner), F.transform(segments(inner), middle))
+    def middles(s: Column) -> Column:
+        """The middles of the stretches into which the outer's corners cut an inner segment."""
+        p, q = s["p"], s["q"]
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        length = dx * dx + dy * dy
+        on = F.filter(corners, lambda c: on_segment(s, c))
+        place = F.transform(on, lambda c: ((c["x"] - p["x"]) * dx + (c["y"] - p["y"]) * dy) / F.when(length > 0, length).otherwise(F.lit(1.0)))
+        cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), place)))
+        return once(cuts, lambda c: F.transform(
+            F.sequence(F.lit(1), F.size(c) - 1),
+            lambda i: F.struct((p["x"] + (F.get(c, i - 1) + F.get(c, i)) / 2 * dx).alias("x"), (p["y"] + (F.get(c, i - 1) + F.get(c, i)) / 2 * dy).alias("y")),
+        ))
+
+    probes = F.concat(points(inner), F.flatten(F.transform(segments(inner), middles)))
     covered = F.forall(probes, lambda p: inside(p, outer) | on_boundary(p, outer))
     clean = ~F.exists(segments(outer), lambda s: F.exists(segments(inner), lambda t: crosses(s, t)))
     no_hole = ~F.exists(points(outer), lambda p: inside(p, inner) & ~on_boundary(p, inner))
@@ -145,8 +157,63 @@ def rounded(shape: Column, digits: int) -> Column:
     return map_points(shape, lambda x, y: (F.bround(x, digits), F.bround(y, digits)))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where ``value`` occurs once in the expression however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _half(ring: Column, axis: str, bound: Column, low: bool) -> Column:
+    """The points of a ring on one side of an axis-parallel line, with those where it is crossed; open, not closed."""
+    other = "y" if axis == "x" else "x"
+
+    def step(points_: Column) -> Column:
+        def of(p: Column, q: Column) -> Column:
+            inside_ = (lambda r: r[axis] >= bound) if low else (lambda r: r[axis] <= bound)
+            at = p[other] + (bound - p[axis]) / F.when(q[axis] == p[axis], F.lit(1.0)).otherwise(q[axis] - p[axis]) * (q[other] - p[other])
+            cut = F.struct(*[(bound.cast("double") if a == axis else at).alias(a) for a in "xy"])
+            here = F.struct(p["x"].alias("x"), p["y"].alias("y"))
+            crossed = F.when(inside_(p) != inside_(q), F.array(cut)).otherwise(F.filter(F.array(cut), lambda _: F.lit(False)))
+            return F.when(inside_(p), F.concat(F.array(here), crossed)).otherwise(crossed)
+
+        n = F.size(points_)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: of(F.get(points_, i), F.get(points_, (i + 1) % n))))
+
+    return once(ring, lambda r: F.when(F.size(r) > 0, step(r)).otherwise(r))
+
+
 def clip_to_box(shape: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
-    """The bounds of what a convex or box-like shape's envelope shares with a box, as a box shape; null if nothing."""
-    xs, ys = F.transform(points(shape), lambda p: p["x"]), F.transform(points(shape), lambda p: p["y"])
-    a, b, c, d = F.greatest(F.array_min(xs), minx), F.greatest(F.array_min(ys), miny), F.least(F.array_max(xs), maxx), F.least(F.array_max(ys), maxy)
-    return F.when((a <= c) & (b <= d), box_shape(a, b, c, d))
+    """What an areal shape shares with a box: each ring cut along the box's four sides. Null if nothing with an area is left.
+
+    Rings that leave the box and return keep edges along its sides, which have no area: bounds, parity and areas are exact.
+    """
+    box = ((("x", minx, True), ("x", maxx, False)), (("y", miny, True), ("y", maxy, False)))
+
+    def ring(r: Column) -> Column:
+        r = F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0)))
+        for pair in box:
+            for axis, bound, low in pair:
+                r = _half(r, axis, bound, low)
+        return once(r, lambda x: F.when(F.size(x) > 2, F.concat(x, F.slice(x, 1, 1))))
+
+    def part(rings: Column) -> Column:
+        made = F.transform(rings, ring)
+        return once(made, lambda m: F.when(F.get(m, 0).isNotNull(), F.filter(m, lambda r: r.isNotNull())))
+
+    parts = F.filter(F.transform(shape["parts"], part), lambda p: p.isNotNull())
+    made = once(parts, lambda p: F.when(F.size(p) > 0, F.struct(F.when(F.size(p) > 1, "MultiPolygon").otherwise("Polygon").alias("kind"), p.alias("parts"))))
+    return once(made, lambda g: F.when(area(g) > 0, g))
+
+
+def area(shape: Column) -> Column:
+    """Area of an areal shape: shells less their holes, whichever way rings turn."""
+
+    def of_ring(ring: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1)))
+        cross = F.transform(at, lambda i: F.get(ring, i - 1)["x"] * F.get(ring, i)["y"] - F.get(ring, i)["x"] * F.get(ring, i - 1)["y"])
+        return F.abs(F.aggregate(cross, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))) / 2
+
+    def of_part(part: Column) -> Column:
+        sizes = F.transform(part, of_ring)
+        return once(sizes, lambda s: 2 * F.get(s, 0) - F.aggregate(s, F.lit(0.0), lambda a, x: a + x))
+
+    return F.aggregate(F.transform(shape["parts"], of_part), F.lit(0.0), lambda a, x: a + x)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,23 @@ def vectors_to_download(vectors: DataFrame, target: int, names: DataFrame | None
 
 
 def not_covered_by_union(vectors: DataFrame, rasters: DataFrame, edges: DataFrame) -> DataFrame:
-    """Names of vectors that the union of their intersecting raster boxes does not contain; exact for boxes.
+    """Names of vectors that the union of their intersecting rasters does not contain. Where a vector or one of its rasters
+    is no box (``geom``, ``is_box``) see ``_rest_is_empty``; boxes alone stay in the JVM:
 
     Coordinate compression: the raster edges inside the vector's box cut it into cells, and each must lie in a raster. Only
     vectors that no single raster contains are looked at. Arrays of a vector's rasters stay inside the JVM.
     """
     easy = edges.where("relation = 'contains'").select("vector_name").distinct()
+    shaped = None
+    if "geom" in vectors.columns and "geom" in rasters.columns:
+        no_box = lambda df: df.where(~F.coalesce("is_box", F.lit(False)))
+        odd = no_box(vectors).select("vector_name").unionByName(edges.join(no_box(rasters).select("raster_name"), "raster_name").select("vector_name")).distinct()
+        odd = durable(odd.join(easy, "vector_name", "left_anti"))
+        near = edges.join(odd, "vector_name", "left_semi").join(rasters.select("raster_name", F.col("geom").alias("r_geom")), "raster_name")
+        near = near.groupBy("vector_name").agg(F.collect_list("r_geom").alias("r_geoms"))
+        shapes = vectors.join(odd, "vector_name", "left_semi").select("vector_name", "geom").join(near, "vector_name", "left")
+        shaped = shapes.mapInArrow(_uncovered, "vector_name string")
+        vectors = vectors.join(odd, "vector_name", "left_anti")
     hard = vectors.select("vector_name", *[F.col(c).cast("double").alias(f"v_{c}") for c in BOX]).join(easy, "vector_name", "left_anti")
     r = rasters.select("raster_name", *[F.col(c).cast("double").alias(c) for c in BOX])
     near = edges.join(hard.select("vector_name"), "vector_name", "left_semi").join(r, "raster_name").groupBy("vector_name").agg(F.collect_set(F.struct(*BOX)).alias("boxes"))
@@ -49,7 +62,81 @@ def not_covered_by_union(vectors: DataFrame, rasters: DataFrame, edges: DataFram
 
     df = df.withColumns({"mx": middles("xs"), "my": middles("ys")})
     hit = lambda x, y: F.exists("boxes", lambda b: (b["minx"] <= x) & (x <= b["maxx"]) & (b["miny"] <= y) & (y <= b["maxy"]))
-    return df.where(~F.forall("mx", lambda x: F.forall("my", lambda y: hit(x, y)))).select("vector_name")
+    left = df.where(~F.forall("mx", lambda x: F.forall("my", lambda y: hit(x, y)))).select("vector_name")
+    return left if shaped is None else left.unionByName(shaped)
+
+
+def _cut(ring: list[tuple[float, float]], p: tuple[float, float], q: tuple[float, float], keep_left: bool) -> list[tuple[float, float]]:
+    """The part of a ring left (or right) of the line from p to q."""
+    side = [((q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0])) * (1 if keep_left else -1) for x, y in ring]
+    out = []
+    for k, (a, s) in enumerate(zip(ring, side)):
+        b, t = ring[(k + 1) % len(ring)], side[(k + 1) % len(ring)]
+        if s >= 0:
+            out.append(a)
+        if (s > 0 and t < 0) or (s < 0 and t > 0):
+            w = s / (s - t)
+            out.append((a[0] + w * (b[0] - a[0]), a[1] + w * (b[1] - a[1])))
+    return out
+
+
+def _size(ring: list[tuple[float, float]]) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], *ring[:1]])) / 2
+
+
+def _triangles(ring: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+    """A simple ring as triangles that turn left, by cutting off ears."""
+    ring = ring if _size(ring) >= 0 else ring[::-1]
+    out = []
+    while len(ring) > 3:
+        for k in range(len(ring)):
+            a, b, c = ring[k - 1], ring[k], ring[(k + 1) % len(ring)]
+            turn = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+            others = [p for p in ring if p not in (a, b, c)]
+            holds = any(all((q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0]) >= 0 for p, q in ((a, b), (b, c), (c, a))) for x, y in others)
+            if turn <= 0 and not holds and turn == 0 or turn > 0 and not holds:
+                if turn > 0:
+                    out.append([a, b, c])
+                ring = ring[:k] + ring[k + 1 :]
+                break
+        else:
+            break
+    return [*out, ring] if len(ring) == 3 and _size(ring) > 0 else out
+
+
+def _rest_is_empty(vector: dict, rasters: list[dict]) -> bool:
+    """Whether nothing with an area is left of a vector without the rasters: its shells in triangles, of each of which every
+    raster's triangles are cut away in turn. Holes of a vector count as filled; a raster with holes covers nothing, and only
+    areal shapes are covered. Slivers under 1e-12 of the vector's area are rounding."""
+    if vector is None or vector["kind"] not in ("Polygon", "MultiPolygon"):
+        return False
+
+    def rings(shape: dict, whole: bool) -> list:
+        return [[(p["x"], p["y"]) for p in part[0][:-1]] for part in shape["parts"] if whole or len(part) == 1]
+
+    pieces = [t for r in rings(vector, True) for t in _triangles(r)]
+    least = 1e-12 * sum(map(_size, pieces))
+    for raster in rasters or ():
+        for tri in (t for r in rings(raster, False) for t in _triangles(r)) if raster["kind"] in ("Polygon", "MultiPolygon") else ():
+            kept = []
+            for piece in pieces:
+                for p, q in zip(tri, [*tri[1:], tri[0]]):
+                    outer = _cut(piece, p, q, False)
+                    if len(outer) > 2 and _size(outer) > least:
+                        kept.append(outer)
+                    piece = _cut(piece, p, q, True)
+                    if len(piece) < 3 or _size(piece) <= least:
+                        break
+            pieces = kept
+            if not pieces:
+                return True
+    return not pieces
+
+
+def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("vector_name", "geom", "r_geoms")))
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, v, r in rows if not _rest_is_empty(v, r)], pa.string())], ["vector_name"])
 
 
 def best_product(edges: DataFrame, catalog: DataFrame, order: str, descending: bool = True, where: Column | None = None, taken: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swathe.functions.geometry import BOX, areal, box_shape, clip_to_box, intersects, once, points
+
 
 def seeded(seed: int, *parts: Column) -> Column:
     """A number in [0, 2^32) from the digest of the seed and the parts."""
@@ -65,16 +67,24 @@ def around_vectors(
 
     The vector's box, clipped to the raster, gives a range of pixels; the smallest grid of windows that covers it is placed
     ``centered`` on the box's middle, at a seeded ``random`` place that covers it, or with ``variable`` windows of
-    max(scaling * extent, size) rounded up. Windows that miss the vector's box are left out. A box inside one pixel row or
+    max(scaling * extent, size) rounded up. Windows that miss the vector are left out. Shapes that are no boxes are clipped and
+    tested exactly. A box inside one pixel row or
     column gives no window. ``random`` clamps an empty range of places, or leaves the pair out if ``strict``.
     """
     if mode not in ("centered", "random", "variable"):
         raise ValueError(mode)
-    v = vectors.select("vector_name", *[F.col(c).cast("double").alias(f"v_{c}") for c in ("minx", "miny", "maxx", "maxy")])
+    shaped = {"geom", "is_box"} <= set(vectors.columns)
+    v = vectors.select("vector_name", *[F.col(c).cast("double").alias(f"v_{c}") for c in BOX], *([F.col("geom").alias("v_geom"), F.col("is_box").alias("v_is_box")] if shaped else []))
     df = pairs.select("vector_name", "raster_name").join(rasters, "raster_name").join(v, "vector_name")
     lo_x, hi_x = F.greatest("v_minx", F.col("minx").cast("double")), F.least("v_maxx", F.col("maxx").cast("double"))
     lo_y, hi_y = F.greatest("v_miny", F.col("miny").cast("double")), F.least("v_maxy", F.col("maxy").cast("double"))
     df = df.withColumns({"bx0": lo_x, "bx1": hi_x, "by0": lo_y, "by1": hi_y})
+    if shaped:  # the bounds of what the shape shares with the raster's box
+        part = clip_to_box(F.col("v_geom"), F.col("minx").cast("double"), F.col("miny").cast("double"), F.col("maxx").cast("double"), F.col("maxy").cast("double"))
+        areal_ = areal(F.col("v_geom")) & ~F.coalesce("v_is_box", F.lit(False))
+        df = df.withColumn("v_part", F.when(areal_, part)).withColumn("v_points", points(F.col("v_part")))
+        for c, f, axis in (("bx0", F.array_min, "x"), ("bx1", F.array_max, "x"), ("by0", F.array_min, "y"), ("by1", F.array_max, "y")):
+            df = df.withColumn(c, F.when(F.col("v_part").isNotNull(), f(F.transform("v_points", lambda p: p[axis]))).otherwise(F.col(c)))
 
     def col_at(x: Column) -> Column:
         return F.floor((x - F.col("c")) / F.col("a")).cast("long")
@@ -110,6 +120,9 @@ def around_vectors(
     many = F.format_string("%s_%s_%d_%d.tif", stem(F.col("raster_name")), F.col("vector_name"), F.col("i"), F.col("j"))
     df = footprint(df.withColumn("new_name", F.when(F.col("n_rows") * F.col("n_cols") == 1, one).otherwise(many)))
     meets = (F.col("minx") <= F.col("bx1")) & (F.col("maxx") >= F.col("bx0")) & (F.col("miny") <= F.col("by1")) & (F.col("maxy") >= F.col("by0"))
+    if shaped:
+        touches = once(box_shape(*[F.col(c) for c in BOX]), lambda cell: once(F.col("v_geom"), lambda g: intersects(cell, g)))
+        meets = meets & F.when(F.col("v_part").isNotNull(), touches).otherwise(F.lit(True))
     return df.where(meets).select("vector_name", "raster_name", "new_name", "col_off", "row_off", "w", "h", "minx", "miny", "maxx", "maxy")
 
 

@@ -160,3 +160,49 @@ def test_pixels_of_a_slanted_shape(spark):
     assert len(lines) == 10 and lines[9][:2] == [2, 2] and lines[5][5] == 1 and lines[0][0] == 0
     with pytest.raises(ValueError):
         labels.check_types(kinds, ["one"])
+
+
+def test_clipping_to_a_box(spark):
+    rows = [("square", SQUARE, (1, 1, 9, 3), 6.0, (1, 1, 4, 3)), ("slant", SLANT, (0, 0, 5, 5), 12.5, (0, 0, 5, 5)), ("ring", RING, (0, 0, 5, 10), 50 - 8.0, (0, 0, 5, 10)),
+            ("bent", BENT, (0, 5, 10, 10), 20.0, (0, 5, 10, 10)), ("apart", SQUARE, (5, 5, 6, 6), None, None), ("touch", SQUARE, (4, 0, 6, 6), None, None), ("whole", SLANT, (-9, -9, 99, 99), 50.0, (0, 0, 10, 10))]
+    df = spark.createDataFrame([(n, g, *map(float, b)) for n, g, b, _, _ in rows], f"name string, g {G.SHAPE}, a double, b double, c double, d double")
+    got = G.with_bounds(df.select("name", G.clip_to_box(F.col("g"), *[F.col(x) for x in "abcd"]).alias("geom"))).withColumn("area", G.area(F.col("geom")))
+    found = {r["name"]: r for r in got.collect()}
+    for name, _, _, size, box in rows:
+        assert found[name]["area"] == (None if size is None else pytest.approx(size)), name
+        assert box is None or tuple(found[name][c] for c in G.BOX) == pytest.approx(box)
+
+
+def test_an_inner_edge_through_corners_of_the_outer_shape(spark):
+    """From one tip of the outer shape to the next through the open gap between them: no proper crossing."""
+    zigzag = polygon((0, 0), (12, 0), (12, 4), (9, 2), (6, 4), (3, 2), (0, 4))
+    rows = [("out", zigzag, polygon((0, 4), (12, 4), (6, 0)), False), ("in", zigzag, polygon((0, 0), (12, 0), (6, 2)), True), ("flat", zigzag, line((0, 4), (12, 4)), False)]
+    df = spark.createDataFrame(rows, f"name string, a {G.SHAPE}, b {G.SHAPE}, c boolean")
+    for r in df.select("name", "c", G.contains(F.col("a"), F.col("b")).alias("got")).collect():
+        assert r["got"] == r["c"], r
+
+
+def test_union_coverage_of_slanted_footprints(spark):
+    left, right = polygon((-1, -1), (5, -1), (5, 11), (-1, 11)), polygon((4, -2), (12, -1), (11, 12), (5, 11))
+    names = {"both": polygon((0, 0), (10, 0), (10, 10), (0, 10)), "slant": SLANT, "bent": BENT, "beyond": polygon((3, 3), (40, 3), (3, 20))}
+    v = G.with_bounds(spark.createDataFrame(list(names.items()), f"vector_name string, geom {G.SHAPE}"))
+    r = G.with_bounds(spark.createDataFrame([("l", left), ("r", right)], f"raster_name string, geom {G.SHAPE}"))
+    gap = G.with_bounds(spark.createDataFrame([("l", left), ("r", polygon((6, -2), (12, -1), (11, 12), (5, 11)))], f"raster_name string, geom {G.SHAPE}"))
+    from swathe.operators.planning import not_covered_by_union
+
+    assert {x[0] for x in not_covered_by_union(v, r, spatial_edges(v, r)).collect()} == {"beyond"}
+    assert {x[0] for x in not_covered_by_union(v, gap, spatial_edges(v, gap)).collect()} == {"both", "slant", "bent", "beyond"}
+
+
+def test_windows_around_a_slanted_vector(spark):
+    """Windows that meet the bounds of a diagonal alone are left out."""
+    thin = polygon((0, 0), (1, 0), (40, 39), (40, 40), (39, 40), (0, 1))
+    v = G.with_bounds(spark.createDataFrame([("v", thin)], f"vector_name string, geom {G.SHAPE}"))
+    r = windows.with_pixels(spark.createDataFrame([("r.tif", -20.0, -20.0, 60.0, 60.0)], "raster_name string, minx double, miny double, maxx double, maxy double"))
+    pairs = spark.createDataFrame([("v", "r.tif")], "vector_name string, raster_name string")
+    got = windows.around_vectors(pairs, r, v).collect()
+    boxes = windows.around_vectors(pairs, r, v.drop("geom", "is_box")).collect()
+    assert len(boxes) == 25 and 5 <= len(got) < 15 and {g["new_name"] for g in got} <= {b["new_name"] for b in boxes}
+    half = windows.with_pixels(spark.createDataFrame([("r.tif", -20.0, -20.0, 20.0, 60.0)], "raster_name string, minx double, miny double, maxx double, maxy double"))
+    part = windows.around_vectors(pairs, half, v, "variable", scaling=1.0).first()
+    assert part["maxy"] < 30  # of the shape, not of its bounds, up to 21 lies in that raster
