@@ -10,14 +10,16 @@ from swathe.operators.join import overlap_pairs
 from swathe.plans.components import components
 
 
-def raster_clusters(rasters: DataFrame, edges: DataFrame, defined_by: str = "share") -> DataFrame:
+def raster_clusters(rasters: DataFrame, edges: DataFrame, defined_by: str = "share", names: DataFrame | None = None) -> DataFrame:
     """(raster_name, cluster): cluster is the least name of the rasters that it is linked with.
 
-    ``share``: rasters that share a vector; ``share_or_overlap``: or whose footprints meet.
+    ``share``: rasters that share a vector; ``share_or_overlap``: or whose footprints meet; ``overlap``: whose footprints
+    meet. ``names`` (raster_name) restricts it to some rasters.
     """
-    if defined_by not in ("share", "share_or_overlap"):
+    if defined_by not in ("share", "share_or_overlap", "overlap"):
         raise ValueError(defined_by)
-    links = sharing_links(edges)
+    rasters, edges = _named(rasters, edges, names)
+    links = overlap_pairs(rasters) if defined_by == "overlap" else sharing_links(edges)
     if defined_by == "share_or_overlap":
         links = links.unionAll(overlap_pairs(rasters))
     found = components(links, "raster_a", "raster_b")
@@ -57,6 +59,24 @@ def sweep(spans: DataFrame, by: list[str] | None = None, blocks: float | None =
     return rows.withColumn("island", F.col("earlier") + F.sum("opens").over(run)).drop("block", "before", "opens", "earlier")
 
 
-def precluster(rasters: DataFrame, vectors: DataFrame, edges: DataFrame, axis: str) -> DataFrame:
-    """(raster_name, island) by one axis."""
-    return sweep(intervals(rasters, vectors, edges, axis)).where("raster_name is not null").select("raster_name", "island")
+def precluster(rasters: DataFrame, vectors: DataFrame, edges: DataFrame, axis: str, names: DataFrame | None = None) -> DataFrame:
+    """(raster_name, island) by one axis ("x", "y"), or by both: "xy" sweeps y inside each island of x, "yx" the other way
+    round, and island is then the two numbers joined by a dash. ``names`` (raster_name) restricts it to some rasters."""
+    if axis not in ("x", "y", "xy", "yx"):
+        raise ValueError(axis)
+    rasters, edges = _named(rasters, edges, names)
+    bridges = vectors.join(boundary_vectors(edges).select("vector_name"), "vector_name", "left_semi")
+    ends = [F.col(f"{end}{a}").cast("double").alias(f"{end}{a}") for a in axis for end in ("min", "max")]
+    spans, by = rasters.select("raster_name", *ends).unionAll(bridges.select(F.lit(None).cast("string"), *ends)), []
+    for a in axis:
+        spans = sweep(spans.withColumns({"lo": F.col(f"min{a}"), "hi": F.col(f"max{a}")}), by).withColumnRenamed("island", f"island_{a}")
+        by = [*by, f"island_{a}"]
+    island = F.col(by[0]) if len(by) == 1 else F.concat_ws("-", *by)
+    return spans.where("raster_name is not null").select("raster_name", island.alias("island"))
+
+
+def _named(rasters: DataFrame, edges: DataFrame, names: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    if names is None:
+        return rasters, edges
+    names = names.select("raster_name").distinct()
+    return rasters.join(names, "raster_name", "left_semi"), edges.join(names, "raster_name", "left_semi")

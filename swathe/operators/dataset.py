@@ -13,6 +13,7 @@ from swathe.functions.crs import transform
 from swathe.functions.geometry import BOX, SHAPE, with_bounds
 from swathe.operators import graph
 from swathe.operators.join import spatial_edges
+from swathe.plans.durable import durable
 
 EDGE_SCHEMA = "vector_name string, raster_name string, relation string"
 VECTOR_SCHEMA = f"vector_name string, geom {SHAPE}, minx double, miny double, maxx double, maxy double, is_box boolean, raster_count long"
@@ -115,17 +116,17 @@ class SpatialDataset:
         new = new.withColumn(key, F.col(key).cast("string"))
         if has_shape and "crs_epsg_code" in new.columns:
             codes = [r[0] for r in new.select("crs_epsg_code").distinct().limit(3).collect()]
+            if None in codes:
+                raise ValueError("rows without a coordinate system")
             if len(codes) > 1:
                 raise ValueError("a batch has one coordinate system")
             if codes:
                 new = new.withColumn("geom", transform(F.col("geom"), int(codes[0]), self.attrs["crs_epsg_code"]))
             new = new.drop("crs_epsg_code")
         new = with_bounds(new) if has_shape and "minx" not in new.columns else new
-        bad = new.groupBy(key).agg(F.count("*").alias("n"), F.max(F.col("minx").isNull()).alias("no_shape"))
-        bad = bad.join(old.select(key, F.lit(True).alias("there")), key, "left").where("n > 1 or no_shape or there").limit(5).collect()
+        bad = batch_problems(new, old, key).limit(5).collect()
         if bad:
-            why = "appear twice" if bad[0]["n"] > 1 else "have no geometry" if bad[0]["no_shape"] else "are in the dataset already"
-            raise ValueError(f"{key}s {why}: {[r[key] for r in bad]}")
+            raise ValueError(f"{key}s {bad[0]['problem']}: {[r['name'] for r in bad]}")
         return new
 
     # -- adding, dropping -----------------------------------------------------------------------------------------
@@ -133,13 +134,13 @@ class SpatialDataset:
     def add_vectors(self, new: DataFrame, check: bool = True) -> SpatialDataset:
         """Appends vectors; only the new ones are joined, with the rasters that are there."""
         new = self._checked(new, self.vectors, "vector_name") if check else new
-        delta = spatial_edges(new, self.rasters)
+        delta = durable(spatial_edges(new, self.rasters))  # counts and edges, and all that is asked later, read it
         return replace(self, vectors=self.vectors.unionByName(count_containing(new, delta), allowMissingColumns=True), edges=self.edges.unionByName(delta))
 
     def add_rasters(self, new: DataFrame, check: bool = True) -> SpatialDataset:
         """Appends rasters; only the new ones are joined; counts of the vectors they contain go up."""
         new = self._checked(new, self.rasters, "raster_name") if check else new
-        edges = self.edges.unionByName(spatial_edges(self.vectors, new))
+        edges = self.edges.unionByName(durable(spatial_edges(self.vectors, new)))
         return replace(self, rasters=self.rasters.unionByName(new, allowMissingColumns=True), edges=edges, vectors=count_containing(self.vectors, edges))
 
     def drop_vectors(self, names: DataFrame | str | Iterable) -> SpatialDataset:
@@ -228,6 +229,14 @@ class SpatialDataset:
         return replace(self, vectors=move(self.vectors), rasters=move(self.rasters), attrs=self.attrs | {"crs_epsg_code": epsg})
 
 
+def batch_problems(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """(name, problem): ids of a batch that appear twice, have no box, or are in the table already."""
+    rows = new.groupBy(key).agg(F.count("*").alias("n"), F.max(F.col("minx").isNull()).alias("no_shape"))
+    rows = rows.join(old.select(key, F.lit(True).alias("there")).distinct(), key, "left").where("n > 1 or no_shape or there")
+    why = F.when(F.col("n") > 1, "appear twice").when(F.col("no_shape"), "have no geometry").otherwise("are in the dataset already")
+    return rows.select(F.col(key).alias("name"), why.alias("problem"))
+
+
 def missing_rasters(target: int) -> Column:
     """Vectors that fewer than ``target`` rasters contain."""
     return F.col("raster_count") < target

@@ -11,8 +11,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathe.operators import classes, clusters, graph, labels, planning, windows
-from swathe.operators.dataset import SpatialDataset, count_containing, missing_vectors, needing_relabel
+from swathe.functions.geometry import BOX as BOX_COLUMNS
+from swathe.functions.geometry import box_shape
+from swathe.operators import classes, clusters, derive, graph, labels, planning, windows
+from swathe.operators.dataset import SpatialDataset, batch_problems, count_containing, missing_vectors, needing_relabel
 from swathe.operators.join import overlap_pairs, spatial_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +79,31 @@ def spatial_join_edges(spark, sf):
     return spatial_edges(vectors(spark, sf), rasters(spark, sf))
 
 
+@query("SELECT * FROM e")
+def spatial_join_degrees(spark, sf):
+    """The same boxes around one place in degrees, a thousandth of the size."""
+    small = [t.withColumns({c: F.col(c) / 1000 + at for c, at in (("minx", 13), ("maxx", 13), ("miny", 52), ("maxy", 52))}) for t in (vectors(spark, sf), rasters(spark, sf))]
+    return spatial_edges(*small)
+
+
+_CORNER = "(greatest(v.minx, r.minx) - r.minx) * r.h + (greatest(v.miny, r.miny) - r.miny) * r.w <= r.w * r.h"
+
+
+@query(
+    f"""SELECT vector_name, raster_name, CASE WHEN r.minx <= v.minx AND r.miny <= v.miny AND (v.maxx - r.minx) * r.h + (v.maxy - r.miny) * r.w <= r.w * r.h
+    THEN 'contains' ELSE 'intersects' END AS relation
+FROM v JOIN r ON v.minx <= r.maxx AND v.maxx >= r.minx AND v.miny <= r.maxy AND v.maxy >= r.miny AND {_CORNER}"""
+)
+def spatial_join_triangles(spark, sf):
+    """Boxes and footprints that are right triangles: the lower left halves of the rasters' boxes."""
+    v, r = vectors(spark, sf), rasters(spark, sf)
+    v = v.withColumns({"geom": box_shape(*[F.col(c) for c in BOX_COLUMNS]), "is_box": F.lit(True)})
+    corners = [("minx", "miny"), ("maxx", "miny"), ("minx", "maxy"), ("minx", "miny")]
+    ring = F.array(*[F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for x, y in corners])
+    r = r.withColumns({"geom": F.struct(F.lit("Polygon").alias("kind"), F.array(F.array(ring)).alias("parts")), "is_box": F.lit(False)})
+    return spatial_edges(v, r)
+
+
 @query("SELECT vector_name, raster_count FROM n")
 def raster_count(spark, sf):
     return dataset(spark, sf).vectors.select("vector_name", "raster_count")
@@ -184,9 +211,18 @@ def drop_rasters_counts(spark, sf):
     return dataset(spark, sf).drop_rasters(rasters(spark, sf).where("score < 0")).vectors.select("vector_name", "raster_count")
 
 
-@query("SELECT count(*) AS n_violations FROM e WHERE vector_name NOT IN (SELECT vector_name FROM v)")
+@query(
+    """SELECT DISTINCT 'edge without raster' AS kind, raster_name AS name FROM e JOIN r USING (raster_name) WHERE segment = 'BUILDING'
+UNION ALL SELECT DISTINCT 'edge without vector', vector_name FROM e JOIN v USING (vector_name) WHERE kind = 'PROMO'
+UNION ALL SELECT DISTINCT 'edge twice', vector_name FROM e JOIN v USING (vector_name) WHERE relation = 'intersects' AND size = 9
+UNION ALL SELECT 'wrong count', vector_name FROM v WHERE size = 7 AND kind <> 'PROMO'"""
+)
 def graph_invariant_violations(spark, sf):
-    return dataset(spark, sf).invariant_violations().agg(F.count("*").alias("n_violations"))
+    """A dataset that has lost rasters and vectors, has edges twice and counts that are off by one."""
+    d = dataset(spark, sf)
+    twice = d.edges.where("relation = 'intersects'").join(d.vectors.where("size = 9").select("vector_name"), "vector_name", "left_semi")
+    v = d.vectors.where("kind <> 'PROMO'").withColumn("raster_count", F.when(F.col("size") == 7, F.col("raster_count") + 1).otherwise(F.col("raster_count")))
+    return SpatialDataset(v, d.rasters.where("segment <> 'BUILDING'"), d.edges.unionByName(twice)).invariant_violations()
 
 
 @query("SELECT raster_count, count(*) AS n_vectors FROM n GROUP BY 1")
@@ -199,10 +235,12 @@ def top_rasters_by_degree(spark, sf):
     return graph.degrees(dataset(spark, sf).edges, "raster_name").orderBy(F.col("degree").desc(), "raster_name").limit(10)
 
 
-@query("SELECT vector_name FROM n WHERE raster_count = 0")
+@query("SELECT vector_name FROM v WHERE size > 40 OR kind = 'PROMO'")
 def missing_vectors_to_target(spark, sf):
-    d = dataset(spark, sf)
-    return missing_vectors(d.vectors, d.vectors.where("raster_count > 0")).select("vector_name")
+    """What a target lacks that was made from part of the source and lost some of it."""
+    v = vectors(spark, sf)
+    target = SpatialDataset.of(v.where("kind <> 'PROMO'"), rasters(spark, sf)).drop_vectors(v.where("size > 40"))
+    return missing_vectors(v, target.vectors).select("vector_name")
 
 
 @query("SELECT DISTINCT raster_name FROM e JOIN v USING (vector_name) JOIN r USING (raster_name) WHERE kind = 'ECONOMY' AND segment <> 'FURNITURE'")
@@ -218,12 +256,16 @@ def merge_datasets(spark, sf):
     return a.merge(SpatialDataset.of(v.where("size >= 20"), r.where("segment <> 'BUILDING'"))).edges
 
 
-@query("SELECT v.vector_name AS name, count(*) AS n FROM v JOIN r ON v.vid = r.rid GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT type, count(*) FROM v GROUP BY type HAVING count(*) > 1")
+@query(
+    """SELECT name, CASE WHEN n > 1 THEN 'appear twice' ELSE 'are in the dataset already' END AS problem
+FROM (SELECT concat('v', CAST(vid // 2 AS VARCHAR)) AS name, count(*) AS n FROM v WHERE size <= 25 GROUP BY 1)
+WHERE n > 1 OR name IN (SELECT vector_name FROM v WHERE size > 25)"""
+)
 def duplicate_ids(spark, sf):
-    """Values that appear more than once: the check on a batch's ids, here on a column that has such."""
+    """The check of a batch whose ids are half the numbers, against a table of other vectors."""
     v = vectors(spark, sf)
-    once = v.groupBy(F.col("vector_name").alias("name")).agg(F.count("*").alias("n"))
-    return once.unionAll(v.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n"))).where("n > 1")
+    batch = v.where("size <= 25").withColumn("vector_name", F.expr("concat('v', CAST(vid div 2 AS STRING))"))
+    return batch_problems(batch, v.where("size > 25"), "vector_name")
 
 
 @query("SELECT vector_name, count(*) AS degree FROM e GROUP BY 1")
@@ -372,8 +414,7 @@ FROM v JOIN g ON v.minx <= g.maxx AND v.maxx >= g.minx AND v.miny <= g.maxy AND
 )
 def cut_grid_edges(spark, sf):
     """A derived dataset of grid cutouts: its edges."""
-    cut = windows.footprint(windows.grid_windows(windows.with_pixels(rasters(spark, sf)), 8, 8))
-    return spatial_edges(vectors(spark, sf), cut.select(F.col("new_name").alias("raster_name"), "minx", "miny", "maxx", "maxy"))
+    return derive.cut_grid(dataset(spark, sf), derive.GridCut(8, 8)).target.edges
 
 
 def _cut_log(d: SpatialDataset) -> DataFrame:
