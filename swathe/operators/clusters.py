@@ -22,7 +22,7 @@ def raster_clusters(rasters: DataFrame, edges: DataFrame, defined_by: str = "sha
     links = overlap_pairs(rasters) if defined_by == "overlap" else sharing_links(edges)
     if defined_by == "share_or_overlap":
         links = links.unionAll(overlap_pairs(rasters))
-    found = components(links, "raster_a", "raster_b")
+    found = components(links, "raster_a", "raster_b", few=200_000)
     rows = rasters.select("raster_name").join(found, F.col("raster_name") == F.col("node"), "left")
     return rows.select("raster_name", F.coalesce("component", "raster_name").alias("cluster"))
 
@@ -54,7 +54,7 @@ def sweep(spans: DataFrame, by: list[str] | None = None, blocks: float | None =
     rows = rows.withColumn("opens", (reach.isNull() | (F.col("lo") > reach)).cast("long"))
     opened = rows.groupBy(*by, "block").agg(F.sum("opens").alias("n"))
     opened = opened.select(*by, "block", F.coalesce(F.sum("n").over(chain), F.lit(0)).alias("earlier"))
-    run = Window.partitionBy(*by, "block").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*by, "block").orderBy("lo", "hi").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # equal intervals together
     rows = rows.join(opened, [*by, "block"])
     return rows.withColumn("island", F.col("earlier") + F.sum("opens").over(run)).drop("block", "before", "opens", "earlier")
 

@@ -136,7 +136,31 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     want = {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1400)} | {5000: 5000, 6000: 6000, 6001: 6000}
     assert got == want
-    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+    assert {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b", few=10_000).collect()} == want
+    for few in (0, 10):
+        assert components(spark.createDataFrame([], "a long, b long"), "a", "b", few).count() == 0
+
+
+def test_preclusters_of_both_axes_and_of_some_rasters(spark):
+    """Two columns of two apart in y; a fifth raster overlaps both columns in x, but at another height."""
+    r = boxes(spark, "raster_name", {"a1": (0, 0, 4, 4), "a2": (0, 10, 4, 14), "b1": (6, 0, 9, 4), "b2": (6, 10, 9, 14), "wide": (3, 30, 7, 33)})
+    d = SpatialDataset.from_scratch(spark, None, r)
+
+    def groups(*args):
+        out = {}
+        for x in clusters.precluster(*args).collect():
+            out.setdefault(x["island"], set()).add(x["raster_name"])
+        return sorted(map(sorted, out.values()))
+
+    assert groups(d.rasters, d.vectors, d.edges, "x") == [["a1", "a2", "b1", "b2", "wide"]]
+    assert groups(d.rasters, d.vectors, d.edges, "xy") == [["a1", "b1"], ["a2", "b2"], ["wide"]]
+    assert groups(d.rasters, d.vectors, d.edges, "yx") == [["a1"], ["a2"], ["b1"], ["b2"], ["wide"]]
+    some = spark.createDataFrame([("a1",), ("b1",), ("b2",)], "raster_name string")
+    assert groups(d.rasters, d.vectors, d.edges, "x", some) == [["a1"], ["b1", "b2"]]
+    found = clusters.raster_clusters(d.rasters, d.edges, "overlap", some).collect()
+    assert len(found) == 3 and len({x["cluster"] for x in found}) == 3
+    with pytest.raises(ValueError):
+        clusters.precluster(d.rasters, d.vectors, d.edges, "z")
 
 
 def test_join_facts_with_a_hot_key(spark):
