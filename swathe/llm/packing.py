@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathe.llm.words import slices
+from swathe.llm.words import memory, slices
 
 #: Context sizes, ascending powers of two; the last is the longest sequence.
 TIERS = (512, 1024, 2048, 4096)
@@ -23,7 +23,7 @@ END_ID = 2
 #: Tokens that are packed together inside a task, and tokens of one balanced step group.
 CHUNK_TOKENS, STEP_TOKENS = 1 << 20, 1 << 17
 #: Words as they stand, and lower-case words of letters (two generations), that a worker remembers the ids of.
-MEMO_WORDS, MEMO_LETTERS = 150_000, 240_000
+MEMO_WORDS, MEMO_LETTERS = 300_000, 400_000
 #: Punctuation that the tokenizer splits off the end of a word of letters, whatever follows.
 TAIL = ".,;:!?*%&$#()[]{}/\\-_+=~"
 
@@ -106,13 +106,15 @@ class WordTokenizer:
         return [b"".join(map(known.__getitem__, d)) for d in docs]
 
 
-_tokenizers: dict[str | None, WordTokenizer] = {}  # a worker process serves many tasks; bounded by MEMO_WORDS
+OWNER = "tokenizer"
 
 
 def tokenizer(file: str | None = None) -> WordTokenizer:
-    if file not in _tokenizers:
-        _tokenizers[file] = WordTokenizer(file)
-    return _tokenizers[file]
+    """The worker's tokenizer, which serves its packing tasks until a task of another kind runs; bounded by MEMO_WORDS."""
+    known = memory(OWNER)
+    if file not in known:
+        known[file] = WordTokenizer(file)
+    return known[file]
 
 
 class _Shelf:
@@ -237,7 +239,7 @@ def _packer(file: str | None, tiers: tuple[int, ...], with_ids: bool):
             arrays = [pa.array(c, f.type) for c, f in zip(cols, SCHEMA)]
             return pa.RecordBatch.from_arrays([*arrays, *([pa.array(ids, pa.binary())] if with_ids else [])], [*SCHEMA.names, *(["ids"] if with_ids else [])])
 
-        for texts, ids in slices(batches, "text", "doc_id"):
+        for texts, ids in slices(batches, "text", "doc_id", owner=OWNER):
             for doc_id, raw in zip(ids, tok.ids(texts)):
                 docs.append((doc_id, raw + end))
                 tokens += len(raw) // 4 + 1

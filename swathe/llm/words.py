@@ -90,9 +90,23 @@ def give_back() -> None:
 _LIBC = ctypes.CDLL(ctypes.util.find_library("c") or None)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, *others: str, size: int = SLICE_BYTES, overhead: int = 1) -> Iterator[tuple]:
+#: What a worker remembers from task to task, by its owner: of one operator at a time.
+_kept: dict[str, dict] = {}
+
+
+def memory(owner: str) -> dict:
+    """A dictionary that lives as long as a worker's tasks are of the same owner; what others remembered is dropped."""
+    if owner not in _kept and _kept:
+        _kept.clear()
+        give_back()
+    return _kept.setdefault(owner, {}) if owner else {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, *others: str, size: int = SLICE_BYTES, overhead: int = 1, owner: str = "") -> Iterator[tuple]:
     """(list of text bytes, list of values of each other column), by at most ``size`` bytes of text, where each row counts
-    ``overhead`` bytes more; null text is b"". Free memory is given back at the end."""
+    ``overhead`` bytes more; null text is b"". Free memory is given back at the end;
+    what tasks of other owners remembered goes at the start."""
+    memory(owner)
     held: list[list] = [[] for _ in range(1 + len(others))]
     n = 0
     for batch in batches:
