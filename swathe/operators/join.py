@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import lru_cache
 
+from py4j.java_gateway import JavaGateway
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +74,17 @@ def box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.drop(*[f"{p}{c}" for p in ("l_", "r_") for c in ("own", "level", "cx", "cy")])
 
 
+@lru_cache(maxsize=16)
+def _built(gateway: JavaGateway, test: Callable[[Column, Column], Column], a: str, b: str) -> Column:
+    return test(F.col(a), F.col(b))
+
+
+def _shapes(test: Callable[[Column, Column], Column], a: str, b: str) -> Column:
+    """``test`` of two columns by name. It takes thousands of calls to the JVM to build and names no table, so it is kept
+    for as long as the JVM lives."""
+    return _built(SparkContext._gateway, test, a, b)
+
+
 def _exact(df: DataFrame, test: Callable[[], Column], box_test: Column) -> Column:
     """The exact test where either object is no box; the box test alone where both are. ``test`` is a large expression,
     so it is built only if there are shapes."""
@@ -87,8 +101,8 @@ def spatial_edges(vectors: DataFrame, rasters: DataFrame) -> DataFrame:
     """
     keep = [*BOX, *(["geom", "is_box"] if "geom" in vectors.columns and "geom" in rasters.columns else [])]
     pairs = box_pairs(vectors.select("vector_name", *keep), rasters.select("raster_name", *keep))
-    hit = pairs.where(_exact(pairs, lambda: intersects(F.col("l_geom"), F.col("r_geom")), F.lit(True)))
-    inside = _exact(pairs, lambda: contains(F.col("r_geom"), F.col("l_geom")), box_contains("r_", "l_"))
+    hit = pairs.where(_exact(pairs, lambda: _shapes(intersects, "l_geom", "r_geom"), F.lit(True)))
+    inside = _exact(pairs, lambda: _shapes(contains, "r_geom", "l_geom"), box_contains("r_", "l_"))
     return hit.select(F.col("l_vector_name").alias("vector_name"), F.col("r_raster_name").alias("raster_name"), F.when(inside, "contains").otherwise("intersects").alias("relation"))
 
 
@@ -96,5 +110,5 @@ def overlap_pairs(rasters: DataFrame) -> DataFrame:
     """(raster_a, raster_b), a before b by name: rasters whose footprints meet."""
     keep = ["raster_name", *BOX, *(["geom", "is_box"] if "geom" in rasters.columns else [])]
     pairs = box_pairs(rasters.select(*keep), rasters.select(*keep)).where("l_raster_name < r_raster_name")
-    hit = pairs.where(_exact(pairs, lambda: intersects(F.col("l_geom"), F.col("r_geom")), F.lit(True)))
+    hit = pairs.where(_exact(pairs, lambda: _shapes(intersects, "l_geom", "r_geom"), F.lit(True)))
     return hit.select(F.col("l_raster_name").alias("raster_a"), F.col("r_raster_name").alias("raster_b"))
