@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathe.functions.geometry import BOX, box_contains, box_intersects, contains, intersects
+from swathe.plans.skew import shuffled
 
 
 #: Cells are at least 2^-PRECISION of the greatest coordinate long, so that their numbers are exact in a double.
@@ -43,11 +44,12 @@ def grid_levels(left: DataFrame, right: DataFrame) -> tuple[int, list[int], list
 
 
 def _gridded(df: DataFrame, finest: int, others: list[int], prefix: str) -> DataFrame:
-    """One row per cell that the object's box touches, at its own level and each coarser one that the other side has: at
-    most four a level."""
+    """One row per cell that the object's box touches, at each coarser level that the other side has and, if that has objects
+    that are as small, at its own: at most four a level."""
     df = df.withColumn("own", F.greatest(F.coalesce(_octave(), F.lit(finest)), F.lit(finest)))
     coarser = F.filter(F.array(*[F.lit(n) for n in others]).cast("array<int>"), lambda n: n > F.col("own"))
-    df = df.withColumn("level", F.explode(F.concat(F.array("own"), coarser)))
+    own = F.when(F.col("own") >= F.lit(min(others, default=None)), F.array("own")).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("level", F.explode(F.concat(own, coarser)))
     for axis in "xy":
         lo, hi = (_cell(F.col(f"{end}{axis}"), F.col("level")) for end in ("min", "max"))
         df = df.withColumn(f"c{axis}", F.explode(F.sequence(lo, hi)))
@@ -59,7 +61,7 @@ def box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Two objects meet at the coarser of their two levels, where each touches at most four cells, however large or small it
     is and whatever the unit; a pair is emitted in the cell that holds the lower left corner of what the boxes share, so no
-    distinct is needed. It is one equi-join of two plain shuffles, whose crowded cells the adaptive planner splits. Rows
+    distinct is needed. It is one sort-merge join of two plain shuffles, whose crowded cells the adaptive planner splits. Rows
     with a null box match nothing.
     """
     left, right = (df.where(" and ".join(f"{c} is not null" for c in BOX)) for df in (left, right))
@@ -70,7 +72,7 @@ def box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     for axis in "xy":
         home = home & (_cell(F.greatest(f"l_min{axis}", f"r_min{axis}"), F.col("l_level")) == F.col(f"l_c{axis}"))
     on = (F.col("l_level") == F.col("r_level")) & (F.col("l_cx") == F.col("r_cx")) & (F.col("l_cy") == F.col("r_cy"))
-    pairs = a.join(b, on & at & box_intersects("l_", "r_") & home)
+    pairs = a.join(shuffled(b), on & at & box_intersects("l_", "r_") & home)
     return pairs.drop(*[f"{p}{c}" for p in ("l_", "r_") for c in ("own", "level", "cx", "cy")])
 
 

@@ -1,4 +1,4 @@
-"""Equi-joins of rows with per-key facts where one key may hold a third of all rows."""
+"""Equi-joins of growing tables, and of rows with per-key facts where one key may hold a third of all rows."""
 
 from __future__ import annotations
 
@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input, and so is never broadcast.
+
+    Catalyst takes a table for as large as its file, which is compressed, and knows nothing of exploded rows: what it holds
+    to be 10 MB may be a gigabyte in the driver and in each task. A sort-merge join spills, and its skewed partitions are
+    split by the adaptive planner. The hint goes through projections, filters and aggregations up to the next join.
+    """
+    return df.hint("merge")
+
+
 def join_facts(
     rows: DataFrame, facts: DataFrame, keys: Sequence[str], payload: Sequence[str], size: str, spread: Column, total: int
 ) -> DataFrame:
