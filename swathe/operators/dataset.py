@@ -14,6 +14,7 @@ from swathe.functions.geometry import BOX, SHAPE, with_bounds
 from swathe.operators import graph
 from swathe.operators.join import spatial_edges
 from swathe.plans.durable import durable
+from swathe.plans.skew import shuffled
 
 EDGE_SCHEMA = "vector_name string, raster_name string, relation string"
 VECTOR_SCHEMA = f"vector_name string, geom {SHAPE}, minx double, miny double, maxx double, maxy double, is_box boolean, raster_count long"
@@ -23,7 +24,7 @@ RASTER_SCHEMA = f"raster_name string, geom {SHAPE}, minx double, miny double, ma
 def _ids(spark: SparkSession, names: DataFrame | str | int | Iterable, column: str) -> DataFrame:
     """Ids given as a table, one id or many; ids are strings."""
     if isinstance(names, DataFrame):
-        return names.select(F.col(column).cast("string"))
+        return shuffled(names.select(F.col(column).cast("string")))
     names = [names] if isinstance(names, (str, int)) else list(names)
     return spark.createDataFrame([(str(n),) for n in names], f"{column} string")
 
@@ -31,7 +32,7 @@ def _ids(spark: SparkSession, names: DataFrame | str | int | Iterable, column: s
 def count_containing(vectors: DataFrame, edges: DataFrame, column: str = "raster_count") -> DataFrame:
     """Vectors with the number of rasters that contain them."""
     counts = edges.where("relation = 'contains'").groupBy("vector_name").agg(F.count("*").alias("__n"))
-    rows = vectors.drop(column).join(counts, "vector_name", "left")
+    rows = vectors.drop(column).join(shuffled(counts), "vector_name", "left")
     return rows.withColumn(column, F.coalesce("__n", F.lit(0)).cast("long")).drop("__n")
 
 
@@ -154,8 +155,8 @@ class SpatialDataset:
 
     def merge(self, other: SpatialDataset) -> SpatialDataset:
         """This dataset with the vectors and rasters of ``other`` whose ids it lacks; edges across are found too."""
-        rasters = other.rasters.join(self.rasters.select("raster_name"), "raster_name", "left_anti")
-        vectors = other.vectors.join(self.vectors.select("vector_name"), "vector_name", "left_anti")
+        rasters = other.rasters.join(shuffled(self.rasters.select("raster_name")), "raster_name", "left_anti")
+        vectors = other.vectors.join(shuffled(self.vectors.select("vector_name")), "vector_name", "left_anti")
         return self.add_rasters(rasters, check=False).add_vectors(vectors, check=False)
 
     # -- questions ------------------------------------------------------------------------------------------------
@@ -167,7 +168,7 @@ class SpatialDataset:
         if names is not None:
             ids = _ids(self.vectors.sparkSession, names, of)
             table = self.vectors if of == "vector_name" else self.rasters
-            unknown = [r[0] for r in ids.join(table.select(of), of, "left_anti").limit(5).collect()]
+            unknown = [r[0] for r in ids.join(shuffled(table.select(of)), of, "left_anti").limit(5).collect()]
             if unknown:
                 raise ValueError(f"unknown {of}: {unknown}")
             rows = rows.join(ids.distinct() if distinct else ids, of)
@@ -188,7 +189,7 @@ class SpatialDataset:
 
     def pair_relations(self, pairs: DataFrame) -> DataFrame:
         """For (vector_name, raster_name) pairs: do they intersect, does the raster contain the vector."""
-        rows = pairs.join(self.edges, ["vector_name", "raster_name"], "left")
+        rows = pairs.join(shuffled(self.edges), ["vector_name", "raster_name"], "left")
         return rows.select("vector_name", "raster_name", F.col("relation").isNotNull().alias("intersects"), F.coalesce(F.col("relation") == "contains", F.lit(False)).alias("contains"))
 
     def has_raster(self) -> DataFrame:
@@ -196,8 +197,8 @@ class SpatialDataset:
 
     def invariant_violations(self) -> DataFrame:
         """(kind, name) of edges without a vertex, edges given twice and counts that aren't the number of containing rasters."""
-        lost_v = self.edges.join(self.vectors.select("vector_name"), "vector_name", "left_anti").select(F.lit("edge without vector").alias("kind"), F.col("vector_name").alias("name"))
-        lost_r = self.edges.join(self.rasters.select("raster_name"), "raster_name", "left_anti").select(F.lit("edge without raster"), "raster_name")
+        lost_v = self.edges.join(shuffled(self.vectors.select("vector_name")), "vector_name", "left_anti").select(F.lit("edge without vector").alias("kind"), F.col("vector_name").alias("name"))
+        lost_r = self.edges.join(shuffled(self.rasters.select("raster_name")), "raster_name", "left_anti").select(F.lit("edge without raster"), "raster_name")
         twice = self.edges.groupBy("vector_name", "raster_name").count().where("count > 1").select(F.lit("edge twice"), "vector_name")
         recount = count_containing(self.vectors.select("vector_name", F.col("raster_count").alias("kept")), self.edges, "recount")
         wrong = recount.where(~F.col("kept").eqNullSafe(F.col("recount"))).select(F.lit("wrong count"), "vector_name")
@@ -232,7 +233,7 @@ class SpatialDataset:
 def batch_problems(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """(name, problem): ids of a batch that appear twice, have no box, or are in the table already."""
     rows = new.groupBy(key).agg(F.count("*").alias("n"), F.max(F.col("minx").isNull()).alias("no_shape"))
-    rows = rows.join(old.select(key, F.lit(True).alias("there")).distinct(), key, "left").where("n > 1 or no_shape or there")
+    rows = rows.join(shuffled(old.select(key, F.lit(True).alias("there")).distinct()), key, "left").where("n > 1 or no_shape or there")
     why = F.when(F.col("n") > 1, "appear twice").when(F.col("no_shape"), "have no geometry").otherwise("are in the dataset already")
     return rows.select(F.col(key).alias("name"), why.alias("problem"))
 
@@ -248,10 +249,10 @@ def only_this(name: str) -> Column:
 
 def missing_vectors(source: DataFrame, target: DataFrame) -> DataFrame:
     """Vectors of the source that the target lacks, by id."""
-    return source.join(target.select("vector_name"), "vector_name", "left_anti")
+    return source.join(shuffled(target.select("vector_name")), "vector_name", "left_anti")
 
 
 def needing_relabel(edges: DataFrame, new_vectors: DataFrame, old_rasters: DataFrame) -> DataFrame:
     """Rasters that were there before and touch a new vector."""
-    touched = edges.join(new_vectors.select("vector_name"), "vector_name", "left_semi")
-    return touched.join(old_rasters.select("raster_name"), "raster_name", "left_semi").select("raster_name").distinct()
+    touched = edges.join(shuffled(new_vectors.select("vector_name")), "vector_name", "left_semi")
+    return touched.join(shuffled(old_rasters.select("raster_name")), "raster_name", "left_semi").select("raster_name").distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swathe.plans.skew import shuffled
+
 KEYS = ("vector_name", "raster_name")
 
 
@@ -32,17 +34,17 @@ def edge_data(edges: DataFrame, vector: str, raster: str) -> str:
 
 def add_vertices(table: DataFrame, new: DataFrame, column: str) -> DataFrame:
     """Vertices that are there already are left alone."""
-    return table.unionByName(new.select(column).distinct().join(table.select(column), column, "left_anti"), allowMissingColumns=True)
+    return table.unionByName(new.select(column).distinct().join(shuffled(table.select(column)), column, "left_anti"), allowMissingColumns=True)
 
 
 def add_edges(edges: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
     """Adds edges; one that exists raises, or is overwritten with ``force``."""
     if not force:
-        there = new.join(edges.select(*KEYS), list(KEYS), "left_semi").limit(5).collect()
+        there = new.join(shuffled(edges.select(*KEYS)), list(KEYS), "left_semi").limit(5).collect()
         if there:
             raise ValueError(f"edges exist: {[tuple(r)[:2] for r in there]}")
         return edges.unionByName(new)
-    return edges.join(new.select(*KEYS), list(KEYS), "left_anti").unionByName(new)
+    return edges.join(shuffled(new.select(*KEYS)), list(KEYS), "left_anti").unionByName(new)
 
 
 def delete_vertices(edges: DataFrame, ids: DataFrame, column: str, force: bool = True) -> DataFrame:
@@ -54,7 +56,7 @@ def delete_vertices(edges: DataFrame, ids: DataFrame, column: str, force: bool =
 
 
 def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    return edges.join(gone.select(*KEYS).distinct(), list(KEYS), "left_anti")
+    return edges.join(shuffled(gone.select(*KEYS).distinct()), list(KEYS), "left_anti")
 
 
 def equal(a: DataFrame, b: DataFrame) -> bool:
@@ -78,7 +80,7 @@ def sharing_pairs(edges: DataFrame) -> DataFrame:
     """(raster_a, raster_b), a before b: rasters that share a vector they meet."""
     a = edges.select("vector_name", F.col("raster_name").alias("raster_a"))
     b = edges.select("vector_name", F.col("raster_name").alias("raster_b"))
-    return a.join(b, "vector_name").where("raster_a < raster_b").select("raster_a", "raster_b").distinct()
+    return a.join(shuffled(b), "vector_name").where("raster_a < raster_b").select("raster_a", "raster_b").distinct()
 
 
 def sharing_links(edges: DataFrame) -> DataFrame:
@@ -87,4 +89,4 @@ def sharing_links(edges: DataFrame) -> DataFrame:
     One link an edge instead of all pairs at a vector, so a vector under very many rasters stays cheap.
     """
     first = edges.groupBy("vector_name").agg(F.min("raster_name").alias("raster_a"))
-    return edges.join(first, "vector_name").where("raster_a <> raster_name").select("raster_a", F.col("raster_name").alias("raster_b")).distinct()
+    return edges.join(shuffled(first), "vector_name").where("raster_a <> raster_name").select("raster_a", F.col("raster_name").alias("raster_b")).distinct()

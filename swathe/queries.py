@@ -16,6 +16,7 @@ from swathe.functions.geometry import box_shape
 from swathe.operators import classes, clusters, derive, graph, labels, planning, windows
 from swathe.operators.dataset import SpatialDataset, batch_problems, count_containing, missing_vectors, needing_relabel
 from swathe.operators.join import overlap_pairs, spatial_edges
+from swathe.plans.skew import shuffled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,7 +150,7 @@ def vectors_contained_in_raster(spark, sf):
     "LEFT JOIN e ON e.vector_name = v.vector_name AND e.raster_name = r.raster_name"
 )
 def pair_relation_lookup(spark, sf):
-    pairs = vectors(spark, sf).select("vid", "vector_name").join(rasters(spark, sf).select(F.col("rid").alias("vid"), "raster_name"), "vid")
+    pairs = vectors(spark, sf).select("vid", "vector_name").join(shuffled(rasters(spark, sf).select(F.col("rid").alias("vid"), "raster_name")), "vid")
     return dataset(spark, sf).pair_relations(pairs.drop("vid"))
 
 
@@ -177,7 +178,7 @@ def raster_row_condition(spark, sf):
 def raster_composite_predicate(spark, sf):
     d = dataset(spark, sf)
     held = d.edges.where("relation = 'contains'").groupBy("raster_name").agg(F.count("*").alias("n_contained")).where("n_contained >= 2")
-    return d.rasters.where("score BETWEEN 1000 AND 8000").join(held, "raster_name").select("raster_name", "n_contained")
+    return d.rasters.where("score BETWEEN 1000 AND 8000").join(shuffled(held), "raster_name").select("raster_name", "n_contained")
 
 
 # -- changes ----------------------------------------------------------------------------------------------------------------
@@ -220,7 +221,7 @@ UNION ALL SELECT 'wrong count', vector_name FROM v WHERE size = 7 AND kind <> 'P
 def graph_invariant_violations(spark, sf):
     """A dataset that has lost rasters and vectors, has edges twice and counts that are off by one."""
     d = dataset(spark, sf)
-    twice = d.edges.where("relation = 'intersects'").join(d.vectors.where("size = 9").select("vector_name"), "vector_name", "left_semi")
+    twice = d.edges.where("relation = 'intersects'").join(shuffled(d.vectors.where("size = 9").select("vector_name")), "vector_name", "left_semi")
     v = d.vectors.where("kind <> 'PROMO'").withColumn("raster_count", F.when(F.col("size") == 7, F.col("raster_count") + 1).otherwise(F.col("raster_count")))
     return SpatialDataset(v, d.rasters.where("segment <> 'BUILDING'"), d.edges.unionByName(twice)).invariant_violations()
 
@@ -276,8 +277,8 @@ def vertex_degrees(spark, sf):
 @query("SELECT e.* FROM e JOIN v USING (vector_name) JOIN r USING (raster_name) WHERE NOT (kind = 'PROMO' AND segment = 'BUILDING')")
 def delete_edges(spark, sf):
     d = dataset(spark, sf)
-    gone = d.edges.join(d.vectors.where("kind = 'PROMO'").select("vector_name"), "vector_name", "left_semi")
-    return graph.delete_edges(d.edges, gone.join(d.rasters.where("segment = 'BUILDING'").select("raster_name"), "raster_name", "left_semi"))
+    gone = d.edges.join(shuffled(d.vectors.where("kind = 'PROMO'").select("vector_name")), "vector_name", "left_semi")
+    return graph.delete_edges(d.edges, gone.join(shuffled(d.rasters.where("segment = 'BUILDING'").select("raster_name")), "raster_name", "left_semi"))
 
 
 @query("SELECT vector_name, raster_name, CASE WHEN relation = 'contains' THEN 'intersects' ELSE 'contains' END AS relation FROM e")
@@ -418,7 +419,7 @@ def cut_grid_edges(spark, sf):
 
 
 def _cut_log(d: SpatialDataset) -> DataFrame:
-    return d.edges.where("relation = 'contains'").join(d.rasters.where("segment = 'BUILDING'").select("raster_name"), "raster_name", "left_semi")
+    return d.edges.where("relation = 'contains'").join(shuffled(d.rasters.where("segment = 'BUILDING'").select("raster_name")), "raster_name", "left_semi")
 
 
 _CUT = ", cut AS (SELECT e.vector_name, e.raster_name FROM e JOIN r USING (raster_name) WHERE relation = 'contains' AND segment = 'BUILDING')"

@@ -14,6 +14,10 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 NAMES = [
     "spatial_join_triangles", "spatial_join_edges", "spatial_join_degrees", "raster_overlap_pairs", "raster_count", "raster_count_histogram", "vectors_with_raster",
     "vector_row_condition", "vectors_missing_rasters", "vectors_to_download", "vertex_degrees", "boundary_vectors", "top_rasters_by_degree",
+    "add_rasters_delta", "add_vectors_delta", "merge_datasets", "rasters_containing_vector", "rasters_intersecting_vector", "rasters_intersecting_vector_bag",
+    "vectors_contained_in_raster", "vectors_intersecting_raster", "pair_relation_lookup", "drop_vectors_edges", "drop_rasters_edges", "drop_rasters_counts",
+    "missing_vectors_to_target", "rasters_needing_relabel", "duplicate_ids", "raster_composite_predicate", "graph_invariant_violations", "raster_share_pairs",
+    "delete_edges", "overwrite_edges",
 ]
 
 
