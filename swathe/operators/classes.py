@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swathe.plans.skew import shuffled
+
 PREFIX = "prob_of_class_"
 
 
@@ -71,4 +73,4 @@ def combined_attrs(attrs: dict, groups: dict[str, list[str]]) -> dict:
 
 def rasters_of(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     """Rasters that meet a vector of the table."""
-    return edges.join(vectors.select("vector_name"), "vector_name", "left_semi").select("raster_name").distinct()
+    return edges.join(shuffled(vectors.select("vector_name")), "vector_name", "left_semi").select("raster_name").distinct()

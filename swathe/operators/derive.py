@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from swathe.operators import classes, planning, windows
 from swathe.operators.dataset import SpatialDataset, missing_vectors, needing_relabel
 from swathe.plans.durable import durable
+from swathe.plans.skew import shuffled
 
 LOG = "vector_name string, raster_name string"
 
@@ -59,7 +60,7 @@ def _started(source: SpatialDataset, before: Derived | None) -> tuple[SpatialDat
 
 def _finished(target: SpatialDataset, made: DataFrame, log: DataFrame, new: DataFrame) -> Derived:
     old = target.rasters.select("raster_name")
-    target = target.add_rasters(made.join(old, "raster_name", "left_anti"), check=False)
+    target = target.add_rasters(made.join(shuffled(old), "raster_name", "left_anti"), check=False)
     return Derived(target, durable(log.distinct()), needing_relabel(target.edges, new, old))
 
 
@@ -83,14 +84,14 @@ def cut_around(source: SpatialDataset, cut: AroundCut = AroundCut(), before: Der
     wanted = target.vectors.where(F.col("raster_count") < cut.target_count)
     wanted = wanted if where is None else wanted.where(where)
     keys = ["vector_name", "raster_name"]
-    edges = source.edges.join(log.select(*keys).distinct(), keys, "left_anti")
-    edges = edges.join(wanted.select("vector_name"), "vector_name", "left_semi")
+    edges = source.edges.join(shuffled(log.select(*keys).distinct()), keys, "left_anti")
+    edges = edges.join(shuffled(wanted.select("vector_name")), "vector_name", "left_semi")
     made = durable(planning.cut_around_vectors(source.vectors, source.rasters, edges, cut.target_count, cut.rows, cut.cols, cut.seed, wanted, cut.mode, cut.scaling))
     shaped = made.withColumnsRenamed({"raster_name": "__source", "new_name": "raster_name"}).select("raster_name", "__source", "minx", "miny", "maxx", "maxy")
     kept = [c for c in source.rasters.columns if c not in ("raster_name", "geom", "is_box", "minx", "miny", "maxx", "maxy")]
-    shaped = shaped.join(source.rasters.select(F.col("raster_name").alias("__source"), *kept), "__source").drop("__source")
+    shaped = shaped.join(shuffled(source.rasters.select(F.col("raster_name").alias("__source"), *kept)), "__source").drop("__source")
     out = _finished(target, _boxed(shaped, "geom" in source.rasters.columns), log.unionByName(made.select(*keys)), new)
-    inside = out.target.edges.where("relation = 'contains'").join(made.select(F.col("new_name").alias("raster_name"), F.col("raster_name").alias("__source")), "raster_name")
+    inside = out.target.edges.where("relation = 'contains'").join(shuffled(made.select(F.col("new_name").alias("raster_name"), F.col("raster_name").alias("__source"))), "raster_name")
     return replace(out, cut_log=durable(out.cut_log.unionByName(inside.select("vector_name", F.col("__source").alias("raster_name"))).distinct()))
 
 
@@ -112,8 +113,8 @@ def combine_dataset(source: SpatialDataset, groups: dict[str, Sequence[str]], so
     known = source.all_vector_classes() or [c for v in lists.values() for c in v]
     classes.grouping(list(lists.values()), list(lists), known)
     vectors = durable((classes.combine_soft if soft else classes.combine_categorical)(source.vectors, lists))
-    edges = source.edges.join(vectors.select("vector_name"), "vector_name", "left_semi")
-    rasters = source.rasters.join(classes.rasters_of(edges, vectors), "raster_name", "left_semi") if remove_rasters else source.rasters
+    edges = source.edges.join(shuffled(vectors.select("vector_name")), "vector_name", "left_semi")
+    rasters = source.rasters.join(shuffled(classes.rasters_of(edges, vectors)), "raster_name", "left_semi") if remove_rasters else source.rasters
     return replace(source, vectors=vectors, rasters=rasters, edges=edges, attrs=classes.combined_attrs(source.attrs, lists))
 
 
@@ -125,4 +126,4 @@ def categorical_dataset(source: SpatialDataset, names: Sequence[str]) -> Spatial
 def relabelled(labels: DataFrame, rasters: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The labels with those of ``rasters`` (raster_name) made again: the rows are replaced by raster."""
     names = rasters.select("raster_name").distinct()
-    return labels.join(names, "raster_name", "left_anti").unionByName(make(names))
+    return labels.join(shuffled(names), "raster_name", "left_anti").unionByName(make(names))

@@ -18,6 +18,7 @@ NAMES = [
     "vectors_contained_in_raster", "vectors_intersecting_raster", "pair_relation_lookup", "drop_vectors_edges", "drop_rasters_edges", "drop_rasters_counts",
     "missing_vectors_to_target", "rasters_needing_relabel", "duplicate_ids", "raster_composite_predicate", "graph_invariant_violations", "raster_share_pairs",
     "delete_edges", "overwrite_edges",
+    "cut_grid_edges", "rasters_with_kept_classes",
 ]
 
 
