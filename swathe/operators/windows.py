@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathe.functions.geometry import BOX, areal, box_shape, clip_to_box, intersects, once, points
+from swathe.plans.skew import shuffled
 
 
 def seeded(seed: int, *parts: Column) -> Column:
@@ -48,7 +49,8 @@ def bbox_windows(rasters: DataFrame, boxes: DataFrame, inside: DataFrame, rows:
 
     Names number a raster's boxes in order of vector_name; offsets are cut towards zero.
     """
-    df = inside.join(rasters, "raster_name").join(boxes.select("vector_name", *[F.col(c).alias(f"b_{c}") for c in ("minx", "miny", "maxx", "maxy")]), "vector_name")
+    boxes = boxes.select("vector_name", *[F.col(c).alias(f"b_{c}") for c in ("minx", "miny", "maxx", "maxy")])
+    df = inside.join(shuffled(rasters), "raster_name").join(shuffled(boxes), "vector_name")
     i = F.row_number().over(Window.partitionBy("raster_name").orderBy("vector_name")) - 1
 
     def place(lo: Column, hi: Column, new: int) -> Column:
@@ -75,7 +77,7 @@ def around_vectors(
         raise ValueError(mode)
     shaped = {"geom", "is_box"} <= set(vectors.columns)
     v = vectors.select("vector_name", *[F.col(c).cast("double").alias(f"v_{c}") for c in BOX], *([F.col("geom").alias("v_geom"), F.col("is_box").alias("v_is_box")] if shaped else []))
-    df = pairs.select("vector_name", "raster_name").join(rasters, "raster_name").join(v, "vector_name")
+    df = pairs.select("vector_name", "raster_name").join(shuffled(rasters), "raster_name").join(shuffled(v), "vector_name")
     lo_x, hi_x = F.greatest("v_minx", F.col("minx").cast("double")), F.least("v_maxx", F.col("maxx").cast("double"))
     lo_y, hi_y = F.greatest("v_miny", F.col("miny").cast("double")), F.least("v_maxy", F.col("maxy").cast("double"))
     df = df.withColumns({"bx0": lo_x, "bx1": hi_x, "by0": lo_y, "by1": hi_y})
@@ -127,17 +129,17 @@ def around_vectors(
 
 
 def not_cut(rasters: DataFrame, cut_log: DataFrame) -> DataFrame:
-    return rasters.join(cut_log.select("raster_name").distinct(), "raster_name", "left_anti")
+    return rasters.join(shuffled(cut_log.select("raster_name").distinct()), "raster_name", "left_anti")
 
 
 def candidates(source_edges: DataFrame, cut_log: DataFrame) -> DataFrame:
     """(vector_name, raster_name): containing source rasters that weren't yet cut for the vector."""
     keys = ["vector_name", "raster_name"]
-    return source_edges.where("relation = 'contains'").select(*keys).join(cut_log.select(*keys).distinct(), keys, "left_anti")
+    return source_edges.where("relation = 'contains'").select(*keys).join(shuffled(cut_log.select(*keys).distinct()), keys, "left_anti")
 
 
 def select_rasters(found: DataFrame, deficits: DataFrame, seed: int = 10) -> DataFrame:
     """Of each vector's candidates as many as it lacks (``deficits``: vector_name, deficit), in a seeded order."""
     order = Window.partitionBy("vector_name").orderBy(seeded(seed, F.col("vector_name"), F.col("raster_name")), "raster_name")
-    ranked = found.join(deficits, "vector_name").withColumn("rank", F.row_number().over(order))
+    ranked = found.join(shuffled(deficits), "vector_name").withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= F.col("deficit")).select("vector_name", "raster_name")

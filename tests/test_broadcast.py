@@ -19,6 +19,8 @@ NAMES = [
     "missing_vectors_to_target", "rasters_needing_relabel", "duplicate_ids", "raster_composite_predicate", "graph_invariant_violations", "raster_share_pairs",
     "delete_edges", "overwrite_edges",
     "cut_grid_edges", "rasters_with_kept_classes",
+    "around_vector_windows_random", "around_vector_windows_centered", "around_vector_windows_variable", "bbox_windows", "candidate_source_rasters",
+    "select_source_rasters", "rasters_not_previously_cut",
 ]
 
 
