@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from swathe.functions.geometry import inside
 from swathe.operators.classes import PREFIX
+from swathe.plans.skew import shuffled
 
 
 def covered_pixels(edges: DataFrame, vectors: DataFrame, rasters: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def covered_pixels(edges: DataFrame, vectors: DataFrame, rasters: DataFrame) ->
     """
     shape = ["geom", "is_box"] if "geom" in vectors.columns else []
     v = vectors.select("vector_name", *[F.col(c).cast("double").alias(f"v_{c}") for c in ("minx", "miny", "maxx", "maxy")], *shape)
-    df = edges.select("vector_name", "raster_name").join(v, "vector_name").join(rasters.select("raster_name", "width", "height", "a", "c", "e", "f"), "raster_name")
+    df = edges.select("vector_name", "raster_name").join(shuffled(v), "vector_name").join(shuffled(rasters.select("raster_name", "width", "height", "a", "c", "e", "f")), "raster_name")
     col0 = F.greatest(F.ceil((F.col("v_minx") - F.col("c")) / F.col("a") - 0.5), F.lit(0)).cast("long")
     col1 = F.least(F.ceil((F.col("v_maxx") - F.col("c")) / F.col("a") - 0.5).cast("long"), F.col("width")) - 1
     row0 = F.greatest(F.ceil((F.col("v_maxy") - F.col("f")) / F.col("e") - 0.5), F.lit(0)).cast("long")
@@ -45,7 +46,7 @@ def label_categorical(edges: DataFrame, vectors: DataFrame, rasters: DataFrame,
     """
     order = F.create_map(*[F.lit(x) for k, c in enumerate(classes, 1) for x in (c, k)])
     kinds = vectors.select("vector_name", F.try_element_at(order, F.col("type")).alias("label")).where("label is not null")
-    pixels = covered_pixels(edges, vectors, rasters).join(kinds, "vector_name")
+    pixels = covered_pixels(edges, vectors, rasters).join(shuffled(kinds), "vector_name")
     return pixels.groupBy("raster_name", "row", "col").agg(F.max("label").alias("label"))
 
 
@@ -59,7 +60,7 @@ def label_soft(edges: DataFrame, vectors: DataFrame, rasters: DataFrame, classes
     if missing:
         raise ValueError(f"no probabilities for {missing}")
     v = vectors.select("vector_name", F.struct(*[p.cast("double").alias(c) for p, c in zip(probs, classes)]).alias("p"))
-    pixels = covered_pixels(edges, vectors, rasters).join(v, "vector_name")
+    pixels = covered_pixels(edges, vectors, rasters).join(shuffled(v), "vector_name")
     last = pixels.groupBy("raster_name", "row", "col").agg(F.max_by("p", "vector_name").alias("p"))
     out = last.select("raster_name", "row", "col", *[F.col("p")[c].alias(f"{PREFIX}{c}") for c in classes])
     rest = F.lit(1.0) - sum((F.col(f"`{PREFIX}{c}`") for c in classes), F.lit(0.0))
@@ -67,14 +68,14 @@ def label_soft(edges: DataFrame, vectors: DataFrame, rasters: DataFrame, classes
 
 
 def without_labels(rasters: DataFrame, labelled: DataFrame) -> DataFrame:
-    return rasters.select("raster_name").join(labelled.select("raster_name"), "raster_name", "left_anti")
+    return rasters.select("raster_name").join(shuffled(labelled.select("raster_name")), "raster_name", "left_anti")
 
 
 def dense(pixels: DataFrame, rasters: DataFrame, columns: Sequence[str], fill: float = 0) -> DataFrame:
     """One array per raster row instead of sparse pixels: (raster_name, row, one array of ``width`` values per column)."""
     rows = rasters.select("raster_name", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("row"))
     cells = pixels.groupBy("raster_name", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.struct(*[F.col(f"`{c}`").alias(c) for c in columns])))).alias("m"))
-    df = rows.join(cells, ["raster_name", "row"], "left")
+    df = rows.join(shuffled(cells), ["raster_name", "row"], "left")
 
     def line(c: str):
         return F.transform(F.sequence(F.lit(0).cast("long"), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at(F.col("m"), i)[c], F.lit(fill))).alias(c)

@@ -21,6 +21,7 @@ NAMES = [
     "cut_grid_edges", "rasters_with_kept_classes",
     "around_vector_windows_random", "around_vector_windows_centered", "around_vector_windows_variable", "bbox_windows", "candidate_source_rasters",
     "select_source_rasters", "rasters_not_previously_cut",
+    "label_categorical", "label_soft_categorical", "rasters_without_labels",
 ]
 
 
