@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from swathe.operators.graph import boundary_vectors, sharing_links
 from swathe.operators.join import overlap_pairs
 from swathe.plans.components import components
+from swathe.plans.skew import shuffled
 
 
 def raster_clusters(rasters: DataFrame, edges: DataFrame, defined_by: str = "share", names: DataFrame | None = None) -> DataFrame:
@@ -23,14 +24,14 @@ def raster_clusters(rasters: DataFrame, edges: DataFrame, defined_by: str = "sha
     if defined_by == "share_or_overlap":
         links = links.unionAll(overlap_pairs(rasters))
     found = components(links, "raster_a", "raster_b", few=200_000)
-    rows = rasters.select("raster_name").join(found, F.col("raster_name") == F.col("node"), "left")
+    rows = rasters.select("raster_name").join(shuffled(found), F.col("raster_name") == F.col("node"), "left")
     return rows.select("raster_name", F.coalesce("component", "raster_name").alias("cluster"))
 
 
 def intervals(rasters: DataFrame, vectors: DataFrame, edges: DataFrame, axis: str) -> DataFrame:
     """(raster_name or null, lo, hi): extents of the rasters and of the vectors that bridge two of them."""
     lo, hi = F.col(f"min{axis}").cast("double").alias("lo"), F.col(f"max{axis}").cast("double").alias("hi")
-    bridges = vectors.join(boundary_vectors(edges).select("vector_name"), "vector_name", "left_semi")
+    bridges = vectors.join(shuffled(boundary_vectors(edges).select("vector_name")), "vector_name", "left_semi")
     return rasters.select("raster_name", lo, hi).unionAll(bridges.select(F.lit(None).cast("string"), lo, hi))
 
 
@@ -48,14 +49,14 @@ def sweep(spans: DataFrame, by: list[str] | None = None, blocks: float | None =
     tops = rows.groupBy(*by, "block").agg(F.max("hi").alias("top"))
     chain = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select(*by, "block", F.max("top").over(chain).alias("before"))
-    rows = rows.join(tops, [*by, "block"])
+    rows = rows.join(shuffled(tops), [*by, "block"])
     own = Window.partitionBy(*by, "block").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.greatest(F.max("hi").over(own), F.col("before"))
     rows = rows.withColumn("opens", (reach.isNull() | (F.col("lo") > reach)).cast("long"))
     opened = rows.groupBy(*by, "block").agg(F.sum("opens").alias("n"))
     opened = opened.select(*by, "block", F.coalesce(F.sum("n").over(chain), F.lit(0)).alias("earlier"))
     run = Window.partitionBy(*by, "block").orderBy("lo", "hi").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # equal intervals together
-    rows = rows.join(opened, [*by, "block"])
+    rows = rows.join(shuffled(opened), [*by, "block"])
     return rows.withColumn("island", F.col("earlier") + F.sum("opens").over(run)).drop("block", "before", "opens", "earlier")
 
 
@@ -65,7 +66,7 @@ def precluster(rasters: DataFrame, vectors: DataFrame, edges: DataFrame, axis: s
     if axis not in ("x", "y", "xy", "yx"):
         raise ValueError(axis)
     rasters, edges = _named(rasters, edges, names)
-    bridges = vectors.join(boundary_vectors(edges).select("vector_name"), "vector_name", "left_semi")
+    bridges = vectors.join(shuffled(boundary_vectors(edges).select("vector_name")), "vector_name", "left_semi")
     ends = [F.col(f"{end}{a}").cast("double").alias(f"{end}{a}") for a in axis for end in ("min", "max")]
     spans, by = rasters.select("raster_name", *ends).unionAll(bridges.select(F.lit(None).cast("string"), *ends)), []
     for a in axis:
@@ -79,4 +80,4 @@ def _named(rasters: DataFrame, edges: DataFrame, names: DataFrame | None) -> tup
     if names is None:
         return rasters, edges
     names = names.select("raster_name").distinct()
-    return rasters.join(names, "raster_name", "left_semi"), edges.join(names, "raster_name", "left_semi")
+    return rasters.join(shuffled(names), "raster_name", "left_semi"), edges.join(shuffled(names), "raster_name", "left_semi")

@@ -22,6 +22,7 @@ NAMES = [
     "around_vector_windows_random", "around_vector_windows_centered", "around_vector_windows_variable", "bbox_windows", "candidate_source_rasters",
     "select_source_rasters", "rasters_not_previously_cut",
     "label_categorical", "label_soft_categorical", "rasters_without_labels",
+    "precluster_x_axis", "precluster_y_axis", "raster_clusters_share", "raster_clusters_share_or_overlap",
 ]
 
 
