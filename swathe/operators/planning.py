@@ -15,15 +15,16 @@ from swathe.operators import windows
 from swathe.operators.windows import seeded, stem
 from swathe.plans.components import components
 from swathe.plans.durable import durable
+from swathe.plans.skew import shuffled
 
 
 def vectors_to_download(vectors: DataFrame, target: int, names: DataFrame | None = None) -> DataFrame:
     """Vectors with a box whose raster_count is below ``target``; or the named ones, unknown names raise."""
     if names is not None:
-        unknown = [r[0] for r in names.join(vectors.select("vector_name"), "vector_name", "left_anti").limit(5).collect()]
+        unknown = [r[0] for r in names.join(shuffled(vectors.select("vector_name")), "vector_name", "left_anti").limit(5).collect()]
         if unknown:
             raise ValueError(f"unknown vectors: {unknown}")
-        return vectors.join(names.select("vector_name"), "vector_name", "left_semi").where("minx is not null")
+        return vectors.join(shuffled(names.select("vector_name")), "vector_name", "left_semi").where("minx is not null")
     return vectors.where(F.col("minx").isNotNull() & (F.col("raster_count") < target))
 
 
@@ -38,17 +39,17 @@ def not_covered_by_union(vectors: DataFrame, rasters: DataFrame, edges: DataFram
     shaped = None
     if "geom" in vectors.columns and "geom" in rasters.columns:
         no_box = lambda df: df.where(~F.coalesce("is_box", F.lit(False)))
-        odd = no_box(vectors).select("vector_name").unionByName(edges.join(no_box(rasters).select("raster_name"), "raster_name").select("vector_name")).distinct()
-        odd = durable(odd.join(easy, "vector_name", "left_anti"))
-        near = edges.join(odd, "vector_name", "left_semi").join(rasters.select("raster_name", F.col("geom").alias("r_geom")), "raster_name")
+        odd = no_box(vectors).select("vector_name").unionByName(edges.join(shuffled(no_box(rasters).select("raster_name")), "raster_name").select("vector_name")).distinct()
+        odd = durable(odd.join(shuffled(easy), "vector_name", "left_anti"))
+        near = edges.join(shuffled(odd), "vector_name", "left_semi").join(shuffled(rasters.select("raster_name", F.col("geom").alias("r_geom"))), "raster_name")
         near = near.groupBy("vector_name").agg(F.collect_list("r_geom").alias("r_geoms"))
-        shapes = vectors.join(odd, "vector_name", "left_semi").select("vector_name", "geom").join(near, "vector_name", "left")
+        shapes = vectors.join(shuffled(odd), "vector_name", "left_semi").select("vector_name", "geom").join(shuffled(near), "vector_name", "left")
         shaped = shapes.mapInArrow(_uncovered, "vector_name string")
-        vectors = vectors.join(odd, "vector_name", "left_anti")
-    hard = vectors.select("vector_name", *[F.col(c).cast("double").alias(f"v_{c}") for c in BOX]).join(easy, "vector_name", "left_anti")
+        vectors = vectors.join(shuffled(odd), "vector_name", "left_anti")
+    hard = vectors.select("vector_name", *[F.col(c).cast("double").alias(f"v_{c}") for c in BOX]).join(shuffled(easy), "vector_name", "left_anti")
     r = rasters.select("raster_name", *[F.col(c).cast("double").alias(c) for c in BOX])
-    near = edges.join(hard.select("vector_name"), "vector_name", "left_semi").join(r, "raster_name").groupBy("vector_name").agg(F.collect_set(F.struct(*BOX)).alias("boxes"))
-    df = hard.join(near, "vector_name", "left").withColumn("boxes", F.coalesce("boxes", F.array().cast("array<struct<minx:double,miny:double,maxx:double,maxy:double>>")))
+    near = edges.join(shuffled(hard.select("vector_name")), "vector_name", "left_semi").join(shuffled(r), "raster_name").groupBy("vector_name").agg(F.collect_set(F.struct(*BOX)).alias("boxes"))
+    df = hard.join(shuffled(near), "vector_name", "left").withColumn("boxes", F.coalesce("boxes", F.array().cast("array<struct<minx:double,miny:double,maxx:double,maxy:double>>")))
 
     def cuts(axis: str) -> Column:
         lo, hi = F.col(f"v_min{axis}"), F.col(f"v_max{axis}")
@@ -143,8 +144,8 @@ def best_product(edges: DataFrame, catalog: DataFrame, order: str, descending: b
     """(vector_name, raster_name): of the products that contain a vector, pass the filter and aren't there yet, the first
     by one property, then by name."""
     products = catalog if where is None else catalog.where(where)
-    products = products if taken is None else products.join(taken.select("raster_name"), "raster_name", "left_anti")
-    rows = edges.where("relation = 'contains'").join(products.select("raster_name", order), "raster_name")
+    products = products if taken is None else products.join(shuffled(taken.select("raster_name")), "raster_name", "left_anti")
+    rows = edges.where("relation = 'contains'").join(shuffled(products.select("raster_name", order)), "raster_name")
     key = F.struct(-F.col(order) if descending else F.col(order), "raster_name")
     return rows.groupBy("vector_name").agg(F.min_by("raster_name", key).alias("raster_name"))
 
@@ -184,7 +185,7 @@ def dem_tiles(vectors: DataFrame, mode: str = "grid", taken: DataFrame | None =
     else:
         raise ValueError(mode)
     tiles = rows.select("vector_name", dem_folder(F.col("x"), F.col("y")).alias("folder"), dem_name(F.col("x"), F.col("y")).alias("tile")).distinct()
-    return tiles if taken is None else tiles.join(taken.select("tile"), "tile", "left_anti").select("vector_name", "folder", "tile")
+    return tiles if taken is None else tiles.join(shuffled(taken.select("tile")), "tile", "left_anti").select("vector_name", "folder", "tile")
 
 
 #: Open choices that one task goes through in a plain loop; above it, choices that don't hang on each other are made by
@@ -198,9 +199,9 @@ def _ready(choices: DataFrame, every: DataFrame) -> tuple[DataFrame, int, int]:
     ``choices``: (vector_name, raster_name) that are open; ``every``: rows that tell with which rasters a waiting vector may
     interact. One aggregation by raster and one by vector; at most one of the vectors at a raster is ready.
     """
-    waiting = every.join(choices.select("vector_name").distinct(), "vector_name", "left_semi").select("vector_name", "raster_name")
+    waiting = every.join(shuffled(choices.select("vector_name").distinct()), "vector_name", "left_semi").select("vector_name", "raster_name")
     least = waiting.groupBy("raster_name").agg(F.min("vector_name").alias("first"))
-    free = durable(waiting.join(least, "raster_name").groupBy("vector_name").agg(F.bool_and(F.col("first") == F.col("vector_name")).alias("free")))
+    free = durable(waiting.join(shuffled(least), "raster_name").groupBy("vector_name").agg(F.bool_and(F.col("first") == F.col("vector_name")).alias("free")))
     ready = free.where("free").select("vector_name")
     return ready, ready.count(), free.count()
 
@@ -209,7 +210,7 @@ def _by_component(edges: DataFrame, keep: list[str]) -> DataFrame:
     """Edges with the component of the vector-raster graph they belong to: greedy choices interact inside one alone."""
     ends = edges.select(F.concat(F.lit("v:"), "vector_name").alias("a"), F.concat(F.lit("r:"), "raster_name").alias("b"))
     found = components(ends, "a", "b")
-    return edges.select("vector_name", "raster_name", *keep).join(found, F.concat(F.lit("v:"), "vector_name") == F.col("node")).drop("node")
+    return edges.select("vector_name", "raster_name", *keep).join(shuffled(found), F.concat(F.lit("v:"), "vector_name") == F.col("node")).drop("node")
 
 
 def plan_downloads(
@@ -225,10 +226,10 @@ def plan_downloads(
     when few choices are open one task loops over them. Rounds that decide little give way to a loop per connected part.
     """
     check_products(catalog)
-    catalog = catalog if unavailable is None else catalog.join(unavailable.select("raster_name").distinct(), "raster_name", "left_anti")
+    catalog = catalog if unavailable is None else catalog.join(shuffled(unavailable.select("raster_name").distinct()), "raster_name", "left_anti")
     inside = edges.where("relation = 'contains'").select("vector_name", "raster_name")
-    rows = inside.join(catalog.select("raster_name", F.col(order).cast("double").alias("rank")), "raster_name")
-    rows = durable(rows.join(vectors.select("vector_name", F.col("raster_count").alias("have")), "vector_name").select("vector_name", "raster_name", "rank", "have"))
+    rows = inside.join(shuffled(catalog.select("raster_name", F.col(order).cast("double").alias("rank"))), "raster_name")
+    rows = durable(rows.join(shuffled(vectors.select("vector_name", F.col("raster_count").alias("have"))), "vector_name").select("vector_name", "raster_name", "rank", "have"))
     schema, done = "raster_name string, for_vector string", []
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -255,11 +256,11 @@ def plan_downloads(
             done.append(_by_component(rows, ["rank", "have"]).groupBy("component").applyInPandas(greedy, schema))
             break
         place = Window.partitionBy("vector_name").orderBy(F.col("rank").desc(), "raster_name")
-        taken = open_.join(ready, "vector_name", "left_semi").withColumn("place", F.row_number().over(place)).where(F.col("place") <= target - F.col("have"))
+        taken = open_.join(shuffled(ready), "vector_name", "left_semi").withColumn("place", F.row_number().over(place)).where(F.col("place") <= target - F.col("have"))
         taken = durable(taken.select("raster_name", F.col("vector_name").alias("for_vector")))
         done.append(taken)
-        gained = rows.join(taken, "raster_name", "left_semi").groupBy("vector_name").agg(F.count("*").alias("more"))
-        rest = rows.join(taken, "raster_name", "left_anti").join(gained, "vector_name", "left")
+        gained = rows.join(shuffled(taken), "raster_name", "left_semi").groupBy("vector_name").agg(F.count("*").alias("more"))
+        rest = rows.join(shuffled(taken), "raster_name", "left_anti").join(shuffled(gained), "vector_name", "left")
         rows = durable(rest.select("vector_name", "raster_name", "rank", (F.col("have") + F.coalesce("more", F.lit(0))).alias("have")))
     return reduce(DataFrame.unionByName, done)
 
@@ -274,15 +275,15 @@ def check_products(catalog: DataFrame) -> None:
 def record_downloads(vectors: DataFrame, plan: DataFrame, failed: DataFrame) -> DataFrame:
     """``vectors`` with download_exception: the first message, by product, of ``failed`` (raster_name, message) among the
     products planned for the vector; what was recorded before stays where there is none."""
-    why = plan.join(failed, "raster_name").groupBy(F.col("for_vector").alias("vector_name")).agg(F.min_by("message", "raster_name").alias("__why"))
+    why = plan.join(shuffled(failed), "raster_name").groupBy(F.col("for_vector").alias("vector_name")).agg(F.min_by("message", "raster_name").alias("__why"))
     old = F.col("download_exception") if "download_exception" in vectors.columns else F.lit(None).cast("string")
-    return vectors.join(why, "vector_name", "left").withColumn("download_exception", F.coalesce("__why", old)).drop("__why")
+    return vectors.join(shuffled(why), "vector_name", "left").withColumn("download_exception", F.coalesce("__why", old)).drop("__why")
 
 
 def downloaded_twice(plan: DataFrame, rasters: DataFrame) -> DataFrame:
     """Planned products that the dataset has already, or that are planned more than once."""
     again = plan.groupBy("raster_name").count().where("count > 1").select("raster_name")
-    return again.unionByName(plan.select("raster_name").join(rasters.select("raster_name"), "raster_name", "left_semi")).distinct()
+    return again.unionByName(plan.select("raster_name").join(shuffled(rasters.select("raster_name")), "raster_name", "left_semi")).distinct()
 
 
 def cut_around_vectors(
@@ -301,8 +302,8 @@ def cut_around_vectors(
     rasters = rasters if {"width", "height", "a", "c", "e", "f"} <= set(rasters.columns) else windows.with_pixels(rasters)
     start = vectors.select("vector_name", F.lit(0).alias("have")) if have is None else have.select("vector_name", F.col("raster_count").alias("have"))
     draw = seeded(seed, F.col("vector_name"), F.col("raster_name")) if rank is None else rank
-    near = durable(edges.select("vector_name", "raster_name", "relation").join(start.select("vector_name"), "vector_name", "left_semi"))
-    inside = near.where("relation = 'contains'").join(start, "vector_name").join(rasters, "raster_name")
+    near = durable(edges.select("vector_name", "raster_name", "relation").join(shuffled(start.select("vector_name")), "vector_name", "left_semi"))
+    inside = near.where("relation = 'contains'").join(shuffled(start), "vector_name").join(shuffled(rasters), "raster_name")
     choices = durable(inside.select("vector_name", "raster_name", draw.alias("draw"), "have"))
     box = vectors.select("vector_name", *[F.col(c).cast("double").alias(f"m_{c}") for c in BOX])
     schema, done = "new_name string, vector_name string, raster_name string, col_off long, row_off long, w long, h long, minx double, miny double, maxx double, maxy double", []
@@ -313,17 +314,18 @@ def cut_around_vectors(
 
     def served(cut: DataFrame, others: DataFrame) -> DataFrame:
         """(vector_name, raster_name, by, gain): in how many of a cut's windows other vectors at the raster lie."""
-        members = others.select(F.col("vector_name").alias("m"), "raster_name").join(box.withColumnRenamed("vector_name", "m"), "m")
+        members = others.select(F.col("vector_name").alias("m"), "raster_name").join(shuffled(box.withColumnRenamed("vector_name", "m")), "m")
         lie = (F.col("minx") <= F.col("m_minx")) & (F.col("m_maxx") <= F.col("maxx")) & (F.col("miny") <= F.col("m_miny")) & (F.col("m_maxy") <= F.col("maxy"))
-        hit = cut.join(members, "raster_name").where(lie)
+        hit = cut.join(shuffled(members), "raster_name").where(lie)
         return hit.groupBy(F.col("m").alias("vector_name"), "raster_name", F.col("vector_name").alias("by")).agg(F.count("*").alias("gain"))
 
     def loop(open_: DataFrame, parts: DataFrame | None) -> DataFrame:
         """The plain loop over choices, whose windows and what these serve are worked out before."""
         made = durable(cuts(open_))
-        gains = served(made, near.join(open_.select("vector_name").distinct(), "vector_name", "left_semi"))
-        table = open_.join(gains.groupBy(F.col("by").alias("vector_name"), "raster_name").agg(F.collect_list(F.struct("vector_name", "gain")).alias("serves")), ["vector_name", "raster_name"], "left")
-        table = table.withColumn("part", F.lit("")) if parts is None else table.join(parts, "vector_name")
+        gains = served(made, near.join(shuffled(open_.select("vector_name").distinct()), "vector_name", "left_semi"))
+        serves = gains.groupBy(F.col("by").alias("vector_name"), "raster_name").agg(F.collect_list(F.struct("vector_name", "gain")).alias("serves"))
+        table = open_.join(shuffled(serves), ["vector_name", "raster_name"], "left")
+        table = table.withColumn("part", F.lit("")) if parts is None else table.join(shuffled(parts), "vector_name")
 
         def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
             have, cut, taken = dict(zip(pdf.vector_name, pdf.have)), set(), []
@@ -340,7 +342,7 @@ def cut_around_vectors(
             return pd.DataFrame(taken, columns=["vector_name", "raster_name"], dtype="object")
 
         chosen = durable(table.groupBy("part").applyInPandas(greedy, "vector_name string, raster_name string"))
-        return made.join(chosen, ["vector_name", "raster_name"], "left_semi").select(*names)
+        return made.join(shuffled(chosen), ["vector_name", "raster_name"], "left_semi").select(*names)
 
     while True:
         open_ = choices.where(F.col("have") < target)
@@ -349,21 +351,21 @@ def cut_around_vectors(
             break
         ready, n, waiting = _ready(open_, near)
         if n < SLOW * waiting:
-            shared = near.join(open_.select("vector_name").distinct(), "vector_name", "left_semi")
+            shared = near.join(shuffled(open_.select("vector_name").distinct()), "vector_name", "left_semi")
             done.append(loop(open_, _by_component(shared, []).select("vector_name", F.col("component").alias("part")).distinct()))
             break
-        mine = open_.join(ready, "vector_name", "left_semi")
+        mine = open_.join(shuffled(ready), "vector_name", "left_semi")
         made = durable(cuts(mine))
         own = served(made, mine).where("vector_name = by").select("vector_name", "raster_name", "gain")
         before = Window.partitionBy("vector_name").orderBy("draw", "raster_name").rowsBetween(Window.unboundedPreceding, -1)
-        turn = mine.join(own, ["vector_name", "raster_name"], "left").withColumn("so_far", F.coalesce(F.sum(F.coalesce("gain", F.lit(0))).over(before), F.lit(0)))
+        turn = mine.join(shuffled(own), ["vector_name", "raster_name"], "left").withColumn("so_far", F.coalesce(F.sum(F.coalesce("gain", F.lit(0))).over(before), F.lit(0)))
         taken = durable(turn.where(F.col("have") + F.col("so_far") < target).select("vector_name", "raster_name"))
-        made = made.join(taken, ["vector_name", "raster_name"], "left_semi").select(*names)
+        made = made.join(shuffled(taken), ["vector_name", "raster_name"], "left_semi").select(*names)
         done.append(made)
         gains = durable(served(made, near).select("vector_name", "raster_name", "gain"))
         gone = gains.select("vector_name", "raster_name").unionByName(taken).distinct()
         more = gains.groupBy("vector_name").agg(F.sum("gain").alias("more"))
-        rest = choices.join(gone, ["vector_name", "raster_name"], "left_anti").join(more, "vector_name", "left")
+        rest = choices.join(shuffled(gone), ["vector_name", "raster_name"], "left_anti").join(shuffled(more), "vector_name", "left")
         choices = durable(rest.select("vector_name", "raster_name", "draw", (F.col("have") + F.coalesce("more", F.lit(0))).alias("have")))
     return reduce(DataFrame.unionByName, done)
 

@@ -23,6 +23,7 @@ NAMES = [
     "select_source_rasters", "rasters_not_previously_cut",
     "label_categorical", "label_soft_categorical", "rasters_without_labels",
     "precluster_x_axis", "precluster_y_axis", "raster_clusters_share", "raster_clusters_share_or_overlap",
+    "best_product_per_vector", "plan_downloads", "cut_around_vectors", "vectors_not_covered_by_union",
 ]
 
 
