@@ -42,6 +42,24 @@ def test_growing_tables_are_not_broadcast(spark, monkeypatch, name):
     assert not [p for p in plans if "Broadcast" in p]
 
 
+RUN = ["rasters_intersecting_vector"]
+
+
+def executed(spark):
+    """Final plans of what ran, by id: what a query collects or checkpoints on its way is among them."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {run.executionId(): run for run in (runs.apply(i) for i in range(runs.size()))}
+
+
+@pytest.mark.parametrize("name", RUN)
+def test_nothing_is_broadcast_while_a_query_runs(spark, name):
+    before = executed(spark)
+    queries.QUERIES[name](spark, SF).collect()
+    ran = [run.physicalPlanDescription() for i, run in executed(spark).items() if i not in before]
+    assert any("SortMergeJoin" in p for p in ran) and not [p for p in ran if "Broadcast" in p]
+
+
 def test_small_and_large_objects_on_both_sides_meet(spark):
     """A row at an object's own level is left out only where the other side has none so small."""
     from swathe.operators.join import box_pairs
