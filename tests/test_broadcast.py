@@ -42,7 +42,10 @@ def test_growing_tables_are_not_broadcast(spark, monkeypatch, name):
     assert not [p for p in plans if "Broadcast" in p]
 
 
-RUN = ["rasters_intersecting_vector", "rasters_intersecting_vector_bag", "vectors_contained_in_raster", "boundary_vectors", "vectors_with_raster"]
+RUN = [
+    "rasters_intersecting_vector", "rasters_intersecting_vector_bag", "vectors_contained_in_raster", "boundary_vectors", "vectors_with_raster",
+    "raster_count",
+]
 
 
 def executed(spark):
