@@ -44,7 +44,7 @@ def test_growing_tables_are_not_broadcast(spark, monkeypatch, name):
 
 RUN = [
     "rasters_intersecting_vector", "rasters_intersecting_vector_bag", "vectors_contained_in_raster", "boundary_vectors", "vectors_with_raster",
-    "raster_count", "raster_count_histogram",
+    "raster_count", "raster_count_histogram", "vector_row_condition",
 ]
 
 
