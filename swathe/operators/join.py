@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathe.functions.geometry import BOX, box_contains, box_intersects, contains, intersects
-from swathe.plans.skew import shuffled
+from swathe.plans.skew import shuffled, spread
 
 
 #: Cells are at least 2^-PRECISION of the greatest coordinate long, so that their numbers are exact in a double.
@@ -66,6 +66,7 @@ def box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     left, right = (df.where(" and ".join(f"{c} is not null" for c in BOX)) for df in (left, right))
     finest, of_left, of_right = grid_levels(left, right)
+    left, right = (spread(df, [df.columns[0], *BOX]) for df in (left, right))  # a name and a box: many may share either
     a, b = _gridded(left, finest, of_right, "l_"), _gridded(right, finest, of_left, "r_")
     at = F.greatest("l_own", "r_own") == F.col("l_level")
     home = F.lit(True)

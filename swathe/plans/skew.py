@@ -7,9 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swathe.plans.durable import plan_bytes
+
 #: A key is hot if it holds at least one row in HOT_SHARE: there are at most HOT_SHARE such keys, whatever the input.
 HOT_SHARE = 1000
 
+#: Spark's spark.shuffle.sort.bypassMergeThreshold: a shuffle into so many partitions writes rows as they come.
+BYPASS = 200
+
 
 def shuffled(df: DataFrame) -> DataFrame:
     """A side of a join that grows with the input, and so is never broadcast.
@@ -21,6 +26,19 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def spread(df: DataFrame, keys: Sequence[str], bytes_each: int = 1 << 20) -> DataFrame:
+    """``df`` dealt over more tasks where its scan has few, for what is about to be exploded.
+
+    A row group is read by one task, however many rows it holds and bytes the file is split at, and a shuffle into more than BYPASS partitions keeps the task's
+    output in memory. Dealing out at most so many parts keeps nothing. Small tables, and plans with a shuffle, stay as they are.
+    """
+    size, run = plan_bytes(df), df._jdf.queryExecution()
+    parts = min(BYPASS, size // bytes_each + 1)
+    if parts == 1 or size > 1 << 50 or run.executedPlan().nodeName() == "AdaptiveSparkPlan" or run.toRdd().getNumPartitions() >= parts:
+        return df
+    return df.repartition(parts, *keys)
+
+
 def join_facts(
     rows: DataFrame, facts: DataFrame, keys: Sequence[str], payload: Sequence[str], size: str, spread: Column, total: int
 ) -> DataFrame:

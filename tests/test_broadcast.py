@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from swathe import queries
 from swathe.operators import dataset, derive, planning
@@ -75,3 +76,23 @@ def test_small_and_large_objects_on_both_sides_meet(spark):
         (left, l_rows), (right, r_rows) = table(a), table(b)
         want = sorted((x[0], y[0]) for x in l_rows for y in r_rows if x[1] <= y[3] and x[3] >= y[1] and x[2] <= y[4] and x[4] >= y[2])
         assert sorted((r["l_name"], r["r_name"]) for r in box_pairs(left, right).collect()) == want
+
+
+def test_a_scan_in_one_task_is_dealt_out_before_it_is_exploded(spark, tmp_path):
+    """A file of one row group is one task; what its rows explode to is not held there. Small tables are left alone."""
+    from swathe.operators.join import spatial_edges
+
+    def table(name, n, size):
+        box = {f"{end}{axis}": F.col("id") * step + at for axis, step in (("x", 7), ("y", 5)) for end, at in (("min", 0), ("max", size))}
+        path = str(tmp_path / f"{name}{n}")
+        spark.range(n).coalesce(1).select(F.concat(F.lit(name), F.col("id")).alias(f"{name}_name"), *[c.alias(k) for k, c in box.items()]).write.parquet(path)
+        return spark.read.parquet(path)
+
+    small = spatial_edges(table("vector", 100, 3), table("raster", 100, 30))
+    assert "REPARTITION_BY_NUM" not in plan(small)
+    v, r = table("vector", 300_000, 3), table("raster", 300_000, 30)
+    assert len(v.inputFiles()) == len(r.inputFiles()) == 1
+    large = spatial_edges(v, r)
+    assert plan(large).count("REPARTITION_BY_NUM") == 2
+    want = sum(1 for i in range(300_000) for k in range(-5, 2) if 0 <= i + k < 300_000 and 7 * i <= 7 * (i + k) + 30 and 7 * i + 3 >= 7 * (i + k) and 5 * i <= 5 * (i + k) + 30 and 5 * i + 3 >= 5 * (i + k))
+    assert large.count() == want == large.distinct().count()
